@@ -151,3 +151,140 @@ def search_report(spark: SparkSession, d: str) -> DataFrame:
     return h.select("uid", "method", "cat_type", F.col("rank").cast("long").alias("rank"),
                     F.col("mmr_step").cast("long").alias("mmr_step"), "doc_ord", "path",
                     F.round("distance", 6).alias("distance"))
+
+
+# --------------------------------------------------------------------------- text and documents
+
+from taxomatch.functions import text as TX  # noqa: E402
+from taxomatch.operators import docs as D  # noqa: E402
+from taxomatch.operators import rows as R  # noqa: E402
+
+
+@query
+def category_text(spark: SparkSession, d: str) -> DataFrame:
+    return X.cat(spark, d).select("cat_idx", "path", TX.path_text("path").alias("text"))
+
+
+@query
+def category_docs(spark: SparkSession, d: str) -> DataFrame:
+    return D.category_documents(X.cat(spark, d)).select(
+        "id", "cat_idx", "path", F.col("level").cast("long").alias("level"), "cat_type", "text", "doc_ord")
+
+
+@query
+def category_levels(spark: SparkSession, d: str) -> DataFrame:
+    c = X.cat(spark, d)
+    return c.select("cat_idx", TX.path_level("path").cast("long").alias("level"),
+                    F.element_at(TX.path_parts("path"), 1).alias("root"),
+                    TX.path_leaf("path").alias("leaf"))
+
+
+@query
+def doc_ids_runs(spark: SparkSession, d: str) -> DataFrame:
+    docs = R.with_row_index(X.table(spark, d, "documents").select("doc_id", "lang"), ["doc_id"], "idx")
+    out = D.run_counter(docs, "lang", "idx", "n")
+    return out.select("doc_id", "lang", "n", F.concat_ws(":", "lang", F.col("n").cast("string")).alias("id"))
+
+
+@query
+def chunk_ids(spark: SparkSession, d: str) -> DataFrame:
+    """G4 over the category documents in document order (ALL, LAST per category)."""
+    docs = D.category_documents(X.cat(spark, d)).select("cat_idx", "level", "cat_type", "doc_ord")
+    docs = docs.withColumnRenamed("doc_ord", "idx")
+    out = D.chunk_ids(docs, D.CATEGORY_SOURCE, "cat_idx", "level", "idx")
+    return out.select("idx", "cat_type", "id")
+
+
+@query
+def type_extract(spark: SparkSession, d: str) -> DataFrame:
+    c = X.cat(spark, d).select("cat_idx", TX.path_text("path", TX.TYPE_DOUBLE_DASH_TEXT).alias("text"))
+    return c.select("cat_idx", "text", TX.extract_all("text").alias("types_all"),
+                    TX.extract_first("text").alias("type_first"),
+                    TX.extract_first("text", " for (.*?) type: ").alias("for_first"))
+
+
+@query
+def vendor_labels(spark: SparkSession, d: str) -> DataFrame:
+    p = X.prod(spark, d).select("uid", "vendor_category", TX.vendor_labels("vendor_category").alias("l"))
+    return p.select("uid", "vendor_category", F.size("l").cast("long").alias("n_labels"),
+                    F.array_join("l", "|", "<null>").alias("labels"))
+
+
+@query
+def product_text(spark: SparkSession, d: str) -> DataFrame:
+    p = X.prod(spark, d)
+    return p.select("uid", TX.title_head("title").alias("head"),
+                    TX.product_text("title", "vendor_category").alias("text"))
+
+
+@query
+def product_text_plain(spark: SparkSession, d: str) -> DataFrame:
+    p = X.prod(spark, d)
+    return p.select("uid", TX.product_text("title", "vendor_category", joiner=" ").alias("text"))
+
+
+@query
+def product_text_words(spark: SparkSession, d: str) -> DataFrame:
+    p = X.prod(spark, d)
+    return p.select("uid", TX.product_word_text("title", "vendor_category").alias("text"))
+
+
+@query
+def corpus_text(spark: SparkSession, d: str) -> DataFrame:
+    p = X.prod(spark, d)
+    return p.select("uid", TX.corpus_text("title", "description", "vendor_category").alias("text"))
+
+
+@query
+def clean_text(spark: SparkSession, d: str) -> DataFrame:
+    docs = X.table(spark, d, "documents")
+    c = docs.select("doc_id", TX.clean_text("text").alias("clean"))
+    return c.where(TX.not_empty("clean"))
+
+
+@query
+def clean_category_text(spark: SparkSession, d: str) -> DataFrame:
+    return X.cat(spark, d).select("cat_idx", TX.clean_text("path", cat=True).alias("clean"))
+
+
+@query
+def chunk_words(spark: SparkSession, d: str) -> DataFrame:
+    docs = X.table(spark, d, "documents").select(
+        "doc_id", TX.words(TX.clean_text("text")).alias("w"))
+    ch = docs.select("doc_id", F.posexplode(TX.chunk_words(F.col("w"))).alias("chunk_no", "c"))
+    return ch.select("doc_id", F.col("chunk_no").cast("long").alias("chunk_no"),
+                     F.size("c").cast("long").alias("n_words"), F.array_join("c", " ").alias("chunk"))
+
+
+@query
+def tokens(spark: SparkSession, d: str) -> DataFrame:
+    docs = X.table(spark, d, "documents").select("doc_id", TX.words(TX.clean_text("text")).alias("w"))
+    return docs.select("doc_id", F.size("w").cast("long").alias("n_tokens"),
+                       F.try_element_at("w", F.lit(1)).alias("first_token"),
+                       F.try_element_at("w", F.lit(-1)).alias("last_token"))
+
+
+def _doc_positions(spark, d):
+    docs = X.table(spark, d, "documents").select("doc_id", "n_chars")
+    return R.with_row_index(docs, ["doc_id"], "idx")
+
+
+@query
+def batch_report(spark: SparkSession, d: str) -> DataFrame:
+    return R.batch_report(_doc_positions(spark, d), "idx", 128)
+
+
+@query
+def sample_rows(spark: SparkSession, d: str) -> DataFrame:
+    return R.every_nth(_doc_positions(spark, d), 20).select("idx", "doc_id")
+
+
+@query
+def slice_rows(spark: SparkSession, d: str) -> DataFrame:
+    return R.position_slice(_doc_positions(spark, d), 3, 11).select("idx", "doc_id")
+
+
+@query
+def contains_docs(spark: SparkSession, d: str) -> DataFrame:
+    docs = X.table(spark, d, "documents")
+    return docs.where(F.col("text").contains("tion ")).select("doc_id", "n_chars")

@@ -176,3 +176,136 @@ _q("search_report", f"WITH {vec_ctes()}, {ranked_cte()}, {mmr_ctes(5)} "
    "round(distance, 6) AS distance FROM ranked WHERE rank <= 5 "
    "UNION ALL SELECT uid, 'mmr' AS method, cat_type, rank, CAST(mmr_step AS BIGINT), doc_ord, path, "
    "round(distance, 6) FROM mmr")
+
+
+# --------------------------------------------------------------------------- text and documents
+
+from taxomatch.functions.text import stop_words  # noqa: E402
+
+_CAT = """
+cat AS (
+  SELECT path, row_number() OVER (ORDER BY path) - 1 AS cat_idx FROM (
+    SELECT DISTINCT lower(p_type) || '--range/' || replace(p_name, ' ', '-') AS path FROM part))"""
+
+_PROD = """
+prod AS (
+  SELECT CAST(p_partkey AS VARCHAR) AS uid,
+         CASE WHEN p_partkey % 7 = 0 THEN 'XL, ' ELSE '' END
+           || p_name || ', ' || p_brand || ', size ' || CAST(p_size AS VARCHAR) AS title,
+         p_type || ' ' || p_name AS description,
+         CASE p_partkey % 4 WHEN 1 THEN '[''' || p_type || ''',''' || p_brand || ''']'
+                            WHEN 2 THEN p_type WHEN 3 THEN '[]' END AS vendor_category
+  FROM part)"""
+
+
+def _path_text(col: str, dd: str = " to ") -> str:
+    return f"replace(replace(replace({col}, '--', '{dd}'), '-', ' '), '/', ' for ')"
+
+
+_WS = " \\t\\n\\x0B\\f\\r"
+
+
+def _norm_letters(col: str) -> str:
+    return (f"trim(regexp_replace(regexp_replace(lower({col}), '[^a-zA-Z{_WS}]', ' ', 'g'), "
+            f"'[{_WS}]+', ' ', 'g'))")
+
+
+def _stop_list() -> str:
+    return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in stop_words()) + "]"
+
+
+def _clean_words(col: str) -> str:
+    n = _norm_letters(col)
+    return (f"list_filter(CASE WHEN {n} = '' THEN []::VARCHAR[] ELSE string_split({n}, ' ') END, "
+            f"lambda w: NOT list_contains({_stop_list()}, w))")
+
+
+def _labels(col: str) -> str:
+    inner = f"trim({col}, '[]')"
+    return (f"CASE WHEN {col} IS NULL OR {col} IN ('nan', 'None') THEN []::VARCHAR[] "
+            f"WHEN {col} LIKE '[%]' THEN CASE WHEN trim({inner}) = '' THEN []::VARCHAR[] ELSE "
+            f"list_transform(string_split({inner}, ','), lambda x: trim(trim(x), '''')) END "
+            f"ELSE [{col}] END")
+
+
+def _head(col: str) -> str:
+    parts = f"string_split(coalesce({col}, ''), ',')"
+    return (f"CASE WHEN length({parts}[1]) <= 2 THEN array_to_string({parts}[1:2], ' ') "
+            f"ELSE {parts}[1] END")
+
+
+def _suffix(labels: str, joiner: str) -> str:
+    return (f"CASE WHEN len({labels}) > 0 AND {labels}[1] IS NOT NULL "
+            f"THEN '{joiner}' || array_to_string({labels}, ' or ') ELSE '' END")
+
+
+_q("category_text", f"WITH {_CAT} SELECT cat_idx, path, {_path_text('path')} AS text FROM cat")
+_q("category_docs", f"""WITH {_CAT},
+d AS (
+  SELECT cat_idx, path, CAST(len(string_split(path, '/')) AS BIGINT) AS level,
+         {_path_text('path')} AS all_text FROM cat)
+SELECT 'categories.csv:' || cat_idx || ':' || level || ':0' AS id, cat_idx, path, level,
+       'ALL' AS cat_type, all_text AS text, cat_idx * 2 AS doc_ord FROM d
+UNION ALL
+SELECT 'categories.csv:' || cat_idx || ':' || level || ':1', cat_idx, path, level,
+       'LAST', string_split(all_text, ' for ')[-1], cat_idx * 2 + 1 FROM d""")
+_q("category_levels", f"""WITH {_CAT}
+SELECT cat_idx, CAST(len(string_split(path, '/')) AS BIGINT) AS level,
+       string_split(path, '/')[1] AS root, string_split(path, '/')[-1] AS leaf FROM cat""")
+_q("doc_ids_runs", """
+WITH o AS (SELECT doc_id, lang, lag(lang) OVER (ORDER BY doc_id) AS prev,
+                  row_number() OVER (ORDER BY doc_id) AS pos FROM documents),
+s AS (SELECT *, sum(CASE WHEN prev IS NOT DISTINCT FROM lang AND pos > 1 THEN 0 ELSE 1 END)
+                  OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM o)
+SELECT doc_id, lang, row_number() OVER (PARTITION BY run ORDER BY doc_id) - 1 AS n,
+       lang || ':' || CAST(row_number() OVER (PARTITION BY run ORDER BY doc_id) - 1 AS VARCHAR) AS id
+FROM s""")
+_q("chunk_ids", f"""WITH {_CAT},
+d AS (SELECT cat_idx, CAST(len(string_split(path, '/')) AS BIGINT) AS level FROM cat)
+SELECT cat_idx * 2 AS idx, 'ALL' AS cat_type, 'categories.csv:' || cat_idx || ':' || level || ':0' AS id FROM d
+UNION ALL
+SELECT cat_idx * 2 + 1, 'LAST', 'categories.csv:' || cat_idx || ':' || level || ':1' FROM d""")
+_TT = _path_text("path", " type: ")
+_q("type_extract", f"""WITH {_CAT}, t AS (SELECT cat_idx, {_TT} AS text FROM cat)
+SELECT cat_idx, text,
+       array_to_string(regexp_extract_all(text, ' type: (.*?) for ', 1), '  ') AS types_all,
+       CASE WHEN regexp_matches(text, 'type: (.*?) for ') THEN regexp_extract(text, 'type: (.*?) for ', 1) END
+         AS type_first,
+       CASE WHEN regexp_matches(text, ' for (.*?) type: ') THEN regexp_extract(text, ' for (.*?) type: ', 1) END
+         AS for_first
+FROM t""")
+_q("vendor_labels", f"""WITH {_PROD}, l AS (SELECT uid, vendor_category, {_labels('vendor_category')} AS l FROM prod)
+SELECT uid, vendor_category, CAST(len(l) AS BIGINT) AS n_labels,
+       array_to_string(list_transform(l, lambda x: coalesce(x, '<null>')), '|') AS labels FROM l""")
+_q("product_text", f"""WITH {_PROD}
+SELECT uid, {_head('title')} AS head,
+       {_head('title')} || {_suffix(_labels('vendor_category'), ' categorize as ')} AS text FROM prod""")
+_q("product_text_plain", f"""WITH {_PROD}
+SELECT uid, {_head('title')} || {_suffix(_labels('vendor_category'), ' ')} AS text FROM prod""")
+_q("product_text_words", f"""WITH {_PROD}
+SELECT uid, coalesce(title, 'nan') || ' ' ||
+       replace(replace(lower(coalesce(vendor_category, 'nan')), 'none', ''), 'nan', '') AS text FROM prod""")
+_q("corpus_text", f"""WITH {_PROD}
+SELECT uid, coalesce(title, 'nan') || ' ' || coalesce(description, 'nan') || ' ' ||
+       coalesce(vendor_category, 'nan') AS text FROM prod""")
+_q("clean_text", f"""
+SELECT doc_id, clean FROM (SELECT doc_id, array_to_string({_clean_words('text')}, ' ') AS clean FROM documents)
+WHERE length(clean) > 0""")
+_q("clean_category_text", f"""WITH {_CAT}
+SELECT cat_idx, array_to_string({_clean_words(_path_text('path'))}, ' ') AS clean FROM cat""")
+_q("chunk_words", f"""
+WITH w AS (SELECT doc_id, {_clean_words('text')} AS w FROM documents),
+c AS (SELECT doc_id, unnest(range(0, len(w), 2000)) AS start, w FROM w WHERE len(w) > 0)
+SELECT doc_id, CAST(start // 2000 AS BIGINT) AS chunk_no,
+       CAST(len(w[start + 1 : start + 2000]) AS BIGINT) AS n_words,
+       array_to_string(w[start + 1 : start + 2000], ' ') AS chunk FROM c""")
+_q("tokens", f"""
+WITH w AS (SELECT doc_id, {_clean_words('text')} AS w FROM documents)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_tokens, w[1] AS first_token, w[-1] AS last_token FROM w""")
+_POS = "pos AS (SELECT doc_id, n_chars, row_number() OVER (ORDER BY doc_id) - 1 AS idx FROM documents)"
+_q("batch_report", f"""WITH {_POS}
+SELECT idx // 128 AS batch, count(*) AS n_rows, min(idx) AS first_idx, max(idx) AS last_idx
+FROM pos GROUP BY 1""")
+_q("sample_rows", f"WITH {_POS} SELECT idx, doc_id FROM pos WHERE idx % 20 = 0")
+_q("slice_rows", f"WITH {_POS} SELECT idx, doc_id FROM pos WHERE idx >= 3 AND idx < 11")
+_q("contains_docs", "SELECT doc_id, n_chars FROM documents WHERE contains(text, 'tion ')")
