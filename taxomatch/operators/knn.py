@@ -61,13 +61,6 @@ DEFAULT_LAMBDA = 0.5
 
 # --------------------------------------------------------------------------- numpy kernels
 
-def _unit_cos(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
-    with np.errstate(divide="ignore", invalid="ignore"):
-        s = (a @ b.T) / np.outer(na, nb)
-    s[~np.isfinite(s)] = 0.0
-    return s
-
-
 def mmr_select(q: np.ndarray, cands: np.ndarray, k: int, lambda_mult: float) -> np.ndarray:
     """Batched greedy MMR.
 
@@ -104,7 +97,7 @@ def mmr_select(q: np.ndarray, cands: np.ndarray, k: int, lambda_mult: float) ->
     return sel
 
 
-def _top_candidates(Q, Xg, og, kcand, metric):
+def _top_candidates(Q, Xg, og, kcand, metric, round_digits=None):
     """Exact top ``kcand`` items of ``Xg`` for every row of ``Q``.
 
     The matrix product ranks approximately; every item within a small
@@ -120,6 +113,9 @@ def _top_candidates(Q, Xg, og, kcand, metric):
     if metric == "l2":
         approx = qn2[:, None] + xn2[None, :] - 2.0 * (Q @ Xg.T)
         scale = 1.0 + qn2[:, None] + xn2.max(initial=0.0)
+    elif metric == "dot":
+        approx = 1.0 - Q @ Xg.T
+        scale = 1.0 + np.sqrt(qn2)[:, None] * np.sqrt(xn2.max(initial=0.0))
     else:
         qn = np.sqrt(qn2)
         xn = np.sqrt(xn2)
@@ -136,10 +132,14 @@ def _top_candidates(Q, Xg, og, kcand, metric):
     if metric == "l2":
         diff = Q[r] - Xg[c]
         d = np.einsum("ij,ij->i", diff, diff)
+    elif metric == "dot":
+        d = 1.0 - np.einsum("ij,ij->i", Q[r], Xg[c])
     else:
         with np.errstate(divide="ignore", invalid="ignore"):
             d = 1.0 - np.einsum("ij,ij->i", Q[r], Xg[c]) / (np.sqrt(qn2[r]) * np.sqrt(xn2[c]))
         d[~np.isfinite(d)] = np.nan
+    if round_digits is not None:
+        d = np.round(d, round_digits)
     order = np.lexsort((og[c], np.where(np.isnan(d), np.inf, d), r))
     r, c, d = r[order], c[order], d[order]
     if len(r) == 0:
@@ -166,7 +166,7 @@ def _frame(uids, model, method, ctype, rank, ords, paths, dist, step):
     })
 
 
-def _score_block(row, k, methods, fetch_k, lam, metric, by_type, mmr_order):
+def _score_block(row, k, methods, fetch_k, lam, metric, by_type, mmr_order, round_digits):
     Q = np.asarray(np.stack(row.q_vec), dtype=np.float64) if len(row.q_vec) else np.zeros((0, 1))
     X = np.asarray(np.stack(row.i_vec), dtype=np.float64)
     uids = np.asarray(row.q_uid, dtype=object)
@@ -182,7 +182,7 @@ def _score_block(row, k, methods, fetch_k, lam, metric, by_type, mmr_order):
     out = []
     for ctype, idx in groups:
         Xg, og, pg = X[idx], ords[idx], paths[idx]
-        r, c, d, rank = _top_candidates(Q, Xg, og, kcand, metric)
+        r, c, d, rank = _top_candidates(Q, Xg, og, kcand, metric, round_digits)
         if "sim" in methods:
             m = rank <= k
             out.append(_frame(uids[r[m]], row.model, "sim", ctype, rank[m], og[c[m]], pg[c[m]],
@@ -211,12 +211,13 @@ def _score_block(row, k, methods, fetch_k, lam, metric, by_type, mmr_order):
     return out
 
 
-def _block_kernel(k, methods, fetch_k, lam, metric, by_type, mmr_order):
+def _block_kernel(k, methods, fetch_k, lam, metric, by_type, mmr_order, round_digits=None):
     def run(batches):
         for pdf in batches:
             parts = []
             for row in pdf.itertuples(index=False):
-                parts.extend(_score_block(row, k, methods, fetch_k, lam, metric, by_type, mmr_order))
+                parts.extend(_score_block(row, k, methods, fetch_k, lam, metric, by_type, mmr_order,
+                                          round_digits))
             parts = [p for p in parts if len(p)]
             if parts:
                 res = pd.concat(parts, ignore_index=True)
@@ -284,16 +285,19 @@ def search(queries: DataFrame, items: DataFrame, k: int, *, methods=("sim",),
            fetch_k: int = DEFAULT_FETCH_K, lambda_mult: float = DEFAULT_LAMBDA,
            by_type: bool = True, metric: str = "l2", mmr_order: str = "distance",
            block_rows: int = 4096, broadcast_bytes: int = 128 << 20,
-           plan: dict | None = None) -> DataFrame:
+           round_digits: int | None = None, plan: dict | None = None) -> DataFrame:
     """Hit lists for every (query, model, list) — one row per hit (``HIT_SCHEMA``).
 
     ``methods``: ``sim`` = k nearest (J1/L2), ``mmr`` = diversified top k (L3).
     ``by_type``: one list per ``cat_type`` of the items (P2); otherwise one list
     over all items with ``cat_type = 'ANY'`` (Q2).
-    ``metric``: ``l2`` (squared Euclidean, smaller is nearer) or ``cosine``
-    (``distance = 1 - cos``).  Ties go to the smaller ``doc_ord``.
+    ``metric``: ``l2`` (squared Euclidean, smaller is nearer), ``cosine``
+    (``distance = 1 - cos``) or ``dot`` (``distance = 1 - q.x``, for vectors
+    normalised beforehand).  Ties go to the smaller ``doc_ord``;
+    ``round_digits`` rounds distances before ranking so that sums taken in
+    another order tie the same way.
     """
-    if metric not in ("l2", "cosine"):
+    if metric not in ("l2", "cosine", "dot"):
         raise ValueError(metric)
     queries = _with_model(queries).select("model", F.col("uid").cast("string").alias("uid"),
                                           F.col("vec").cast("array<double>").alias("vec"))
@@ -321,7 +325,7 @@ def search(queries: DataFrame, items: DataFrame, k: int, *, methods=("sim",),
     kcand = k if (final or "mmr" not in methods) else max(k, fetch_k)
     hits = pairs.mapInPandas(
         _block_kernel(kcand if not final else k, kernel_methods, fetch_k, lambda_mult, metric,
-                      by_type, mmr_order),
+                      by_type, mmr_order, round_digits),
         HIT_SCHEMA)
     if final:
         return hits

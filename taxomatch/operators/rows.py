@@ -16,13 +16,14 @@ from pyspark.sql import functions as F
 _LOW_BITS = (1 << 33) - 1
 
 
-def with_row_index(df: DataFrame, order: list[str], name: str = "idx", start: int = 0,
+def with_row_index(df: DataFrame, order: list, name: str = "idx", start: int = 0,
                    num_partitions: int | None = None) -> DataFrame:
     """Add ``name`` = 0-based (or ``start``-based) position in ``order``.
 
-    ``order`` should be unique for a stable numbering.
+    ``order``: column names or sort expressions (``F.desc(..)``); it should be
+    unique for a stable numbering.
     """
-    cols = [F.col(c) for c in order]
+    cols = [F.col(c) if isinstance(c, str) else c for c in order]
     ranged = (df.repartitionByRange(num_partitions, *cols) if num_partitions
               else df.repartitionByRange(*cols))
     s = (ranged.sortWithinPartitions(*cols)

@@ -288,3 +288,137 @@ def slice_rows(spark: SparkSession, d: str) -> DataFrame:
 def contains_docs(spark: SparkSession, d: str) -> DataFrame:
     docs = X.table(spark, d, "documents")
     return docs.where(F.col("text").contains("tion ")).select("doc_id", "n_chars")
+
+
+# --------------------------------------------------------------------------- collections
+
+import uuid  # noqa: E402
+
+from taxomatch.operators import embed as EM  # noqa: E402
+from taxomatch.operators import words as W  # noqa: E402
+from taxomatch.session import scratch_path  # noqa: E402
+from taxomatch.sources import collections as S  # noqa: E402
+
+# Model names of the store round trip (collection names are derived from them).
+STORE_MODELS = ("nomic-embed-text:latest", "mxbai/embed-large:v1")
+
+
+def _hashing_embedder(dim: int):
+    from pyspark.ml.feature import HashingTF
+    from pyspark.ml.functions import vector_to_array
+
+    def embed(df: DataFrame) -> DataFrame:
+        toks = df.withColumn("_w", TX.words(TX.clean_text("text")))
+        tf = HashingTF(numFeatures=dim, inputCol="_w", outputCol="_tf").transform(toks)
+        return tf.withColumn("vec", vector_to_array("_tf")).drop("_w", "_tf")
+    return embed
+
+
+@query
+def missing_docs(spark: SparkSession, d: str) -> DataFrame:
+    docs = X.table(spark, d, "documents").select("doc_id", "lang")
+    stored = X.table(spark, d, "labels").select("doc_id")
+    return docs.join(stored, "doc_id", "left_anti")
+
+
+@query
+def collection_counts(spark: SparkSession, d: str) -> DataFrame:
+    """K3/K4 twice (stored ids first, then all documents) then A5: the second
+    run only adds the missing documents, so every collection ends with each
+    document exactly once."""
+    store = S.VectorStore(spark, scratch_path(spark, f"store-{uuid.uuid4().hex}"))
+    docs = X.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), "text")
+    labelled = docs.join(X.table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("id")),
+                         "id", "left_semi")
+    models = {m: _hashing_embedder(16) for m in STORE_MODELS}
+    store.add_missing(labelled, S.PRODUCTS, models)
+    store.add_missing(docs, S.PRODUCTS, models)
+    return store.counts()
+
+
+@query
+def collection_names(spark: SparkSession, d: str) -> DataFrame:
+    return X.table(spark, d, "pages").select("page_id", S.collection_name("url").alias("name"))
+
+
+# --------------------------------------------------------------------------- words
+
+def _doc_corpus(spark, d):
+    return W.sentences(X.table(spark, d, "documents"), "doc_id", F.col("text"))
+
+
+@query
+def vocab_counts(spark: SparkSession, d: str) -> DataFrame:
+    return W.vocabulary(_doc_corpus(spark, d))
+
+
+@query
+def corpus_size(spark: SparkSession, d: str) -> DataFrame:
+    return W.corpus_size(W.build_corpus(X.cat(spark, d), X.prod(spark, d)))
+
+
+@query
+def vocab_overlay(spark: SparkSession, d: str) -> DataFrame:
+    vocab = W.vocabulary(W.build_corpus(X.cat(spark, d), X.prod(spark, d)), min_count=1)
+    o = W.overlay(vocab, None, X.word_vecs(spark, d))
+    return o.select("word", "count", "pretrained",
+                    F.round(F.try_element_at("vec", F.lit(1)), 6).alias("v1"))
+
+
+def _vec_summary(df: DataFrame, key: str) -> DataFrame:
+    return df.select(key, "known_words",
+                     F.round(F.element_at("vec", 1), 6).alias("v1"),
+                     F.round(F.element_at("vec", -1), 6).alias("vlast"),
+                     F.round(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x), 6).alias("vsum"))
+
+
+@query
+def mean_word_vectors(spark: SparkSession, d: str) -> DataFrame:
+    docs = X.table(spark, d, "documents")
+    mv = W.mean_vectors(docs, "doc_id", F.col("text"), X.word_vecs(spark, d), 64)
+    return _vec_summary(mv, "doc_id")
+
+
+@query
+def known_words(spark: SparkSession, d: str) -> DataFrame:
+    docs = X.table(spark, d, "documents")
+    kw = W.known_words(docs, "doc_id", F.col("text"), X.word_vecs(spark, d))
+    return kw.select("doc_id", F.size("words").cast("long").alias("n_known"),
+                     F.array_join("words", " ").alias("words"))
+
+
+@query
+def word2vec_train(spark: SparkSession, d: str) -> DataFrame:
+    corpus = W.build_corpus(X.cat(spark, d), X.prod(spark, d))
+    wv = W.train_word2vec(corpus, vector_size=16, epochs=1)
+    return wv.select("word", F.size("vec").cast("long").alias("dim"))
+
+
+def _doc_vectors(spark, d):
+    docs = X.table(spark, d, "documents")
+    mv = W.mean_vectors(docs, "doc_id", F.col("text"), X.word_vecs(spark, d), 64)
+    return mv.select(F.lit("principal").alias("model"), F.col("doc_id").cast("string").alias("uid"), "vec")
+
+
+@query
+def words_direct(spark: SparkSession, d: str) -> DataFrame:
+    """Documents by mean word vector -> nearest category document."""
+    return C.classify_direct(_doc_vectors(spark, d), X.vec_items(spark, d))
+
+
+@query
+def tfidf_direct(spark: SparkSession, d: str) -> DataFrame:
+    """U1 + C1: TF-IDF of product texts (T7) and category documents, nearest by dot product."""
+    cdocs = D.category_documents(X.cat(spark, d)).select(
+        F.concat(F.lit("c:"), F.col("doc_ord").cast("string")).alias("id"), "text", "doc_ord", "path",
+        "cat_type")
+    p = X.prod(spark, d)
+    pdocs = p.select(F.concat(F.lit("p:"), F.col("uid")).alias("id"),
+                     TX.product_text("title", "vendor_category").alias("text"))
+    alldocs = cdocs.select("id", "text").unionByName(pdocs)
+    vecs, _ = EM.tfidf(alldocs, F.col("id").startswith("c:"))
+    items = cdocs.join(vecs, "id").select("doc_ord", "path", "cat_type", "vec")
+    queries = (vecs.where(F.col("id").startswith("p:"))
+               .select(F.substring("id", 3, 1 << 20).alias("uid"), "vec"))
+    hits = K.nearest(queries, items, metric="dot", round_digits=10)
+    return hits.select(F.col("uid").alias("_id"), F.col("path").alias("category"))

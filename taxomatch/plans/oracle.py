@@ -309,3 +309,96 @@ FROM pos GROUP BY 1""")
 _q("sample_rows", f"WITH {_POS} SELECT idx, doc_id FROM pos WHERE idx % 20 = 0")
 _q("slice_rows", f"WITH {_POS} SELECT idx, doc_id FROM pos WHERE idx >= 3 AND idx < 11")
 _q("contains_docs", "SELECT doc_id, n_chars FROM documents WHERE contains(text, 'tion ')")
+
+
+# --------------------------------------------------------------------------- collections
+
+_q("missing_docs", "SELECT d.doc_id, d.lang FROM documents d ANTI JOIN labels l USING (doc_id)")
+_q("collection_counts", """
+SELECT 'products' AS side, m.model, count(*) AS n
+FROM documents, (VALUES ('nomic-embed-text_latest'), ('mxbai-embed-large_v1')) AS m(model)
+GROUP BY 1, 2""")
+_q("collection_names", "SELECT page_id, translate(url, ':/', '_-') AS name FROM pages")
+
+
+# --------------------------------------------------------------------------- words
+
+def _doc_words() -> str:
+    return f"dw AS (SELECT doc_id, {_clean_words('text')} AS w FROM documents)"
+
+
+_WORD_VECS = f"""{_doc_words()},
+dvocab AS (SELECT word, count(*) AS count FROM (SELECT unnest(w) AS word FROM dw) GROUP BY word
+           HAVING count(*) >= 2),
+dranked AS (SELECT word, row_number() OVER (ORDER BY count DESC, word) - 1 AS rank FROM dvocab),
+word_vecs AS (SELECT r.word, CAST(e.embedding AS DOUBLE[]) AS vec
+              FROM dranked r JOIN embeddings e ON e.vec_id = r.rank)"""
+
+_CORPUS = f"""{_CAT}, {_PROD},
+corpus_w AS (
+  SELECT {_clean_words(_path_text('path'))} AS w FROM cat
+  UNION ALL
+  SELECT {_clean_words("coalesce(title, 'nan') || ' ' || coalesce(description, 'nan') || ' ' || coalesce(vendor_category, 'nan')")}
+  FROM prod)"""
+
+_q("vocab_counts", f"""WITH {_doc_words()}
+SELECT word, count(*) AS count FROM (SELECT unnest(w) AS word FROM dw) GROUP BY word HAVING count(*) >= 2""")
+_q("corpus_size", f"""WITH {_CORPUS}
+SELECT CAST(sum((len(w) + 1999) // 2000) AS BIGINT) AS n_sentences, CAST(sum(len(w)) AS BIGINT) AS n_tokens
+FROM corpus_w WHERE len(w) > 0""")
+_q("vocab_overlay", f"""WITH {_CORPUS}, {_WORD_VECS},
+cv AS (SELECT word, count(*) AS count FROM (SELECT unnest(w) AS word FROM corpus_w) GROUP BY word)
+SELECT cv.word, cv.count, wv.vec IS NOT NULL AS pretrained, round(wv.vec[1], 6) AS v1
+FROM cv LEFT JOIN word_vecs wv USING (word)""")
+
+_MEANS = f"""{_WORD_VECS},
+dt AS (SELECT doc_id, unnest(w) AS word FROM dw),
+known AS (SELECT dt.doc_id, wv.vec FROM dt JOIN word_vecs wv USING (word)),
+kcount AS (SELECT doc_id, count(*) AS known_words FROM known GROUP BY doc_id),
+kv AS (SELECT doc_id, unnest(range(1, len(vec) + 1)) AS i, unnest(vec) AS x FROM known),
+kmean AS (SELECT doc_id, i, avg(x) AS m FROM kv GROUP BY doc_id, i),
+means AS (SELECT d.doc_id, CAST(coalesce(k.known_words, 0) AS BIGINT) AS known_words,
+                 coalesce((SELECT list(m ORDER BY i) FROM kmean WHERE kmean.doc_id = d.doc_id),
+                          list_transform(range(64), lambda j: 0.0::DOUBLE)) AS vec
+          FROM documents d LEFT JOIN kcount k USING (doc_id))"""
+
+_q("mean_word_vectors", f"""WITH {_MEANS}
+SELECT doc_id, known_words, round(vec[1], 6) AS v1, round(vec[-1], 6) AS vlast,
+       round(list_sum(vec), 6) AS vsum FROM means""")
+_q("known_words", f"""WITH {_WORD_VECS},
+dp AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM dw)
+SELECT doc_id, count(*) AS n_known, string_agg(word, ' ' ORDER BY pos) AS words
+FROM dp SEMI JOIN word_vecs USING (word) GROUP BY doc_id""")
+_q("words_direct", f"""WITH {_MEANS}, {vec_ctes()},
+dq AS (SELECT CAST(doc_id AS VARCHAR) AS uid, vec FROM means),
+pd AS (SELECT dq.uid, i2.path, i2.doc_ord,
+              list_sum(list_transform(range(1, len(dq.vec) + 1),
+                       lambda i: (dq.vec[i] - i2.vec[i]) * (dq.vec[i] - i2.vec[i]))) AS distance
+       FROM dq, items i2),
+r AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY distance, doc_ord) AS rank FROM pd)
+SELECT uid AS _id, path AS category FROM r WHERE rank = 1""")
+
+_q("tfidf_direct", f"""WITH {_CAT}, {_PROD},
+cd AS (SELECT cat_idx, path, {_path_text('path')} AS all_text FROM cat),
+cdocs AS (
+  SELECT 'c:' || CAST(cat_idx * 2 AS VARCHAR) AS id, all_text AS text, cat_idx * 2 AS doc_ord, path FROM cd
+  UNION ALL
+  SELECT 'c:' || CAST(cat_idx * 2 + 1 AS VARCHAR), string_split(all_text, ' for ')[-1], cat_idx * 2 + 1, path
+  FROM cd),
+pdocs AS (SELECT 'p:' || uid AS id,
+                 {_head('title')} || {_suffix(_labels('vendor_category'), ' categorize as ')} AS text FROM prod),
+alld AS (SELECT id, text FROM cdocs UNION ALL SELECT id, text FROM pdocs),
+toks AS (SELECT id, unnest({_clean_words('text')}) AS term FROM alld),
+tf AS (SELECT id, term, count(*) AS tf FROM toks GROUP BY id, term),
+nd AS (SELECT count(*) AS n FROM alld),
+dfr AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+w AS (SELECT tf.id, tf.term, tf.tf * ln((nd.n + 1.0) / (dfr.df + 1.0)) AS w FROM tf JOIN dfr USING (term), nd),
+nrm AS (SELECT id, sqrt(sum(w * w)) AS norm FROM w GROUP BY id),
+wn AS (SELECT w.id, w.term, w.w / nrm.norm AS w FROM w JOIN nrm USING (id) WHERE nrm.norm > 0),
+score AS (SELECT p.id AS pid, c.id AS cid, sum(p.w * c.w) AS s
+          FROM wn p JOIN wn c USING (term)
+          WHERE p.id LIKE 'p:%' AND c.id LIKE 'c:%' GROUP BY 1, 2),
+pairs AS (SELECT substr(p.id, 3) AS uid, c.doc_ord, c.path, round(1 - coalesce(s.s, 0), 10) AS distance
+          FROM pdocs p CROSS JOIN cdocs c LEFT JOIN score s ON s.pid = p.id AND s.cid = c.id),
+r AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY distance, doc_ord) AS rank FROM pairs)
+SELECT uid AS _id, path AS category FROM r WHERE rank = 1""")
