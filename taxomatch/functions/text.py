@@ -36,9 +36,6 @@ TYPE_PATTERN_FIRST = "type: (.*?) for "
 TYPE_JOIN = "  "
 MISSING_TEXTS = ("nan", "None")
 CHUNK_WORDS = 2000
-# Whitespace as understood by the cleaning rule (ASCII space, tab, newline,
-# vertical tab, form feed, carriage return).
-_WS = " \\t\\n\\x0B\\f\\r"
 # ---------------------------------------------------------------------------
 
 
@@ -179,21 +176,24 @@ def stop_words(language: str = "english") -> tuple[str, ...]:
 
 def normalize_letters(text: Column | str, cat: bool = False) -> Column:
     """T11 without the stop words: optional path rewrite, lower case, every
-    character that is not an ASCII letter or whitespace -> space, runs of
-    whitespace -> one space, trimmed.  A missing text gives ``''``."""
+    run of characters that are not ASCII letters -> one space, trimmed.  A
+    missing text gives ``''``.
+
+    The rule "non-letter -> space, then runs of whitespace -> one space" is
+    the same as "runs of non-letters -> one space"; one regex pass does it.
+    """
     t = _c(text)
     if cat:
         t = path_text(t)
-    t = F.lower(t)
-    t = F.regexp_replace(t, f"[^a-zA-Z{_WS}]", " ")
-    t = F.regexp_replace(t, f"[{_WS}]+", " ")
-    return F.coalesce(F.trim(t), _lit(""))
+    return F.coalesce(F.trim(F.regexp_replace(F.lower(t), "[^a-z]+", " ")), _lit(""))
 
 
 def words(text: Column | str) -> Column:
-    """Tokens of a normalised text (only letters and single spaces are left)."""
-    t = _c(text)
-    return F.when(F.length(t) > 0, F.split(t, " ", -1)).otherwise(F.array().cast("array<string>"))
+    """Tokens of a normalised text (only letters and single spaces are left).
+
+    The text is referenced once, so an expensive input is not evaluated twice.
+    """
+    return F.array_remove(F.split(_c(text), " ", -1), "")
 
 
 def drop_stop_words(tokens: Column, language: str = "english") -> Column:
@@ -206,13 +206,27 @@ def drop_stop_words(tokens: Column, language: str = "english") -> Column:
     return F.filter(tokens, lambda w: ~w.isin(*stop))
 
 
+def is_stop_word(word: Column | str, language: str = "english") -> Column:
+    """Predicate for exploded tokens (stays in generated code)."""
+    return _c(word).isin(*stop_words(language))
+
+
+def clean_words(text: Column | str, cat: bool = False, language: str = "english") -> Column:
+    """T11 as tokens: ``normalize_letters`` -> words -> stop words removed."""
+    return drop_stop_words(words(normalize_letters(text, cat)), language)
+
+
 def clean_text(text: Column | str, cat: bool = False, language: str = "english") -> Column:
-    """``normalize_letters`` then stop words removed; joined by single spaces."""
-    return F.array_join(drop_stop_words(words(normalize_letters(text, cat)), language), " ")
+    """``clean_words`` joined by single spaces."""
+    return F.array_join(clean_words(text, cat, language), " ")
 
 
 def chunk_words(tokens: Column, size: int = CHUNK_WORDS) -> Column:
-    """``array<array<string>>`` of consecutive runs of at most ``size`` words."""
+    """``array<array<string>>`` of consecutive runs of at most ``size`` words.
+
+    ``tokens`` is referenced several times: pass a column that is already
+    computed (a name), not the cleaning expression itself.
+    """
     return F.when(
         F.size(tokens) > 0,
         F.transform(F.sequence(F.lit(0), F.size(tokens) - 1, F.lit(size)),

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taxomatch.functions import text as TX
-from taxomatch.operators.rows import with_row_index
+from taxomatch.operators.rows import spread, with_row_index
 from taxomatch.operators.words import mean_vectors
 
 
@@ -49,8 +49,8 @@ def term_weights(docs: DataFrame, key: str = "id", text: Column | str = "text",
     Term frequencies, document frequencies and norms are three hash
     aggregates; the idf table has one row per term.
     """
-    toks = docs.select(F.col(key).alias("key"),
-                       F.explode(TX.words(TX.clean_text(text, cat=cat))).alias("term"))
+    toks = spread(docs).select(F.col(key).alias("key"),
+                       F.explode(TX.clean_words(text, cat=cat)).alias("term"))
     tf = toks.groupBy("key", "term").agg(F.count(F.lit(1)).alias("tf"))
     n_docs = docs.select(key).count()
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))

@@ -70,3 +70,13 @@ def batch_report(df: DataFrame, idx: str = "idx", size: int = 5000) -> DataFrame
 def range_slices(df: DataFrame, n: int, key: str = "uid") -> DataFrame:
     """Split the rows into ``n`` key ranges; every row is kept."""
     return df.repartitionByRange(n, key)
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin the rows over at least ``min_partitions`` partitions (default:
+    the parallelism of the cluster) before CPU-heavy per-row work - but only
+    when the input has fewer partitions than that.  A large scan already has
+    many more partitions and is left as it is (no shuffle).
+    """
+    n = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df

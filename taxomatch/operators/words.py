@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taxomatch.functions import text as TX
+from taxomatch.operators.rows import spread
 
 # Fixed values of the reference's training set-up: words seen fewer than
 # twice are left out of the vocabulary, 10 training epochs.
@@ -25,9 +26,9 @@ def sentences(df: DataFrame, key: str, text: Column | str, cat: bool = False,
               chunk: int = TX.CHUNK_WORDS) -> DataFrame:
     """Clean (T11), drop empty texts (P5), cut into chunks of ``chunk`` words
     (G5) and tokenise (G6): one row per chunk."""
-    t = df.select(F.col(key).cast("string").alias("key"),
-                  TX.words(TX.clean_text(text, cat=cat)).alias("w"))
-    t = t.where(F.size("w") > 0)
+    t = spread(df).select(F.col(key).cast("string").alias("key"),
+                          TX.clean_words(text, cat=cat).alias("w"))
+    # an empty text has no chunk (P5)
     ch = t.select("key", F.posexplode(TX.chunk_words(F.col("w"))).alias("chunk_no", "tokens"))
     return ch.select(F.concat_ws("#", "key", F.col("chunk_no").cast("string")).alias("sent_id"), "tokens")
 
@@ -78,7 +79,7 @@ def overlay(vocab: DataFrame, trained: DataFrame | None, pretrained: DataFrame,
 
 
 def _positions(docs: DataFrame, key: str, text: Column | str, cat: bool) -> DataFrame:
-    w = docs.select(F.col(key).alias("key"), TX.words(TX.clean_text(text, cat=cat)).alias("w"))
+    w = spread(docs).select(F.col(key).alias("key"), TX.clean_words(text, cat=cat).alias("w"))
     return w.select("key", F.posexplode("w").alias("pos", "word"))
 
 

@@ -237,7 +237,7 @@ def corpus_text(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def clean_text(spark: SparkSession, d: str) -> DataFrame:
-    docs = X.table(spark, d, "documents")
+    docs = R.spread(X.table(spark, d, "documents"))
     c = docs.select("doc_id", TX.clean_text("text").alias("clean"))
     return c.where(TX.not_empty("clean"))
 
@@ -249,8 +249,8 @@ def clean_category_text(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def chunk_words(spark: SparkSession, d: str) -> DataFrame:
-    docs = X.table(spark, d, "documents").select(
-        "doc_id", TX.words(TX.clean_text("text")).alias("w"))
+    docs = R.spread(X.table(spark, d, "documents")).select(
+        "doc_id", TX.clean_words("text").alias("w"))
     ch = docs.select("doc_id", F.posexplode(TX.chunk_words(F.col("w"))).alias("chunk_no", "c"))
     return ch.select("doc_id", F.col("chunk_no").cast("long").alias("chunk_no"),
                      F.size("c").cast("long").alias("n_words"), F.array_join("c", " ").alias("chunk"))
@@ -258,7 +258,8 @@ def chunk_words(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def tokens(spark: SparkSession, d: str) -> DataFrame:
-    docs = X.table(spark, d, "documents").select("doc_id", TX.words(TX.clean_text("text")).alias("w"))
+    docs = R.spread(X.table(spark, d, "documents")).select(
+        "doc_id", TX.clean_words("text").alias("w"))
     return docs.select("doc_id", F.size("w").cast("long").alias("n_tokens"),
                        F.try_element_at("w", F.lit(1)).alias("first_token"),
                        F.try_element_at("w", F.lit(-1)).alias("last_token"))
@@ -308,7 +309,7 @@ def _hashing_embedder(dim: int):
     from pyspark.ml.functions import vector_to_array
 
     def embed(df: DataFrame) -> DataFrame:
-        toks = df.withColumn("_w", TX.words(TX.clean_text("text")))
+        toks = df.withColumn("_w", TX.clean_words("text"))
         tf = HashingTF(numFeatures=dim, inputCol="_w", outputCol="_tf").transform(toks)
         return tf.withColumn("vec", vector_to_array("_tf")).drop("_w", "_tf")
     return embed
@@ -422,3 +423,31 @@ def tfidf_direct(spark: SparkSession, d: str) -> DataFrame:
                .select(F.substring("id", 3, 1 << 20).alias("uid"), "vec"))
     hits = K.nearest(queries, items, metric="dot", round_digits=10)
     return hits.select(F.col("uid").alias("_id"), F.col("path").alias("category"))
+
+
+# --------------------------------------------------------------------------- streaming
+
+from taxomatch.streaming import incremental as ST  # noqa: E402
+
+
+@query
+def stream_incremental(spark: SparkSession, d: str) -> DataFrame:
+    """Documents arrive in two file drops; each micro-batch embeds (mean
+    word vectors) and classifies only documents not stored yet.  The answer
+    table equals the one-batch ``words_direct``."""
+    base = scratch_path(spark, f"stream-{uuid.uuid4().hex}")
+    docs = X.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("uid"), "text",
+                                                 "doc_id")
+    X.word_vecs(spark, d).write.parquet(f"{base}/word_vecs")
+    wv = spark.read.parquet(f"{base}/word_vecs")
+
+    def embed(df: DataFrame) -> DataFrame:
+        mv = W.mean_vectors(df, "id", F.col("text"), wv, 64)
+        return df.select("id", "uid").join(mv.select("id", "vec"), "id")
+
+    items = X.vec_items(spark, d)
+    for drop in (0, 1):
+        docs.where(F.col("doc_id") % 2 == drop).drop("doc_id").write.mode("append").parquet(f"{base}/src")
+        ST.run_available(spark, f"{base}/src", "uid string, text string", f"{base}/store",
+                         f"{base}/ckpt", "principal", embed, items)
+    return ST.answers(spark, f"{base}/store", "principal")

@@ -402,3 +402,5 @@ pairs AS (SELECT substr(p.id, 3) AS uid, c.doc_ord, c.path, round(1 - coalesce(s
           FROM pdocs p CROSS JOIN cdocs c LEFT JOIN score s ON s.pid = p.id AND s.cid = c.id),
 r AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY distance, doc_ord) AS rank FROM pairs)
 SELECT uid AS _id, path AS category FROM r WHERE rank = 1""")
+
+ORACLE["stream_incremental"] = ORACLE["words_direct"]
