@@ -67,20 +67,30 @@ def tfidf(docs: DataFrame, vocab_from: Column, key: str = "id", text: Column | s
     ``vocab_from`` selects the documents whose terms span the vector (the
     category side).  Returns ``(key, vec)`` rows and the dimension.  A
     document with no such term gets the zero vector.
+
+    The sparse weights restricted to that vocabulary are checkpointed once
+    (they feed the vocabulary index, the size checks of the search and the
+    search itself); the dense form is only built inside the search's input
+    projection.
     """
-    weights = term_weights(docs, key, text)
+    from taxomatch.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(docs.sparkSession)
+    weights = term_weights(docs, key, text).persist()
     vocab_keys = docs.where(vocab_from).select(F.col(key))
     terms = (weights.join(vocab_keys, key, "left_semi").where(F.col("w") > 0)
              .select("term").distinct())
-    terms = with_row_index(terms, ["term"], "t_idx")
+    terms = with_row_index(terms, ["term"], "t_idx").checkpoint()
     dim = terms.count()
-    packed = (weights.join(terms, "term")
+    packed = (weights.join(F.broadcast(terms) if dim <= 1_000_000 else terms, "term")
               .groupBy(key)
               .agg(F.collect_list("t_idx").alias("i"), F.collect_list("w").alias("v")))
-    out = (docs.select(key).join(packed, key, "left")
-           .select(key, F.pandas_udf(_densify_batch, "array<double>")(F.coalesce("i", F.array().cast("array<long>")),
-                                 F.coalesce("v", F.array().cast("array<double>")),
-                                 F.lit(dim)).alias("vec")))
+    sparse = docs.select(key).join(packed, key, "left").checkpoint()
+    weights.unpersist()
+    densify = F.pandas_udf(_densify_batch, "array<double>")
+    out = sparse.select(key, densify(F.coalesce("i", F.array().cast("array<long>")),
+                                     F.coalesce("v", F.array().cast("array<double>")),
+                                     F.lit(dim)).alias("vec"))
     return out, dim
 
 
