@@ -2,9 +2,9 @@
 
 * ``precomputed``  - vectors already in a table: an equi-join on the key.
 * ``tfidf``        - exact TF-IDF with MLlib's smoothing, ``idf = ln((N+1)/(df+1))``,
-                     L2-normalised over *all* terms of a document, kept densely
-                     only on the vocabulary of the category side (the only
-                     terms that can add to a product-category dot product).
+                     L2-normalised over *all* terms of a document, kept sparse
+                     on the vocabulary of the category side (the only terms
+                     that can add to a product-category dot product).
 * ``mean_words``   - mean word vectors (``operators.words.mean_vectors``).
 * ``pandas_model`` - any model as a pandas UDF ``Series[str] -> Series[array]``,
                      run on Arrow batches.
@@ -16,7 +16,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,17 +30,6 @@ def precomputed(docs: DataFrame, vectors: DataFrame, on: str = "id") -> DataFram
     return docs.join(vectors.select(on, "vec"), on)
 
 
-def _densify_batch(idx: pd.Series, val: pd.Series, dim: pd.Series) -> pd.Series:
-    """Sparse (indices, values) -> dense array, one Arrow batch at a time."""
-    out = []
-    for i, v, d in zip(idx, val, dim):
-        a = np.zeros(int(d))
-        if i is not None and len(i):
-            a[np.asarray(i, dtype=np.int64)] = np.asarray(v, dtype=np.float64)
-        out.append(a)
-    return pd.Series(out)
-
-
 def term_weights(docs: DataFrame, key: str = "id", text: Column | str = "text",
                  cat: bool = False) -> DataFrame:
     """Normalised TF-IDF weights ``key, term, w`` over the documents given.
@@ -62,16 +50,17 @@ def term_weights(docs: DataFrame, key: str = "id", text: Column | str = "text",
 
 
 def tfidf(docs: DataFrame, vocab_from: Column, key: str = "id", text: Column | str = "text") -> tuple[DataFrame, int]:
-    """Dense TF-IDF vectors for every document.
+    """Sparse TF-IDF vectors for every document: ``key, idx array<int>, val array<double>``
+    and the dimension (size of the vocabulary).
 
     ``vocab_from`` selects the documents whose terms span the vector (the
-    category side).  Returns ``(key, vec)`` rows and the dimension.  A
-    document with no such term gets the zero vector.
+    category side); a document with none of those terms gets empty arrays
+    (the zero vector).  Search them with ``knn.search(..., sparse_dim=dim)``:
+    they stay sparse until a block is scored.
 
-    The sparse weights restricted to that vocabulary are checkpointed once
-    (they feed the vocabulary index, the size checks of the search and the
-    search itself); the dense form is only built inside the search's input
-    projection.
+    The weights feed the vocabulary index, the size checks of the search and
+    the search itself, so the sparse result is checkpointed once (to the
+    session's checkpoint folder) instead of being recomputed by each.
     """
     from taxomatch.session import ensure_checkpoint_dir
 
@@ -82,16 +71,17 @@ def tfidf(docs: DataFrame, vocab_from: Column, key: str = "id", text: Column | s
              .select("term").distinct())
     terms = with_row_index(terms, ["term"], "t_idx").checkpoint()
     dim = terms.count()
-    packed = (weights.join(F.broadcast(terms) if dim <= 1_000_000 else terms, "term")
+    # one row per term: broadcast below a proven size, else a shuffle join
+    terms_side = F.broadcast(terms) if dim <= 2_000_000 else terms
+    packed = (weights.join(terms_side, "term")
               .groupBy(key)
-              .agg(F.collect_list("t_idx").alias("i"), F.collect_list("w").alias("v")))
-    sparse = docs.select(key).join(packed, key, "left").checkpoint()
+              .agg(F.collect_list(F.col("t_idx").cast("int")).alias("i"), F.collect_list("w").alias("v")))
+    sparse = (docs.select(key).join(packed, key, "left")
+              .select(key, F.coalesce("i", F.array().cast("array<int>")).alias("idx"),
+                      F.coalesce("v", F.array().cast("array<double>")).alias("val"))
+              .checkpoint())
     weights.unpersist()
-    densify = F.pandas_udf(_densify_batch, "array<double>")
-    out = sparse.select(key, densify(F.coalesce("i", F.array().cast("array<long>")),
-                                     F.coalesce("v", F.array().cast("array<double>")),
-                                     F.lit(dim)).alias("vec"))
-    return out, dim
+    return sparse, dim
 
 
 def mean_words(docs: DataFrame, word_vectors: DataFrame, dim: int, key: str = "id",

@@ -166,9 +166,33 @@ def _frame(uids, model, method, ctype, rank, ords, paths, dist, step):
     })
 
 
-def _score_block(row, k, methods, fetch_k, lam, metric, by_type, mmr_order, round_digits):
-    Q = np.asarray(np.stack(row.q_vec), dtype=np.float64) if len(row.q_vec) else np.zeros((0, 1))
-    X = np.asarray(np.stack(row.i_vec), dtype=np.float64)
+def _dense(vecs) -> np.ndarray:
+    return np.asarray(np.stack(vecs), dtype=np.float64) if len(vecs) else np.zeros((0, 1))
+
+
+def _dense_sparse(idx_list, val_list, dim: int) -> np.ndarray:
+    """Rows given as (indices, values) -> one dense (n, dim) block."""
+    n = len(idx_list)
+    m = np.zeros((n, dim))
+    if n:
+        lens = np.fromiter((len(i) for i in idx_list), dtype=np.int64, count=n)
+        if lens.sum():
+            rows = np.repeat(np.arange(n), lens)
+            m[rows, np.concatenate([np.asarray(i, dtype=np.int64) for i in idx_list])] = \
+                np.concatenate([np.asarray(v, dtype=np.float64) for v in val_list])
+    return m
+
+
+def _matrices(row, sparse_dim):
+    if sparse_dim:
+        return (_dense_sparse(row.q_idx, row.q_val, sparse_dim),
+                _dense_sparse(row.i_idx, row.i_val, sparse_dim))
+    return _dense(row.q_vec), _dense(row.i_vec)
+
+
+def _score_block(row, k, methods, fetch_k, lam, metric, by_type, mmr_order, round_digits,
+                 sparse_dim=None):
+    Q, X = _matrices(row, sparse_dim)
     uids = np.asarray(row.q_uid, dtype=object)
     ords = np.asarray(row.i_ord, dtype=np.int64)
     paths = np.asarray(row.i_path, dtype=object)
@@ -211,13 +235,14 @@ def _score_block(row, k, methods, fetch_k, lam, metric, by_type, mmr_order, roun
     return out
 
 
-def _block_kernel(k, methods, fetch_k, lam, metric, by_type, mmr_order, round_digits=None):
+def _block_kernel(k, methods, fetch_k, lam, metric, by_type, mmr_order, round_digits=None,
+                  sparse_dim=None):
     def run(batches):
         for pdf in batches:
             parts = []
             for row in pdf.itertuples(index=False):
                 parts.extend(_score_block(row, k, methods, fetch_k, lam, metric, by_type, mmr_order,
-                                          round_digits))
+                                          round_digits, sparse_dim))
             parts = [p for p in parts if len(p)]
             if parts:
                 res = pd.concat(parts, ignore_index=True)
@@ -226,15 +251,19 @@ def _block_kernel(k, methods, fetch_k, lam, metric, by_type, mmr_order, round_di
     return run
 
 
-def _mmr_kernel(k, lam, mmr_order):
+def _mmr_kernel(k, lam, mmr_order, sparse_dim=None):
     def run(batches):
         for pdf in batches:
             parts = []
             for row in pdf.itertuples(index=False):
                 cands = row.cands
-                m = len(cands)
-                C = np.stack([c["vec"] for c in cands]).astype(np.float64)[None, :, :]
-                q = np.asarray(row.q_vec, dtype=np.float64)[None, :]
+                if sparse_dim:
+                    C = _dense_sparse([c["idx"] for c in cands], [c["val"] for c in cands],
+                                      sparse_dim)[None, :, :]
+                    q = _dense_sparse([row.q_idx], [row.q_val], sparse_dim)
+                else:
+                    C = np.stack([c["vec"] for c in cands]).astype(np.float64)[None, :, :]
+                    q = np.asarray(row.q_vec, dtype=np.float64)[None, :]
                 sel = mmr_select(q, C, k, lam)[0]
                 step = np.arange(1, len(sel) + 1, dtype=np.int32)
                 if mmr_order == "distance":
@@ -248,7 +277,6 @@ def _mmr_kernel(k, lam, mmr_order):
                     "distance": [cands[i]["distance"] for i in sel],
                     "mmr_step": step,
                 }))
-                del m
             if parts:
                 res = pd.concat(parts, ignore_index=True)
                 res["mmr_step"] = res["mmr_step"].astype("Int32")
@@ -262,22 +290,34 @@ def _with_model(df: DataFrame) -> DataFrame:
     return df if "model" in df.columns else df.withColumn("model", F.lit("default"))
 
 
-def block_plan(queries: DataFrame, items: DataFrame, block_rows: int) -> dict:
-    """Sizes that decide the physical form: one small aggregate per side.
+def _vec_cols(sparse_dim):
+    if sparse_dim:
+        return [F.col("idx").cast("array<int>").alias("idx"), F.col("val").cast("array<double>").alias("val")]
+    return [F.col("vec").cast("array<double>").alias("vec")]
+
+
+def block_plan(queries: DataFrame, items: DataFrame, block_rows: int,
+               sparse_dim: int | None = None) -> dict:
+    """Sizes that decide the physical form.
 
-    Only per-model row counts and widths reach the driver (one row per model).
+    One job computes per-model row counts and packed bytes of both sides;
+    only those few rows (two per model) reach the driver.
     """
-    stats = (items.groupBy("model")
-             .agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("dim"))
+    width = (F.size("idx") * 12 + 64) if sparse_dim else (F.size("vec") * 8 + 64)
+    stats = (items.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.sum(width).alias("bytes"))
+             .withColumn("side", F.lit("items"))
+             .unionByName(queries.groupBy("model")
+                          .agg(F.count(F.lit(1)).alias("n"), F.lit(0).cast("long").alias("bytes"))
+                          .withColumn("side", F.lit("queries")))
              .collect())
-    n_models = max(1, len(stats))
-    n_items = max([r["n"] for r in stats] or [0])
-    item_bytes = sum(r["n"] * (8 * (r["dim"] or 0) + 64) for r in stats)
-    n_queries = queries.count()
+    it = [r for r in stats if r["side"] == "items"]
+    qs = [r for r in stats if r["side"] == "queries"]
+    n_items = max([r["n"] for r in it] or [0])
+    n_queries = max([r["n"] for r in qs] or [0])
     return {
         "item_blocks": max(1, math.ceil(n_items / block_rows)),
-        "query_blocks": max(1, math.ceil(n_queries / n_models / block_rows)),
-        "item_bytes": item_bytes,
+        "query_blocks": max(1, math.ceil(n_queries / block_rows)),
+        "item_bytes": sum(int(r["bytes"] or 0) for r in it),
     }
 
 
@@ -285,7 +325,8 @@ def search(queries: DataFrame, items: DataFrame, k: int, *, methods=("sim",),
            fetch_k: int = DEFAULT_FETCH_K, lambda_mult: float = DEFAULT_LAMBDA,
            by_type: bool = True, metric: str = "l2", mmr_order: str = "distance",
            block_rows: int = 4096, broadcast_bytes: int = 128 << 20,
-           round_digits: int | None = None, plan: dict | None = None) -> DataFrame:
+           round_digits: int | None = None, sparse_dim: int | None = None,
+           plan: dict | None = None) -> DataFrame:
     """Hit lists for every (query, model, list) — one row per hit (``HIT_SCHEMA``).
 
     ``methods``: ``sim`` = k nearest (J1/L2), ``mmr`` = diversified top k (L3).
@@ -296,24 +337,31 @@ def search(queries: DataFrame, items: DataFrame, k: int, *, methods=("sim",),
     normalised beforehand).  Ties go to the smaller ``doc_ord``;
     ``round_digits`` rounds distances before ranking so that sums taken in
     another order tie the same way.
+    ``sparse_dim``: vectors come as ``idx array<int>`` / ``val array<double>``
+    columns of that dimension (e.g. TF-IDF); they stay sparse until a block
+    is scored, and blocks are sized to at most 64 MB dense.
     """
     if metric not in ("l2", "cosine", "dot"):
         raise ValueError(metric)
+    if sparse_dim:
+        block_rows = min(block_rows, max(16, (64 << 20) // (8 * sparse_dim)))
+    vcols = ["idx", "val"] if sparse_dim else ["vec"]
     queries = _with_model(queries).select("model", F.col("uid").cast("string").alias("uid"),
-                                          F.col("vec").cast("array<double>").alias("vec"))
+                                          *_vec_cols(sparse_dim))
     items = _with_model(items).select("model", F.col("doc_ord").cast("long").alias("doc_ord"),
-                                      "path", "cat_type",
-                                      F.col("vec").cast("array<double>").alias("vec"))
-    plan = plan or block_plan(queries, items, block_rows)
+                                      "path", "cat_type", *_vec_cols(sparse_dim))
+    plan = plan or block_plan(queries, items, block_rows, sparse_dim)
     ni, nq = plan["item_blocks"], plan["query_blocks"]
 
     ipack = (items.withColumn("ib", F.pmod(F.xxhash64("doc_ord"), F.lit(ni)))
              .groupBy("model", "ib")
              .agg(F.collect_list("doc_ord").alias("i_ord"), F.collect_list("path").alias("i_path"),
-                  F.collect_list("cat_type").alias("i_type"), F.collect_list("vec").alias("i_vec")))
+                  F.collect_list("cat_type").alias("i_type"),
+                  *[F.collect_list(c).alias(f"i_{c}") for c in vcols]))
     qpack = (queries.withColumn("qb", F.pmod(F.xxhash64("uid"), F.lit(nq)))
              .groupBy("model", "qb")
-             .agg(F.collect_list("uid").alias("q_uid"), F.collect_list("vec").alias("q_vec")))
+             .agg(F.collect_list("uid").alias("q_uid"),
+                  *[F.collect_list(c).alias(f"q_{c}") for c in vcols]))
     if plan["item_bytes"] <= broadcast_bytes:
         pairs = qpack.join(F.broadcast(ipack), "model")
     else:
@@ -325,7 +373,7 @@ def search(queries: DataFrame, items: DataFrame, k: int, *, methods=("sim",),
     kcand = k if (final or "mmr" not in methods) else max(k, fetch_k)
     hits = pairs.mapInPandas(
         _block_kernel(kcand if not final else k, kernel_methods, fetch_k, lambda_mult, metric,
-                      by_type, mmr_order, round_digits),
+                      by_type, mmr_order, round_digits, sparse_dim),
         HIT_SCHEMA)
     if final:
         return hits
@@ -337,27 +385,29 @@ def search(queries: DataFrame, items: DataFrame, k: int, *, methods=("sim",),
     out = cand.where(F.col("rank") <= k) if "sim" in methods else None
     if "mmr" in methods:
         mm = mmr_from_candidates(cand.where(F.col("rank") <= fetch_k), queries, items, k,
-                                 lambda_mult, mmr_order)
+                                 lambda_mult, mmr_order, sparse_dim)
         out = mm if out is None else out.unionByName(mm)
     return out
 
 
 def mmr_from_candidates(cand: DataFrame, queries: DataFrame, items: DataFrame, k: int,
-                        lambda_mult: float = DEFAULT_LAMBDA, mmr_order: str = "distance") -> DataFrame:
+                        lambda_mult: float = DEFAULT_LAMBDA, mmr_order: str = "distance",
+                        sparse_dim: int | None = None) -> DataFrame:
     """L3 on given candidate lists (rows uid, model, cat_type, rank, doc_ord, path, distance).
 
     Candidates of one list are packed into one row (at most ``fetch_k``), the
     vectors are joined back on ``(model, doc_ord)`` and ``(model, uid)``.
     """
-    iv = items.select("model", "doc_ord", "vec")
-    qv = queries.select("model", "uid", F.col("vec").alias("q_vec"))
+    vcols = ["idx", "val"] if sparse_dim else ["vec"]
+    iv = items.select("model", "doc_ord", *vcols)
+    qv = queries.select("model", "uid", *[F.col(c).alias(f"q_{c}") for c in vcols])
     packed = (cand.select("uid", "model", "cat_type", "rank", "doc_ord", "path", "distance")
               .join(iv, ["model", "doc_ord"])
               .groupBy("uid", "model", "cat_type")
               .agg(F.array_sort(F.collect_list(
-                  F.struct("rank", "doc_ord", "path", "distance", "vec"))).alias("cands"))
+                  F.struct("rank", "doc_ord", "path", "distance", *vcols))).alias("cands"))
               .join(qv, ["model", "uid"]))
-    return packed.mapInPandas(_mmr_kernel(k, lambda_mult, mmr_order), HIT_SCHEMA)
+    return packed.mapInPandas(_mmr_kernel(k, lambda_mult, mmr_order, sparse_dim), HIT_SCHEMA)
 
 
 def knn(queries: DataFrame, items: DataFrame, k: int, **kw) -> DataFrame:

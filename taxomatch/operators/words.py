@@ -20,6 +20,21 @@ from taxomatch.operators.rows import spread
 # twice are left out of the vocabulary, 10 training epochs.
 MIN_COUNT = 2
 EPOCHS = 10
+# Word vector tables up to this size are broadcast to the token side.
+BROADCAST_BYTES = 256 << 20
+
+
+def _vectors_side(word_vectors: DataFrame, dim: int | None, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """The word-vector table for a join with tokens.
+
+    Tokens are skewed (a frequent word is a hot key), so the table is
+    broadcast when its size - counted, rows x dim x 8 bytes - is under
+    ``limit``; beyond that the join is a shuffle join that AQE splits on hot
+    words.
+    """
+    n = word_vectors.count()
+    width = 8 * (dim or 0) + 64
+    return F.broadcast(word_vectors) if n * width <= limit else word_vectors
 
 
 def sentences(df: DataFrame, key: str, text: Column | str, cat: bool = False,
@@ -90,14 +105,14 @@ def mean_vectors(docs: DataFrame, key: str, text: Column | str, word_vectors: Da
     ``key, vec array<double>, known_words long``; a text without a known word
     gets the zero vector of size ``dim`` and ``known_words = 0`` (Q13).
 
-    Words are joined to their vectors (an equi-join; AQE broadcasts a small
-    vocabulary) and averaged with MLlib's ``Summarizer``, a typed aggregate
+    Words are joined to their vectors (broadcast when the table is under a
+    counted size bound) and averaged with MLlib's ``Summarizer``, a typed aggregate
     with a partial step - a long text is summed in every map task before the
     shuffle, never collected in one place.
     """
     toks = _positions(docs, key, text, cat)
     wv = word_vectors.select("word", array_to_vector(F.col("vec").cast("array<double>")).alias("v"))
-    known = toks.join(wv, "word")
+    known = toks.join(_vectors_side(wv, dim), "word")
     means = known.groupBy("key").agg(Summarizer.mean(F.col("v")).alias("m"),
                                      F.count(F.lit(1)).alias("known_words"))
     means = means.select("key", vector_to_array("m").alias("vec"), "known_words")
@@ -112,7 +127,7 @@ def known_words(docs: DataFrame, key: str, text: Column | str, word_vectors: Dat
                 cat: bool = False) -> DataFrame:
     """V4: the words of each text that have a vector, in text order."""
     toks = _positions(docs, key, text, cat)
-    known = toks.join(word_vectors.select("word"), "word", "left_semi")
+    known = toks.join(_vectors_side(word_vectors.select("word"), 0), "word", "left_semi")
     return (known.groupBy("key")
             .agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("s"))
             .select(F.col("key").alias(key), F.transform("s", lambda x: x["word"]).alias("words")))

@@ -417,11 +417,11 @@ def tfidf_direct(spark: SparkSession, d: str) -> DataFrame:
     pdocs = p.select(F.concat(F.lit("p:"), F.col("uid")).alias("id"),
                      TX.product_text("title", "vendor_category").alias("text"))
     alldocs = cdocs.select("id", "text").unionByName(pdocs)
-    vecs, _ = EM.tfidf(alldocs, F.col("id").startswith("c:"))
-    items = cdocs.join(vecs, "id").select("doc_ord", "path", "cat_type", "vec")
+    vecs, dim = EM.tfidf(alldocs, F.col("id").startswith("c:"))
+    items = cdocs.join(vecs, "id").select("doc_ord", "path", "cat_type", "idx", "val")
     queries = (vecs.where(F.col("id").startswith("p:"))
-               .select(F.substring("id", 3, 1 << 20).alias("uid"), "vec"))
-    hits = K.nearest(queries, items, metric="dot", round_digits=10)
+               .select(F.substring("id", 3, 1 << 20).alias("uid"), "idx", "val"))
+    hits = K.nearest(queries, items, metric="dot", round_digits=10, sparse_dim=dim)
     return hits.select(F.col("uid").alias("_id"), F.col("path").alias("category"))
 
 

@@ -80,12 +80,18 @@ def prod(spark: SparkSession, sf_dir: str) -> DataFrame:
 def word_vecs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pretrained-style word vectors: the vocabulary of ``documents`` (count >= 2)
     ranked by (count desc, word); the word of rank r (0-based) gets the
-    embedding with ``vec_id = r`` while such a row exists."""
+    embedding with ``vec_id = r`` while such a row exists.
+
+    It stands for a stored table, so it is checkpointed (written once to the
+    session's checkpoint folder) rather than recomputed by every use.
+    """
     from taxomatch.operators import words as W
+    from taxomatch.session import ensure_checkpoint_dir
 
+    ensure_checkpoint_dir(spark)
     corpus = W.sentences(table(spark, sf_dir, "documents"), "doc_id", F.col("text"))
     vocab = W.vocabulary(corpus)
     ranked = with_row_index(vocab, [F.desc("count"), F.asc("word")], "rank")
     emb = table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("rank"), F.col("embedding").cast("array<double>").alias("vec"))
-    return ranked.join(emb, "rank").select("word", "vec")
+    return ranked.join(emb, "rank").select("word", "vec").checkpoint()

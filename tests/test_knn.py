@@ -151,3 +151,31 @@ def test_sim_and_mmr_in_one_pass(spark):
     assert counts == {"sim": 10 * 2 * 3, "mmr": 10 * 2 * 3}
     sim = _got(hits.where("method = 'sim'"))
     assert sim == _brute(Q, X, 3, True)
+
+
+@pytest.mark.parametrize("block_rows", [4096, 7])
+def test_sparse_vectors_equal_dense(spark, block_rows):
+    Q, X, qu, it = _frames(spark, seed=9, ties=False)
+    Q = np.where(np.abs(Q) > 0.8, Q, 0.0)
+    X = np.where(np.abs(X) > 0.8, X, 0.0)
+
+    def sp(v):
+        nz = np.nonzero(v)[0]
+        return [int(i) for i in nz], [float(v[i]) for i in nz]
+    items = [("m", i, f"p{i // 2:03d}", "ALL" if i % 2 == 0 else "LAST", *sp(X[i])) for i in range(len(X))]
+    queries = [("m", f"q{j}", *sp(Q[j])) for j in range(len(Q))]
+    it_s = spark.createDataFrame(items, "model string, doc_ord long, path string, cat_type string, "
+                                        "idx array<int>, val array<double>")
+    qu_s = spark.createDataFrame(queries, "model string, uid string, idx array<int>, val array<double>")
+    got = _got(K.search(qu_s, it_s, 4, methods=("sim", "mmr"), fetch_k=8, sparse_dim=X.shape[1],
+                        block_rows=block_rows).where("method = 'sim'"))
+    assert got == _brute(Q, X, 4, True)
+    mm = K.search(qu_s, it_s, 4, methods=("mmr",), fetch_k=8, sparse_dim=X.shape[1], block_rows=block_rows)
+    it_d = spark.createDataFrame([("m", i, f"p{i // 2:03d}", "ALL" if i % 2 == 0 else "LAST", X[i].tolist())
+                                  for i in range(len(X))],
+                                 "model string, doc_ord long, path string, cat_type string, vec array<double>")
+    qu_d = spark.createDataFrame([("m", f"q{j}", Q[j].tolist()) for j in range(len(Q))],
+                                 "model string, uid string, vec array<double>")
+    md = K.search(qu_d, it_d, 4, methods=("mmr",), fetch_k=8)
+    key = lambda r: (r.uid, r.cat_type, r.rank, r.doc_ord, r.mmr_step)
+    assert sorted(map(key, mm.collect())) == sorted(map(key, md.collect()))
