@@ -62,3 +62,76 @@ def search_report(product_vecs: DataFrame, category_docs: DataFrame, k: int = 10
     """Both similarity lists and both MMR lists, with distances, per product."""
     return K.search(product_vecs, category_docs, k, methods=("sim", "mmr"), fetch_k=fetch_k,
                     by_type=True, **kw)
+
+
+# --------------------------------------------------------------------------- texts and files
+
+def search_texts(texts: DataFrame, embed, category_docs: DataFrame, k: int = 10,
+                 methods=("sim", "mmr"), model: str = "default", **kw) -> DataFrame:
+    """Hit lists for ad-hoc texts (``uid``, ``text``), embedded on the fly.
+
+    ``embed`` maps a frame with ``id``, ``text`` to the same rows with ``vec``.
+    """
+    vecs = embed(texts.select(F.col("uid").alias("id"), "uid", "text"))
+    q = vecs.select(F.lit(model).alias("model"), "uid", "vec")
+    return K.search(q, category_docs.withColumn("model", F.lit(model)), k, methods=methods, **kw)
+
+
+def classify_with_word_vectors(products: DataFrame, categories: DataFrame, word_vectors: DataFrame,
+                               dim: int, k: int = 10, approach: str = "direct", **kw) -> DataFrame:
+    """Mean word vectors (V3) of product texts (T9) and category documents
+    (paths cleaned as paths), then the direct or the vote classification."""
+    from taxomatch.functions import text as TX
+    from taxomatch.operators import docs as D
+    from taxomatch.operators import words as W
+
+    cdocs = D.category_documents(categories)
+    cv = W.mean_vectors(cdocs, "doc_ord", F.col("text"), word_vectors, dim)
+    items = cdocs.select("doc_ord", "path", "cat_type").join(cv.select("doc_ord", "vec"), "doc_ord")
+    ptext = products.select("uid", TX.product_word_text("title", "vendor_category").alias("text"))
+    pv = W.mean_vectors(ptext, "uid", F.col("text"), word_vectors, dim).select("uid", "vec")
+    if approach == "direct":
+        return classify_direct(pv, items, **kw)
+    return classify_vote(pv, items, k=k, **kw)
+
+
+def classify_files(spark, categories_csv: str, products_csv: str, store_root: str,
+                   models: dict, answers_dir: str, approach: str = "ensemble", k: int | None = None,
+                   principal: str | None = None, **kw) -> DataFrame:
+    """The whole job from the two CSV files to the answer folder.
+
+    * categories -> ALL/LAST documents, products -> product texts (T7);
+    * both sides embedded with every model in ``models`` (name -> embedder),
+      only documents not yet in the collections (insert-if-absent);
+    * ``approach``: ``direct`` (k=1 over ALL+LAST, model ``principal``),
+      ``vote`` (4 lists, k=10, model ``principal``) or ``ensemble`` (4 lists per
+      model, k=5, all models);
+    * answers written as JSON lines; the answer frame is returned.
+    """
+    from taxomatch.functions import text as TX
+    from taxomatch.operators import docs as D
+    from taxomatch.sources import answers as A
+    from taxomatch.sources import collections as S
+    from taxomatch.sources import csv as CSV
+
+    store = S.VectorStore(spark, store_root)
+    cats = CSV.read_categories(spark, categories_csv)
+    cdocs = D.category_documents(cats)
+    prods = CSV.read_products(spark, products_csv)
+    pdocs = D.product_documents(prods.select("uid", TX.product_text("title", "vendor_category").alias("text")))
+    store.add_missing(cdocs, S.CATEGORIES, models)
+    store.add_missing(pdocs, S.PRODUCTS, models)
+    principal = principal or next(iter(models))
+    use = list(models) if approach == "ensemble" else [principal]
+    names = [S.collection_name_py(m) for m in use]
+    items = (store.vectors(S.CATEGORIES).where(F.col("model").isin(names))
+             .select("model", "doc_ord", "path", "cat_type", "vec"))
+    # current product texts only: ids carry the text hash, so stale vectors are skipped
+    queries = (store.vectors(S.PRODUCTS).where(F.col("model").isin(names))
+               .join(pdocs.select("id"), "id", "left_semi").select("model", "uid", "vec"))
+    if approach == "direct":
+        ans = classify_direct(queries, items, **kw)
+    else:
+        ans = classify_vote(queries, items, k=k or (10 if approach == "vote" else 5), **kw)
+    A.write_answers(ans, answers_dir)
+    return A.read_answers(spark, answers_dir)
