@@ -234,6 +234,21 @@ def chunk_words(tokens: Column, size: int = CHUNK_WORDS) -> Column:
     ).otherwise(F.array().cast("array<array<string>>"))
 
 
+def explode_tokens(df, tokens: Column, name: str = "word", pos: str | None = None, *keep):
+    """One row per element of a computed token array (optionally with its position).
+
+    Uses the ``_outer`` generators and drops the null row of an empty array
+    afterwards: for a plain ``explode`` Catalyst infers ``size(tokens) > 0``
+    and pushes it below the projection, which evaluates the whole cleaning
+    expression a second time.
+    """
+    if pos:
+        out = df.select(*keep, F.posexplode_outer(tokens).alias(pos, name))
+    else:
+        out = df.select(*keep, F.explode_outer(tokens).alias(name))
+    return out.where(F.col(name).isNotNull())
+
+
 def not_empty(text: Column | str) -> Column:
     """P5: predicate, the text is not empty."""
     return F.length(_c(text)) > 0

@@ -37,8 +37,9 @@ def term_weights(docs: DataFrame, key: str = "id", text: Column | str = "text",
     Term frequencies, document frequencies and norms are three hash
     aggregates; the idf table has one row per term.
     """
-    toks = spread(docs).select(F.col(key).alias("key"),
-                       F.explode(TX.clean_words(text, cat=cat)).alias("term"))
+    toks = TX.explode_tokens(spread(docs).select(F.col(key).alias("key"),
+                                                 TX.clean_words(text, cat=cat).alias("w")),
+                             F.col("w"), "term", None, "key")
     tf = toks.groupBy("key", "term").agg(F.count(F.lit(1)).alias("tf"))
     n_docs = docs.select(key).count()
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))

@@ -44,7 +44,7 @@ def sentences(df: DataFrame, key: str, text: Column | str, cat: bool = False,
     t = spread(df).select(F.col(key).cast("string").alias("key"),
                           TX.clean_words(text, cat=cat).alias("w"))
     # an empty text has no chunk (P5)
-    ch = t.select("key", F.posexplode(TX.chunk_words(F.col("w"))).alias("chunk_no", "tokens"))
+    ch = TX.explode_tokens(t, TX.chunk_words(F.col("w")), "tokens", "chunk_no", "key")
     return ch.select(F.concat_ws("#", "key", F.col("chunk_no").cast("string")).alias("sent_id"), "tokens")
 
 
@@ -63,7 +63,7 @@ def vocabulary(corpus: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
     A hash aggregate with a partial step, so a very frequent word is summed
     before the shuffle.
     """
-    return (corpus.select(F.explode("tokens").alias("word"))
+    return (TX.explode_tokens(corpus, F.col("tokens"), "word")
             .groupBy("word").agg(F.count(F.lit(1)).alias("count"))
             .where(F.col("count") >= min_count))
 
@@ -95,7 +95,7 @@ def overlay(vocab: DataFrame, trained: DataFrame | None, pretrained: DataFrame,
 
 def _positions(docs: DataFrame, key: str, text: Column | str, cat: bool) -> DataFrame:
     w = spread(docs).select(F.col(key).alias("key"), TX.clean_words(text, cat=cat).alias("w"))
-    return w.select("key", F.posexplode("w").alias("pos", "word"))
+    return TX.explode_tokens(w, F.col("w"), "word", "pos", "key")
 
 
 def mean_vectors(docs: DataFrame, key: str, text: Column | str, word_vectors: DataFrame, dim: int,

@@ -251,7 +251,7 @@ def clean_category_text(spark: SparkSession, d: str) -> DataFrame:
 def chunk_words(spark: SparkSession, d: str) -> DataFrame:
     docs = R.spread(X.table(spark, d, "documents")).select(
         "doc_id", TX.clean_words("text").alias("w"))
-    ch = docs.select("doc_id", F.posexplode(TX.chunk_words(F.col("w"))).alias("chunk_no", "c"))
+    ch = TX.explode_tokens(docs, TX.chunk_words(F.col("w")), "c", "chunk_no", "doc_id")
     return ch.select("doc_id", F.col("chunk_no").cast("long").alias("chunk_no"),
                      F.size("c").cast("long").alias("n_words"), F.array_join("c", " ").alias("chunk"))
 
