@@ -60,17 +60,16 @@ def tfidf(docs: DataFrame, vocab_from: Column, key: str = "id", text: Column | s
     they stay sparse until a block is scored.
 
     The weights feed the vocabulary index, the size checks of the search and
-    the search itself, so the sparse result is checkpointed once (to the
-    session's checkpoint folder) instead of being recomputed by each.
+    the search itself, so the sparse result is written once to the session's
+    checkpoint folder instead of being recomputed by each.
     """
-    from taxomatch.session import ensure_checkpoint_dir
+    from taxomatch.session import materialize
 
-    ensure_checkpoint_dir(docs.sparkSession)
     weights = term_weights(docs, key, text).persist()
     vocab_keys = docs.where(vocab_from).select(F.col(key))
     terms = (weights.join(vocab_keys, key, "left_semi").where(F.col("w") > 0)
              .select("term").distinct())
-    terms = with_row_index(terms, ["term"], "t_idx").checkpoint()
+    terms = materialize(with_row_index(terms, ["term"], "t_idx"), "tfidf-terms")
     dim = terms.count()
     # one row per term: broadcast below a proven size, else a shuffle join
     terms_side = F.broadcast(terms) if dim <= 2_000_000 else terms
@@ -79,8 +78,8 @@ def tfidf(docs: DataFrame, vocab_from: Column, key: str = "id", text: Column | s
               .agg(F.collect_list(F.col("t_idx").cast("int")).alias("i"), F.collect_list("w").alias("v")))
     sparse = (docs.select(key).join(packed, key, "left")
               .select(key, F.coalesce("i", F.array().cast("array<int>")).alias("idx"),
-                      F.coalesce("v", F.array().cast("array<double>")).alias("val"))
-              .checkpoint())
+                      F.coalesce("v", F.array().cast("array<double>")).alias("val")))
+    sparse = materialize(sparse, "tfidf-vectors")
     weights.unpersist()
     return sparse, dim
 

@@ -51,11 +51,18 @@ def vec_queries(spark: SparkSession, sf_dir: str, models=("principal",)) -> Data
 
 
 def cat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Category table ``(cat_idx, path)`` from ``part``: type--range/name."""
+    """Category table ``(cat_idx, path)`` from ``part``: type--range/name.
+
+    It stands for the stored category file, so it is written once to the
+    checkpoint folder: the numbering (a few small jobs) is not repeated by
+    every use.
+    """
+    from taxomatch.session import materialize
+
     p = table(spark, sf_dir, "part")
     paths = p.select(F.concat(F.lower("p_type"), F.lit("--range/"),
                               F.replace(F.col("p_name"), F.lit(" "), F.lit("-"))).alias("path")).distinct()
-    return with_row_index(paths, ["path"], "cat_idx")
+    return materialize(with_row_index(paths, ["path"], "cat_idx"), "cat")
 
 
 def prod(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,16 +89,15 @@ def word_vecs(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranked by (count desc, word); the word of rank r (0-based) gets the
     embedding with ``vec_id = r`` while such a row exists.
 
-    It stands for a stored table, so it is checkpointed (written once to the
-    session's checkpoint folder) rather than recomputed by every use.
+    It stands for a stored table, so it is written once to the session's
+    checkpoint folder rather than recomputed by every use.
     """
     from taxomatch.operators import words as W
-    from taxomatch.session import ensure_checkpoint_dir
+    from taxomatch.session import materialize
 
-    ensure_checkpoint_dir(spark)
     corpus = W.sentences(table(spark, sf_dir, "documents"), "doc_id", F.col("text"))
     vocab = W.vocabulary(corpus)
     ranked = with_row_index(vocab, [F.desc("count"), F.asc("word")], "rank")
     emb = table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("rank"), F.col("embedding").cast("array<double>").alias("vec"))
-    return ranked.join(emb, "rank").select("word", "vec").checkpoint()
+    return materialize(ranked.join(emb, "rank").select("word", "vec"), "word_vecs")

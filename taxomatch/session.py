@@ -53,3 +53,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the checkpoint folder, for tables written to cut lineage."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}"
+
+
+def materialize(df, name: str):
+    """Cut lineage by writing ``df`` as a Parquet table under the checkpoint
+    folder and reading it back.
+
+    One pass over the data (``Dataset.checkpoint`` computes its plan twice
+    unless it is cached), and the result has Parquet statistics, so later
+    size checks and joins see its real size.
+    """
+    import uuid
+
+    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
