@@ -18,10 +18,14 @@ model in exactly one row; one numpy matrix product per row scores the pair
 and only the local top candidates leave the Python worker, never all pairs.
 
 * item side below ``broadcast_bytes`` (the usual taxonomy): the packed item
-  table (models x blocks rows) is broadcast, queries are not shuffled again;
+  table (models x blocks rows) is broadcast, queries are not shuffled again
+  (network ~ executors x item bytes);
+* all models together too large but each model small enough: one broadcast
+  search per model, unioned;
 * otherwise the item blocks are replicated per query block and both sides meet
   by a sort-merge join on ``(model, query block)``, which spreads the work over
-  ``models x query blocks`` tasks.
+  ``models x query blocks`` tasks (network ~ query bytes x item bytes / block
+  bytes, so it is the last resort).
 
 With one item block per model the local lists are final and the MMR step runs
 in the same pass.  With more, the local top lists are merged by a window
@@ -32,6 +36,7 @@ on the merged candidates in a second Arrow pass.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -297,37 +302,41 @@ def _vec_cols(sparse_dim):
 
 
 def block_plan(queries: DataFrame, items: DataFrame, block_rows: int,
-               sparse_dim: int | None = None) -> dict:
+               sparse_dim: int | None = None, block_bytes: int = 32 << 20) -> dict:
     """Sizes that decide the physical form.
 
     One job computes per-model row counts and packed bytes of both sides;
-    only those few rows (two per model) reach the driver.
+    only those few rows (two per model) reach the driver.  A block holds at
+    most ``block_rows`` vectors and about ``block_bytes`` bytes.
     """
     width = (F.size("idx") * 12 + 64) if sparse_dim else (F.size("vec") * 8 + 64)
     stats = (items.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.sum(width).alias("bytes"))
              .withColumn("side", F.lit("items"))
              .unionByName(queries.groupBy("model")
-                          .agg(F.count(F.lit(1)).alias("n"), F.lit(0).cast("long").alias("bytes"))
+                          .agg(F.count(F.lit(1)).alias("n"), F.sum(width).alias("bytes"))
                           .withColumn("side", F.lit("queries")))
              .collect())
+
+    def blocks(rows):
+        return max([1] + [math.ceil(max(r["n"] / block_rows, (r["bytes"] or 0) / block_bytes))
+                          for r in rows])
     it = [r for r in stats if r["side"] == "items"]
     qs = [r for r in stats if r["side"] == "queries"]
-    n_items = max([r["n"] for r in it] or [0])
-    n_queries = max([r["n"] for r in qs] or [0])
     return {
-        "item_blocks": max(1, math.ceil(n_items / block_rows)),
-        "query_blocks": max(1, math.ceil(n_queries / block_rows)),
+        "item_blocks": blocks(it),
+        "query_blocks": blocks(qs),
         "item_bytes": sum(int(r["bytes"] or 0) for r in it),
+        "item_bytes_by_model": {r["model"]: int(r["bytes"] or 0) for r in it},
     }
 
 
 def search(queries: DataFrame, items: DataFrame, k: int, *, methods=("sim",),
            fetch_k: int = DEFAULT_FETCH_K, lambda_mult: float = DEFAULT_LAMBDA,
            by_type: bool = True, metric: str = "l2", mmr_order: str = "distance",
-           block_rows: int = 4096, broadcast_bytes: int = 128 << 20,
+           block_rows: int = 4096, broadcast_bytes: int = 1 << 30,
            round_digits: int | None = None, sparse_dim: int | None = None,
            plan: dict | None = None) -> DataFrame:
-    """Hit lists for every (query, model, list) — one row per hit (``HIT_SCHEMA``).
+    """Hit lists for every (query, model, list) - one row per hit (``HIT_SCHEMA``).
 
     ``methods``: ``sim`` = k nearest (J1/L2), ``mmr`` = diversified top k (L3).
     ``by_type``: one list per ``cat_type`` of the items (P2); otherwise one list
@@ -340,19 +349,35 @@ def search(queries: DataFrame, items: DataFrame, k: int, *, methods=("sim",),
     ``sparse_dim``: vectors come as ``idx array<int>`` / ``val array<double>``
     columns of that dimension (e.g. TF-IDF); they stay sparse until a block
     is scored, and blocks are sized to at most 64 MB dense.
+
+    Join form: all item blocks broadcast when their packed size is at most
+    ``broadcast_bytes``; else, when every model alone fits, one broadcast
+    search per model (a union); else item blocks replicated per query block.
     """
     if metric not in ("l2", "cosine", "dot"):
         raise ValueError(metric)
     if sparse_dim:
         block_rows = min(block_rows, max(16, (64 << 20) // (8 * sparse_dim)))
-    vcols = ["idx", "val"] if sparse_dim else ["vec"]
     queries = _with_model(queries).select("model", F.col("uid").cast("string").alias("uid"),
                                           *_vec_cols(sparse_dim))
     items = _with_model(items).select("model", F.col("doc_ord").cast("long").alias("doc_ord"),
                                       "path", "cat_type", *_vec_cols(sparse_dim))
     plan = plan or block_plan(queries, items, block_rows, sparse_dim)
+    opts = dict(k=k, methods=methods, fetch_k=fetch_k, lambda_mult=lambda_mult, by_type=by_type,
+                metric=metric, mmr_order=mmr_order, round_digits=round_digits, sparse_dim=sparse_dim)
+    by_model = plan.get("item_bytes_by_model") or {}
+    if plan["item_bytes"] > broadcast_bytes and len(by_model) > 1 and \
+            max(by_model.values()) <= broadcast_bytes:
+        parts = [_search_blocks(queries.where(F.col("model") == m), items.where(F.col("model") == m),
+                                plan, True, **opts) for m in sorted(by_model)]
+        return reduce(lambda a, b: a.unionByName(b), parts)
+    return _search_blocks(queries, items, plan, plan["item_bytes"] <= broadcast_bytes, **opts)
+
+
+def _search_blocks(queries, items, plan, broadcast, *, k, methods, fetch_k, lambda_mult, by_type,
+                   metric, mmr_order, round_digits, sparse_dim):
     ni, nq = plan["item_blocks"], plan["query_blocks"]
-
+    vcols = ["idx", "val"] if sparse_dim else ["vec"]
     ipack = (items.withColumn("ib", F.pmod(F.xxhash64("doc_ord"), F.lit(ni)))
              .groupBy("model", "ib")
              .agg(F.collect_list("doc_ord").alias("i_ord"), F.collect_list("path").alias("i_path"),
@@ -362,7 +387,7 @@ def search(queries: DataFrame, items: DataFrame, k: int, *, methods=("sim",),
              .groupBy("model", "qb")
              .agg(F.collect_list("uid").alias("q_uid"),
                   *[F.collect_list(c).alias(f"q_{c}") for c in vcols]))
-    if plan["item_bytes"] <= broadcast_bytes:
+    if broadcast:
         pairs = qpack.join(F.broadcast(ipack), "model")
     else:
         rep = ipack.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))

@@ -179,3 +179,18 @@ def test_sparse_vectors_equal_dense(spark, block_rows):
     md = K.search(qu_d, it_d, 4, methods=("mmr",), fetch_k=8)
     key = lambda r: (r.uid, r.cat_type, r.rank, r.doc_ord, r.mmr_step)
     assert sorted(map(key, mm.collect())) == sorted(map(key, md.collect()))
+
+
+def test_per_model_broadcast_equals_single_plan(spark):
+    Q, X, qu, it = _frames(spark, seed=12, ties=False)
+    qu2 = qu.unionByName(qu.withColumn("model", F.lit("n")))
+    it2 = it.unionByName(it.withColumn("model", F.lit("n")).withColumn(
+        "vec", F.transform("vec", lambda x: x * 2.0)))
+    plan = K.block_plan(qu2, it2, 4096)
+    one = max(plan["item_bytes_by_model"].values())
+    assert plan["item_bytes"] > one
+    key = lambda r: (r.model, r.uid, r.cat_type, r.rank, r.doc_ord)
+    a = sorted(map(key, K.knn(qu2, it2, 3, broadcast_bytes=one).collect()))      # per model
+    b = sorted(map(key, K.knn(qu2, it2, 3).collect()))                            # one broadcast
+    c = sorted(map(key, K.knn(qu2, it2, 3, broadcast_bytes=0).collect()))         # replicated
+    assert a == b == c
