@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from taxomatch.functions import text as TX
-from taxomatch.operators.rows import with_row_index
+from taxomatch.operators.rows import _range_partitions, with_row_index
 
 CATEGORY_SOURCE = "categories.csv"
 PRODUCT_SOURCE = "products.csv"
@@ -84,7 +84,7 @@ def run_counter(df: DataFrame, key: str, pos: str = "idx", name: str = "n") -> D
     s = df.join(prev, pos, "left")
     s = s.withColumn("_start", F.when(
         F.col("_has_prev").isNull() | ~F.col("_prev_key").eqNullSafe(F.col(key)), F.col(pos)))
-    r = (s.repartitionByRange(F.col(pos)).sortWithinPartitions(pos)
+    r = (s.repartitionByRange(_range_partitions(df), F.col(pos)).sortWithinPartitions(pos)
          .withColumn("_pid", F.shiftright(F.monotonically_increasing_id(), 33)))
     r = r.withColumn("_local", F.max("_start").over(
         Window.partitionBy("_pid").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)))

@@ -16,6 +16,14 @@ from pyspark.sql import functions as F
 _LOW_BITS = (1 << 33) - 1
 
 
+def _range_partitions(df: DataFrame) -> int:
+    """Range partitions for a re-numbering: as many as the input has (they
+    grow with the data, ~128 MB each), at least ``spark.sql.shuffle.partitions``.
+    AQE cannot split range partitions later, so they are sized up front."""
+    spark = df.sparkSession
+    return max(df.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def with_row_index(df: DataFrame, order: list, name: str = "idx", start: int = 0,
                    num_partitions: int | None = None) -> DataFrame:
     """Add ``name`` = 0-based (or ``start``-based) position in ``order``.
@@ -24,8 +32,7 @@ def with_row_index(df: DataFrame, order: list, name: str = "idx", start: int = 0
     unique for a stable numbering.
     """
     cols = [F.col(c) if isinstance(c, str) else c for c in order]
-    ranged = (df.repartitionByRange(num_partitions, *cols) if num_partitions
-              else df.repartitionByRange(*cols))
+    ranged = df.repartitionByRange(num_partitions or _range_partitions(df), *cols)
     s = (ranged.sortWithinPartitions(*cols)
          .withColumn("_mid", F.monotonically_increasing_id())
          .withColumn("_pid", F.shiftright(F.col("_mid"), 33))
