@@ -82,7 +82,11 @@ def last_text(text: Column | str, sep: str = LAST_SEPARATOR) -> Column:
 # --------------------------------------------------------------------------- typed paths
 
 def extract_all(text: Column | str, pattern: str = TYPE_PATTERN, join: str = TYPE_JOIN) -> Column:
-    """Every match of group 1 joined by two spaces; ``''`` when none."""
+    """Every match of group 1 joined by two spaces; ``''`` when none.
+
+    U3: the reference applies this per row in Python; here it is one native
+    expression (``regexp_extract_all``), no UDF.
+    """
     return F.array_join(F.regexp_extract_all(_c(text), _lit(pattern), F.lit(1)), join)
 
 

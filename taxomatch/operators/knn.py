@@ -6,7 +6,8 @@ Inputs (long format, one row per vector and model):
     queries : model string, uid string, vec array<double>
     items   : model string, doc_ord long, path string, cat_type string, vec array<double>
 
-``doc_ord`` is the tie-break order of the items (smaller first).
+``doc_ord`` is the tie-break order of the items (smaller first).  Every hit
+carries the item's full ``path`` (J7), so no lookup join follows the search.
 
 Physical plan
 -------------

@@ -61,5 +61,9 @@ def vote_map(box: DataFrame) -> DataFrame:
 
 
 def answers(winners: DataFrame) -> DataFrame:
-    """One answer row per product: ``_id``, ``category``."""
+    """One answer row per product: ``_id``, ``category``.
+
+    J8: id and answer travel together in one row keyed by ``uid``; nothing is
+    paired by position.
+    """
     return winners.select(F.col("uid").alias("_id"), F.col("category"))

@@ -42,7 +42,11 @@ def classify_vote(product_vecs: DataFrame, category_docs: DataFrame, k: int = 10
 
 def classify_ensemble(product_vecs: DataFrame, category_docs: DataFrame, k: int = 5,
                       methods=("sim", "mmr"), **kw) -> DataFrame:
-    """The same vote over every model present in the ``model`` column."""
+    """The same vote over every model present in the ``model`` column.
+
+    U2: the ensemble is the set of values of ``model`` - one pass over all
+    models, not a loop; adding a model is adding its rows.
+    """
     return classify_vote(product_vecs, category_docs, k=k, methods=methods, **kw)
 
 
