@@ -16,12 +16,27 @@ from pyspark.sql import functions as F
 _LOW_BITS = (1 << 33) - 1
 
 
+_PARTITION_BYTES = 128 << 20
+
+
+def estimated_bytes(df: DataFrame) -> int | None:
+    """Catalyst's size estimate of the optimised plan (no job is run)."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001
+        return None
+
+
 def _range_partitions(df: DataFrame) -> int:
-    """Range partitions for a re-numbering: as many as the input has (they
-    grow with the data, ~128 MB each), at least ``spark.sql.shuffle.partitions``.
-    AQE cannot split range partitions later, so they are sized up front."""
-    spark = df.sparkSession
-    return max(df.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    """Range partitions for a re-numbering: one per ~128 MB of estimated input,
+    at least ``spark.sql.shuffle.partitions``.  AQE cannot split range
+    partitions later, so they are sized up front (from the plan estimate -
+    asking the RDD would run the upstream shuffles)."""
+    base = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = estimated_bytes(df)
+    if size is None:
+        return base
+    return int(max(base, min(size // _PARTITION_BYTES + 1, 1_000_000)))
 
 
 def with_row_index(df: DataFrame, order: list, name: str = "idx", start: int = 0,
@@ -80,10 +95,13 @@ def range_slices(df: DataFrame, n: int, key: str = "uid") -> DataFrame:
 
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin the rows over at least ``min_partitions`` partitions (default:
-    the parallelism of the cluster) before CPU-heavy per-row work - but only
-    when the input has fewer partitions than that.  A large scan already has
-    many more partitions and is left as it is (no shuffle).
+    """Round-robin the rows over ``min_partitions`` partitions (default: the
+    parallelism of the cluster) before CPU-heavy per-row work - but only when
+    the input is small for the cluster (estimated under one 128 MB split per
+    core, where a few row groups would leave most cores idle).  A large input
+    already has enough splits and is left as it is (no shuffle).
     """
     n = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+    size = estimated_bytes(df)
+    small = size is not None and size < n * _PARTITION_BYTES
+    return df.repartition(n) if small else df

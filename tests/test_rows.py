@@ -39,3 +39,10 @@ def test_slices_samples_batches(spark):
     rep = {r.batch: (r.n_rows, r.first_idx, r.last_idx) for r in R.batch_report(df, "idx", 20).collect()}
     assert rep == {0: (20, 0, 19), 1: (20, 20, 39), 2: (10, 40, 49)}
     assert R.range_slices(df, 4, key="idx").rdd.getNumPartitions() == 4
+
+
+def test_spread_only_small_inputs(spark):
+    small = spark.range(0, 100).coalesce(1)
+    assert R.spread(small, 8).rdd.getNumPartitions() == 8
+    assert R.estimated_bytes(small) is not None
+    assert R.spread(small, 1).rdd.getNumPartitions() == 1        # enough splits already
