@@ -42,15 +42,6 @@ def cosine(a: Column | str, b: Column | str) -> Column:
     return F.when(den > 0, dot(a, b) / den)
 
 
-def mean_vector(vec: Column | str, dim: int) -> Column:
-    """Element-wise mean of an ``array<array<double>>`` column (used after collect_list)."""
-    vs = _c(vec)
-    return F.transform(
-        F.sequence(F.lit(1), F.lit(dim)),
-        lambda i: F.aggregate(vs, F.lit(0.0), lambda s, v: s + F.element_at(v, i)) / F.size(vs),
-    )
-
-
 def vector_shape(df, vec: str = "vec"):
     """V5: number of vectors and their smallest / largest width (one row)."""
     return df.agg(F.count(F.lit(1)).alias("n"), F.min(F.size(vec)).alias("min_dim"),

@@ -194,3 +194,14 @@ def test_per_model_broadcast_equals_single_plan(spark):
     b = sorted(map(key, K.knn(qu2, it2, 3).collect()))                            # one broadcast
     c = sorted(map(key, K.knn(qu2, it2, 3, broadcast_bytes=0).collect()))         # replicated
     assert a == b == c
+
+
+def test_column_vector_functions(spark):
+    from taxomatch.functions import vectors as VF
+    df = spark.createDataFrame([([1.0, 2.0, 2.0], [0.0, 2.0, 1.0]), ([0.0, 0.0, 0.0], [1.0, 0.0, 0.0])],
+                               "a array<double>, b array<double>")
+    r = df.select(VF.sq_l2("a", "b").alias("d"), VF.cosine("a", "b").alias("c"), VF.dot("a", "b").alias("p"),
+                  VF.sq_norm("a").alias("n")).collect()
+    assert r[0].d == 2.0 and r[0].p == 6.0 and r[0].n == 9.0
+    assert math.isclose(r[0].c, 6.0 / (3.0 * math.sqrt(5.0)))
+    assert r[1].c is None and r[1].d == 1.0
