@@ -56,7 +56,7 @@ def main() -> None:
         "value": total,
         "unit": "sec",
         "queries": times,
-        "sf": os.path.basename(sf_dir.rstrip("/")).replace("sf", ""),
+        "sf": float(os.path.basename(sf_dir.rstrip("/")).replace("sf", "")),
         "cpus": int(cpus),
         "cold": cold,
         "cold_total": round(sum(cold.values()), 3),

@@ -8,13 +8,23 @@ can be compared value by value.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from taxomatch.functions import text as TX
+from taxomatch.operators import docs as D
+from taxomatch.operators import embed as EM
 from taxomatch.operators import knn as K
+from taxomatch.operators import rows as R
 from taxomatch.operators import vote as V
+from taxomatch.operators import words as W
 from taxomatch.plans import classify as C
 from taxomatch.plans import fixtures as X
+from taxomatch.session import scratch_path
+from taxomatch.sources import collections as S
+from taxomatch.streaming import incremental as ST
 
 QUERIES: dict = {}
 
@@ -155,10 +165,6 @@ def search_report(spark: SparkSession, d: str) -> DataFrame:
 
 # --------------------------------------------------------------------------- text and documents
 
-from taxomatch.functions import text as TX  # noqa: E402
-from taxomatch.operators import docs as D  # noqa: E402
-from taxomatch.operators import rows as R  # noqa: E402
-
 
 @query
 def category_text(spark: SparkSession, d: str) -> DataFrame:
@@ -293,12 +299,6 @@ def contains_docs(spark: SparkSession, d: str) -> DataFrame:
 
 # --------------------------------------------------------------------------- collections
 
-import uuid  # noqa: E402
-
-from taxomatch.operators import embed as EM  # noqa: E402
-from taxomatch.operators import words as W  # noqa: E402
-from taxomatch.session import scratch_path  # noqa: E402
-from taxomatch.sources import collections as S  # noqa: E402
 
 # Model names of the store round trip (collection names are derived from them).
 STORE_MODELS = ("nomic-embed-text:latest", "mxbai/embed-large:v1")
@@ -427,8 +427,6 @@ def tfidf_direct(spark: SparkSession, d: str) -> DataFrame:
 
 # --------------------------------------------------------------------------- streaming
 
-from taxomatch.streaming import incremental as ST  # noqa: E402
-
 
 @query
 def stream_incremental(spark: SparkSession, d: str) -> DataFrame:

@@ -7,6 +7,8 @@ driver's parquet tables.  Derived frames are written here the same way as in
 
 from __future__ import annotations
 
+from taxomatch.functions.text import stop_words
+
 ORACLE: dict[str, str] = {}
 
 _MODELS = "(VALUES ('m1', 1, 32), ('m2', 33, 64), ('principal', 1, 64)) AS ms(model, lo, hi)"
@@ -180,7 +182,6 @@ _q("search_report", f"WITH {vec_ctes()}, {ranked_cte()}, {mmr_ctes(5)} "
 
 # --------------------------------------------------------------------------- text and documents
 
-from taxomatch.functions.text import stop_words  # noqa: E402
 
 _CAT = """
 cat AS (
