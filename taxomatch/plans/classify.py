@@ -121,6 +121,9 @@ def classify_files(spark, categories_csv: str, products_csv: str, store_root: st
     store = S.VectorStore(spark, store_root)
     cats = CSV.read_categories(spark, categories_csv)
     cdocs = D.category_documents(cats)
+    # the position id of the reference plus a hash of what it points at, so an
+    # edited category file never reuses a stale vector (same rule as products)
+    cdocs = cdocs.withColumn("id", F.concat_ws(":", "id", F.lower(F.hex(F.xxhash64("path", "cat_type")))))
     prods = CSV.read_products(spark, products_csv)
     pdocs = D.product_documents(prods.select("uid", TX.product_text("title", "vendor_category").alias("text")))
     store.add_missing(cdocs, S.CATEGORIES, models)
@@ -128,7 +131,9 @@ def classify_files(spark, categories_csv: str, products_csv: str, store_root: st
     principal = principal or next(iter(models))
     use = list(models) if approach == "ensemble" else [principal]
     names = [S.collection_name_py(m) for m in use]
+    # documents of the current files only (older ones stay stored, unused)
     items = (store.vectors(S.CATEGORIES).where(F.col("model").isin(names))
+             .join(cdocs.select("id"), "id", "left_semi")
              .select("model", "doc_ord", "path", "cat_type", "vec"))
     # current product texts only: ids carry the text hash, so stale vectors are skipped
     queries = (store.vectors(S.PRODUCTS).where(F.col("model").isin(names))

@@ -58,3 +58,18 @@ def test_classify_with_word_vectors(spark):
     got = {r._id: r.category for r in C.classify_with_word_vectors(prods, cats, wv, 2).collect()}
     assert got == {"p1": "kitchen/pans", "p2": "office/lamps"}
     assert vector_shape(wv).first().asDict() == {"n": 6, "min_dim": 2, "max_dim": 2}
+
+
+def test_classify_files_edited_categories(spark, scratch):
+    prod = ("uniqueIdentifier;metaTitle;metaDescription;metaSpecs;vendorCategory;vendor\r"
+            "p1;Steel pan;;;;A\r")
+    _write(f"{scratch}/in/products.csv", prod)
+    _write(f"{scratch}/in/c1.csv", "cleanHandle\nkitchen/pans\n")
+    _write(f"{scratch}/in/c2.csv", "cleanHandle\noffice/lamps\n")      # same position, other path
+    models = {"m": _embed}
+    a = C.classify_files(spark, f"{scratch}/in/c1.csv", f"{scratch}/in/products.csv", f"{scratch}/store",
+                         models, f"{scratch}/o1", approach="direct")
+    b = C.classify_files(spark, f"{scratch}/in/c2.csv", f"{scratch}/in/products.csv", f"{scratch}/store",
+                         models, f"{scratch}/o2", approach="direct")
+    assert [r.category for r in a.collect()] == ["kitchen/pans"]
+    assert [r.category for r in b.collect()] == ["office/lamps"]
