@@ -94,14 +94,18 @@ def range_slices(df: DataFrame, n: int, key: str = "uid") -> DataFrame:
     return df.repartitionByRange(n, key)
 
 
+SPREAD_MAX_BYTES = 1 << 30
+
+
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Round-robin the rows over ``min_partitions`` partitions (default: the
     parallelism of the cluster) before CPU-heavy per-row work - but only when
-    the input is small for the cluster (estimated under one 128 MB split per
-    core, where a few row groups would leave most cores idle).  A large input
-    already has enough splits and is left as it is (no shuffle).
+    the input is small: estimated under one 128 MB split per core (so a few
+    row groups would leave most cores idle) and under 1 GB (so the shuffle is
+    cheap next to the work).  Larger inputs already come in enough splits and
+    are left as they are (no shuffle).
     """
     n = min_partitions or df.sparkSession.sparkContext.defaultParallelism
     size = estimated_bytes(df)
-    small = size is not None and size < n * _PARTITION_BYTES
+    small = size is not None and size < min(n * _PARTITION_BYTES, SPREAD_MAX_BYTES)
     return df.repartition(n) if small else df
