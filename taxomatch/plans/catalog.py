@@ -22,7 +22,7 @@ from taxomatch.operators import vote as V
 from taxomatch.operators import words as W
 from taxomatch.plans import classify as C
 from taxomatch.plans import fixtures as X
-from taxomatch.session import scratch_path
+from taxomatch.session import materialize, scratch_path
 from taxomatch.sources import collections as S
 from taxomatch.streaming import incremental as ST
 
@@ -396,9 +396,12 @@ def word2vec_train(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _doc_vectors(spark, d):
+    """Document vectors, written once (a stored collection): the search sizes
+    its blocks from them and then reads them, without recomputing."""
     docs = X.table(spark, d, "documents")
     mv = W.mean_vectors(docs, "doc_id", F.col("text"), X.word_vecs(spark, d), 64)
-    return mv.select(F.lit("principal").alias("model"), F.col("doc_id").cast("string").alias("uid"), "vec")
+    mv = mv.select(F.lit("principal").alias("model"), F.col("doc_id").cast("string").alias("uid"), "vec")
+    return materialize(mv, "doc-vectors")
 
 
 @query

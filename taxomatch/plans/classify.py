@@ -89,11 +89,15 @@ def classify_with_word_vectors(products: DataFrame, categories: DataFrame, word_
     from taxomatch.operators import docs as D
     from taxomatch.operators import words as W
 
+    from taxomatch.session import materialize
+
     cdocs = D.category_documents(categories)
     cv = W.mean_vectors(cdocs, "doc_ord", F.col("text"), word_vectors, dim)
     items = cdocs.select("doc_ord", "path", "cat_type").join(cv.select("doc_ord", "vec"), "doc_ord")
     ptext = products.select("uid", TX.product_word_text("title", "vendor_category").alias("text"))
-    pv = W.mean_vectors(ptext, "uid", F.col("text"), word_vectors, dim).select("uid", "vec")
+    # written once: the search sizes its blocks from the vectors, then reads them
+    pv = materialize(W.mean_vectors(ptext, "uid", F.col("text"), word_vectors, dim).select("uid", "vec"),
+                     "product-word-vectors")
     if approach == "direct":
         return classify_direct(pv, items, **kw)
     return classify_vote(pv, items, k=k, **kw)
