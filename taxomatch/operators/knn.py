@@ -375,24 +375,36 @@ def search(queries: DataFrame, items: DataFrame, k: int, *, methods=("sim",),
     return _search_blocks(queries, items, plan, plan["item_bytes"] <= broadcast_bytes, **opts)
 
 
+def _model_key(row_col: str):
+    """``model`` as a join key derived from the row.
+
+    With one model given as a literal on both sides the optimizer would fold
+    ``model = model`` to true and plan a nested-loop (cross) join; appending an
+    empty substring of a row column keeps it an equi-join.
+    """
+    return F.concat(F.col("model"), F.coalesce(F.substring(F.col(row_col).cast("string"), 1, 0), F.lit("")))
+
+
 def _search_blocks(queries, items, plan, broadcast, *, k, methods, fetch_k, lambda_mult, by_type,
                    metric, mmr_order, round_digits, sparse_dim):
     ni, nq = plan["item_blocks"], plan["query_blocks"]
     vcols = ["idx", "val"] if sparse_dim else ["vec"]
     ipack = (items.withColumn("ib", F.pmod(F.xxhash64("doc_ord"), F.lit(ni)))
-             .groupBy("model", "ib")
+             .withColumn("_mk", _model_key("doc_ord"))
+             .groupBy("_mk", "ib")
              .agg(F.collect_list("doc_ord").alias("i_ord"), F.collect_list("path").alias("i_path"),
                   F.collect_list("cat_type").alias("i_type"),
                   *[F.collect_list(c).alias(f"i_{c}") for c in vcols]))
     qpack = (queries.withColumn("qb", F.pmod(F.xxhash64("uid"), F.lit(nq)))
-             .groupBy("model", "qb")
+             .withColumn("_mk", _model_key("uid"))
+             .groupBy("_mk", "model", "qb")
              .agg(F.collect_list("uid").alias("q_uid"),
                   *[F.collect_list(c).alias(f"q_{c}") for c in vcols]))
     if broadcast:
-        pairs = qpack.join(F.broadcast(ipack), "model")
+        pairs = qpack.join(F.broadcast(ipack), "_mk")
     else:
         rep = ipack.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
-        pairs = qpack.join(rep, ["model", "qb"])
+        pairs = qpack.join(rep, ["_mk", "qb"])
 
     final = ni == 1
     kernel_methods = tuple(methods) if final else ("sim",)
