@@ -13,8 +13,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def write_answers(answers: DataFrame, path: str, mode: str = "overwrite") -> None:
-    answers.select("_id", "category").write.mode(mode).json(path)
+def write_answers(answers: DataFrame, path: str, mode: str = "overwrite", slices: int | None = None) -> None:
+    """K1: JSON lines, one part file per partition.
+
+    K2: with ``slices=n`` the answers are first split into ``n`` ranges of
+    ``_id``, so the folder holds one answer file per slice.
+    """
+    out = answers.select("_id", "category")
+    if slices:
+        out = out.repartitionByRange(slices, "_id")
+    out.write.mode(mode).json(path)
 
 
 def answers_as_array(answers: DataFrame, max_rows: int = 100_000) -> DataFrame:

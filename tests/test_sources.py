@@ -65,3 +65,11 @@ def test_word2vec_text_format(spark, scratch):
     assert got == {"foo": [1.0, 2.0, 3.0], "bar": [0.5, 0.0, -1.0]}
     WV.save_word_vectors(WV.read_word2vec_text(spark, path), f"{scratch}/wv_table")
     assert WV.load_word_vectors(spark, f"{scratch}/wv_table").count() == 2
+
+
+def test_answers_per_slice_files(spark, scratch):
+    ans = spark.createDataFrame([(str(i), "c") for i in range(40)], "_id string, category string")
+    A.write_answers(ans, f"{scratch}/sliced", slices=4)
+    parts = [f for f in os.listdir(f"{scratch}/sliced") if f.startswith("part-")]
+    assert len(parts) == 4
+    assert A.read_answers(spark, f"{scratch}/sliced").count() == 40
