@@ -38,3 +38,14 @@ def test_collection_scan_prunes(spark, scratch):
     plan = _plan(store.ids(S.PRODUCTS, "m1"))
     assert "ReadSchema: struct<id:string>" in plan
     assert "PartitionFilters: [isnotnull(model" in plan
+
+
+def test_multi_block_merge_uses_group_limit(spark):
+    """With several item blocks the local lists are merged by row_number() <= k;
+    Spark plans a partial WindowGroupLimit before the shuffle."""
+    from taxomatch.operators import knn as K
+    from taxomatch.plans import fixtures as X
+    h = K.knn(X.vec_queries(spark, SF0001), X.vec_items(spark, SF0001), 5, block_rows=16)
+    plan = h._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
+    assert h.count() == 400 * 2 * 5
