@@ -135,13 +135,18 @@ def known_words(docs: DataFrame, key: str, text: Column | str, word_vectors: Dat
 
 def train_word2vec(corpus: DataFrame, vector_size: int = 100, min_count: int = MIN_COUNT,
                    epochs: int = EPOCHS, window: int = 5, seed: int = 42,
-                   partitions: int = 1) -> DataFrame:
+                   partitions: int | None = None) -> DataFrame:
     """MLlib Word2Vec (skip-gram) on the corpus -> ``word_vectors``.
 
+    ``partitions`` defaults to the parallelism of the cluster (MLlib's own
+    default, 1, would train the whole corpus in one task); each partition
+    trains on its sentences and the updates are averaged per epoch.
     MLlib has no warm start from pretrained vectors; lay them over the result
     with ``overlay`` (the two spaces are not aligned, so a table should hold
     either overlaid or trained words per model).
     """
+    if partitions is None:
+        partitions = corpus.sparkSession.sparkContext.defaultParallelism
     w2v = Word2Vec(vectorSize=vector_size, minCount=min_count, maxIter=epochs, windowSize=window,
                    seed=seed, numPartitions=partitions, inputCol="tokens", outputCol="_v")
     model = w2v.fit(corpus.select("tokens"))
