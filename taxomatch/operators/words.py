@@ -124,13 +124,22 @@ def mean_vectors(docs: DataFrame, key: str, text: Column | str, word_vectors: Da
 
 
 def known_words(docs: DataFrame, key: str, text: Column | str, word_vectors: DataFrame,
-                cat: bool = False) -> DataFrame:
-    """V4: the words of each text that have a vector, in text order."""
+                cat: bool = False, as_list: bool = False) -> DataFrame:
+    """V4: the words of each text that have a vector, in text order.
+
+    One row per known word: ``key, pos, word`` (``pos`` = position among the
+    cleaned tokens), so a huge text is never gathered into one row.
+    ``as_list=True`` gives one ``words`` array per text instead - only for
+    texts of bounded length.
+    """
     toks = _positions(docs, key, text, cat)
     known = toks.join(_vectors_side(word_vectors.select("word"), 0), "word", "left_semi")
-    return (known.groupBy("key")
+    known = known.select(F.col("key").alias(key), "pos", "word")
+    if not as_list:
+        return known
+    return (known.groupBy(key)
             .agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("s"))
-            .select(F.col("key").alias(key), F.transform("s", lambda x: x["word"]).alias("words")))
+            .select(key, F.transform("s", lambda x: x["word"]).alias("words")))
 
 
 def train_word2vec(corpus: DataFrame, vector_size: int = 100, min_count: int = MIN_COUNT,

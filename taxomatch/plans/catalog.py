@@ -384,8 +384,9 @@ def mean_word_vectors(spark: SparkSession, d: str) -> DataFrame:
 def known_words(spark: SparkSession, d: str) -> DataFrame:
     docs = X.table(spark, d, "documents")
     kw = W.known_words(docs, "doc_id", F.col("text"), X.word_vecs(spark, d))
-    return kw.select("doc_id", F.size("words").cast("long").alias("n_known"),
-                     F.array_join("words", " ").alias("words"))
+    return kw.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_known"),
+                                    F.min_by("word", "pos").alias("first_known"),
+                                    F.max_by("word", "pos").alias("last_known"))
 
 
 @query

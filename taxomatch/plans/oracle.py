@@ -368,7 +368,7 @@ SELECT doc_id, known_words, round(vec[1], 6) AS v1, round(vec[-1], 6) AS vlast,
        round(list_sum(vec), 6) AS vsum FROM means""")
 _q("known_words", f"""WITH {_WORD_VECS},
 dp AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM dw)
-SELECT doc_id, count(*) AS n_known, string_agg(word, ' ' ORDER BY pos) AS words
+SELECT doc_id, count(*) AS n_known, arg_min(word, pos) AS first_known, arg_max(word, pos) AS last_known
 FROM dp SEMI JOIN word_vecs USING (word) GROUP BY doc_id""")
 _q("words_direct", f"""WITH {_MEANS}, {vec_ctes()},
 dq AS (SELECT CAST(doc_id AS VARCHAR) AS uid, vec FROM means),

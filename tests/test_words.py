@@ -22,8 +22,10 @@ def test_mean_vectors_and_zero_case(spark):
     assert np.allclose(got["a"][0], [2 / 3, 4 / 3]) and got["a"][1] == 3
     assert got["b"] == ([0.0, 0.0], 0)
     assert got["c"] == ([0.0, 0.0], 0)
-    kw = {r.k: r.words for r in W.known_words(docs, "k", F.col("t"), wv).collect()}
+    kw = {r.k: r.words for r in W.known_words(docs, "k", F.col("t"), wv, as_list=True).collect()}
     assert kw == {"a": ["red", "pan", "red"]}
+    rows = sorted((r.k, r.pos, r.word) for r in W.known_words(docs, "k", F.col("t"), wv).collect())
+    assert rows == [("a", 0, "red"), ("a", 1, "pan"), ("a", 2, "red")]
 
 
 def test_overlay(spark):
