@@ -135,15 +135,7 @@ def _top_candidates(Q, Xg, og, kcand, metric, round_digits=None):
         r, c = np.nonzero(approx <= kth + tol)
     else:
         r, c = np.nonzero(np.ones_like(approx, dtype=bool))
-    if metric == "l2":
-        diff = Q[r] - Xg[c]
-        d = np.einsum("ij,ij->i", diff, diff)
-    elif metric == "dot":
-        d = 1.0 - np.einsum("ij,ij->i", Q[r], Xg[c])
-    else:
-        with np.errstate(divide="ignore", invalid="ignore"):
-            d = 1.0 - np.einsum("ij,ij->i", Q[r], Xg[c]) / (np.sqrt(qn2[r]) * np.sqrt(xn2[c]))
-        d[~np.isfinite(d)] = np.nan
+    d = _exact(Q, Xg, r, c, metric, qn2, xn2)
     if round_digits is not None:
         d = np.round(d, round_digits)
     order = np.lexsort((og[c], np.where(np.isnan(d), np.inf, d), r))
@@ -157,6 +149,38 @@ def _top_candidates(Q, Xg, og, kcand, metric, round_digits=None):
     return r[keep], c[keep], d[keep], rank[keep]
 
 
+# Bytes of the temporary (pairs x dim) arrays of one step in the Python worker.
+_CHUNK_BYTES = 16 << 20
+
+
+def _exact(Q, Xg, r, c, metric, qn2, xn2):
+    """Exact distance of the (row r, item c) pairs, in chunks of ~16 MB."""
+    out = np.empty(len(r))
+    step = max(1, _CHUNK_BYTES // (8 * max(1, Q.shape[1])))
+    for s in range(0, len(r), step):
+        rr, cc = r[s:s + step], c[s:s + step]
+        if metric == "l2":
+            diff = Q[rr] - Xg[cc]
+            out[s:s + step] = np.einsum("ij,ij->i", diff, diff)
+        elif metric == "dot":
+            out[s:s + step] = 1.0 - np.einsum("ij,ij->i", Q[rr], Xg[cc])
+        else:
+            with np.errstate(divide="ignore", invalid="ignore"):
+                out[s:s + step] = 1.0 - np.einsum("ij,ij->i", Q[rr], Xg[cc]) / (
+                    np.sqrt(qn2[rr]) * np.sqrt(xn2[cc]))
+    if metric == "cosine":
+        out[~np.isfinite(out)] = np.nan
+    return out
+
+
+def _mmr_chunked(Q, Xg, cand, k, lam):
+    """``mmr_select`` over query chunks so (queries x candidates x dim) stays ~16 MB."""
+    nq, mf = cand.shape
+    step = max(1, _CHUNK_BYTES // (8 * max(1, mf * Q.shape[1])))
+    parts = [mmr_select(Q[s:s + step], Xg[cand[s:s + step]], k, lam) for s in range(0, nq, step)]
+    return np.concatenate(parts) if parts else np.zeros((0, min(k, mf)), dtype=np.int64)
+
+
 def _frame(uids, model, method, ctype, rank, ords, paths, dist, step):
     n = len(rank)
     return pd.DataFrame({
@@ -224,7 +248,7 @@ def _score_block(row, k, methods, fetch_k, lam, metric, by_type, mmr_order, roun
             nq = len(rr) // mf
             cand = cc.reshape(nq, mf)
             qrows = rr.reshape(nq, mf)[:, 0]
-            sel = mmr_select(Q[qrows], Xg[cand], k, lam)
+            sel = _mmr_chunked(Q[qrows], Xg, cand, k, lam)
             kk = sel.shape[1]
             step = np.tile(np.arange(1, kk + 1, dtype=np.int32), nq)
             if mmr_order == "distance":
@@ -334,7 +358,7 @@ def block_plan(queries: DataFrame, items: DataFrame, block_rows: int,
 def search(queries: DataFrame, items: DataFrame, k: int, *, methods=("sim",),
            fetch_k: int = DEFAULT_FETCH_K, lambda_mult: float = DEFAULT_LAMBDA,
            by_type: bool = True, metric: str = "l2", mmr_order: str = "distance",
-           block_rows: int = 4096, broadcast_bytes: int = 1 << 30,
+           block_rows: int = 2048, broadcast_bytes: int = 1 << 30,
            round_digits: int | None = None, sparse_dim: int | None = None,
            plan: dict | None = None) -> DataFrame:
     """Hit lists for every (query, model, list) - one row per hit (``HIT_SCHEMA``).

@@ -205,3 +205,18 @@ def test_column_vector_functions(spark):
     assert r[0].d == 2.0 and r[0].p == 6.0 and r[0].n == 9.0
     assert math.isclose(r[0].c, 6.0 / (3.0 * math.sqrt(5.0)))
     assert r[1].c is None and r[1].d == 1.0
+
+
+def test_tiny_chunks_same_result(spark, monkeypatch):
+    Q, X, qu, it = _frames(spark, seed=21, nq=30, ni=40, ties=True)
+    monkeypatch.setattr(K, "_CHUNK_BYTES", 64)          # forces many small chunks
+    rows = K.search(qu, it, 4, methods=("sim", "mmr"), fetch_k=8).collect()
+    monkeypatch.undo()
+    sim = {}
+    for r in rows:
+        if r.method == "sim":
+            sim.setdefault((r.uid, r.cat_type), []).append((r.rank, r.doc_ord))
+    assert {key: [o for _, o in sorted(v)] for key, v in sim.items()} == _brute(Q, X, 4, True)
+    ref = K.search(qu, it, 4, methods=("mmr",), fetch_k=8).collect()
+    key = lambda r: (r.uid, r.cat_type, r.rank, r.doc_ord, r.mmr_step)
+    assert sorted(key(r) for r in rows if r.method == "mmr") == sorted(map(key, ref))
