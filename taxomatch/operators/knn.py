@@ -12,15 +12,18 @@ carries the item's full ``path`` (J7), so no lookup join follows the search.
 Physical plan
 -------------
 Both sides are packed into blocks of at most ``block_rows`` vectors per
-``(model, block)`` with one ``groupBy`` each (block = hash of the key, so a
-block is deterministic under task retries and its size is bounded by the row
-count, not by a key value).  Every query block meets every item block of its
+model: the item side with a ``groupBy`` (block = hash of the key, so a block
+is deterministic under task retries and its size is bounded by the row
+count, not by a key value), the query side in place or, when the items must
+be replicated, with a ``groupBy`` as well.  Every query block meets every item block of its
 model in exactly one row; one numpy matrix product per row scores the pair
 and only the local top candidates leave the Python worker, never all pairs.
 
 * item side below ``broadcast_bytes`` (the usual taxonomy): the packed item
-  table (models x blocks rows) is broadcast, queries are not shuffled again
-  (network ~ executors x item bytes);
+  table (models x blocks rows) is broadcast; the queries are packed where
+  they are (``mapInPandas`` per Arrow batch) and stream through a broadcast
+  hash join - no shuffle and no count of the query side (network ~ executors
+  x item bytes);
 * all models together too large but each model small enough: one broadcast
   search per model, unioned;
 * otherwise the item blocks are replicated per query block and both sides meet
@@ -327,31 +330,34 @@ def _vec_cols(sparse_dim):
 
 
 def block_plan(queries: DataFrame, items: DataFrame, block_rows: int,
-               sparse_dim: int | None = None, block_bytes: int = 32 << 20) -> dict:
+               sparse_dim: int | None = None, block_bytes: int = 32 << 20,
+               broadcast_bytes: int | None = None) -> dict:
     """Sizes that decide the physical form.
 
-    One job computes per-model row counts and packed bytes of both sides;
-    only those few rows (two per model) reach the driver.  A block holds at
-    most ``block_rows`` vectors and about ``block_bytes`` bytes.
+    One small job gives per-model row counts and packed bytes of the item
+    side (one row per model reaches the driver).  The query side is only
+    counted when the items are too large to broadcast (the replicated join
+    needs the number of query blocks); with a broadcast, queries are packed
+    where they are and never counted.  A block holds at most ``block_rows``
+    vectors and about ``block_bytes`` bytes.
     """
     width = (F.size("idx") * 12 + 64) if sparse_dim else (F.size("vec") * 8 + 64)
-    stats = (items.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.sum(width).alias("bytes"))
-             .withColumn("side", F.lit("items"))
-             .unionByName(queries.groupBy("model")
-                          .agg(F.count(F.lit(1)).alias("n"), F.sum(width).alias("bytes"))
-                          .withColumn("side", F.lit("queries")))
-             .collect())
+
+    def stats(df):
+        return df.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.sum(width).alias("bytes")).collect()
 
     def blocks(rows):
         return max([1] + [math.ceil(max(r["n"] / block_rows, (r["bytes"] or 0) / block_bytes))
                           for r in rows])
-    it = [r for r in stats if r["side"] == "items"]
-    qs = [r for r in stats if r["side"] == "queries"]
+    it = stats(items)
+    by_model = {r["model"]: int(r["bytes"] or 0) for r in it}
+    item_bytes = sum(by_model.values())
+    fits = broadcast_bytes is not None and max(by_model.values() or [0]) <= broadcast_bytes
     return {
         "item_blocks": blocks(it),
-        "query_blocks": blocks(qs),
-        "item_bytes": sum(int(r["bytes"] or 0) for r in it),
-        "item_bytes_by_model": {r["model"]: int(r["bytes"] or 0) for r in it},
+        "query_blocks": None if fits else blocks(stats(queries)),
+        "item_bytes": item_bytes,
+        "item_bytes_by_model": by_model,
     }
 
 
@@ -387,9 +393,10 @@ def search(queries: DataFrame, items: DataFrame, k: int, *, methods=("sim",),
                                           *_vec_cols(sparse_dim))
     items = _with_model(items).select("model", F.col("doc_ord").cast("long").alias("doc_ord"),
                                       "path", "cat_type", *_vec_cols(sparse_dim))
-    plan = plan or block_plan(queries, items, block_rows, sparse_dim)
+    plan = plan or block_plan(queries, items, block_rows, sparse_dim, broadcast_bytes=broadcast_bytes)
     opts = dict(k=k, methods=methods, fetch_k=fetch_k, lambda_mult=lambda_mult, by_type=by_type,
-                metric=metric, mmr_order=mmr_order, round_digits=round_digits, sparse_dim=sparse_dim)
+                metric=metric, mmr_order=mmr_order, round_digits=round_digits, sparse_dim=sparse_dim,
+                block_rows=block_rows)
     by_model = plan.get("item_bytes_by_model") or {}
     if plan["item_bytes"] > broadcast_bytes and len(by_model) > 1 and \
             max(by_model.values()) <= broadcast_bytes:
@@ -409,8 +416,40 @@ def _model_key(row_col: str):
     return F.concat(F.col("model"), F.coalesce(F.substring(F.col(row_col).cast("string"), 1, 0), F.lit("")))
 
 
+def _local_packer(vcols, block_rows, block_bytes=32 << 20):
+    """mapInPandas function: pack the query rows of each Arrow batch into
+    blocks (per model, at most ``block_rows`` rows / ~``block_bytes``) where
+    they are - a narrow step, no shuffle."""
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for model, g in pdf.groupby("model", sort=False):
+                step = block_rows
+                if "vec" in vcols and len(g):
+                    d = len(g["vec"].iloc[0])
+                    step = max(1, min(block_rows, block_bytes // (8 * d + 64)))
+                for s in range(0, len(g), step):
+                    part = g.iloc[s:s + step]
+                    row = {"_mk": model, "model": model, "q_uid": part["uid"].tolist()}
+                    for c in vcols:
+                        row[f"q_{c}"] = [np.asarray(v).tolist() for v in part[c]]
+                    rows.append(row)
+            if rows:
+                yield pd.DataFrame(rows)
+    return run
+
+
+def _packed_query_schema(vcols) -> str:
+    cols = ["_mk string", "model string", "q_uid array<string>"]
+    if "vec" in vcols:
+        cols.append("q_vec array<array<double>>")
+    else:
+        cols += ["q_idx array<array<int>>", "q_val array<array<double>>"]
+    return ", ".join(cols)
+
+
 def _search_blocks(queries, items, plan, broadcast, *, k, methods, fetch_k, lambda_mult, by_type,
-                   metric, mmr_order, round_digits, sparse_dim):
+                   metric, mmr_order, round_digits, sparse_dim, block_rows):
     ni, nq = plan["item_blocks"], plan["query_blocks"]
     vcols = ["idx", "val"] if sparse_dim else ["vec"]
     ipack = (items.withColumn("ib", F.pmod(F.xxhash64("doc_ord"), F.lit(ni)))
@@ -419,14 +458,16 @@ def _search_blocks(queries, items, plan, broadcast, *, k, methods, fetch_k, lamb
              .agg(F.collect_list("doc_ord").alias("i_ord"), F.collect_list("path").alias("i_path"),
                   F.collect_list("cat_type").alias("i_type"),
                   *[F.collect_list(c).alias(f"i_{c}") for c in vcols]))
-    qpack = (queries.withColumn("qb", F.pmod(F.xxhash64("uid"), F.lit(nq)))
-             .withColumn("_mk", _model_key("uid"))
-             .groupBy("_mk", "model", "qb")
-             .agg(F.collect_list("uid").alias("q_uid"),
-                  *[F.collect_list(c).alias(f"q_{c}") for c in vcols]))
     if broadcast:
+        # queries packed in place, streamed through a broadcast hash join
+        qpack = queries.mapInPandas(_local_packer(vcols, block_rows), _packed_query_schema(vcols))
         pairs = qpack.join(F.broadcast(ipack), "_mk")
     else:
+        qpack = (queries.withColumn("qb", F.pmod(F.xxhash64("uid"), F.lit(nq)))
+                 .withColumn("_mk", _model_key("uid"))
+                 .groupBy("_mk", "model", "qb")
+                 .agg(F.collect_list("uid").alias("q_uid"),
+                      *[F.collect_list(c).alias(f"q_{c}") for c in vcols]))
         rep = ipack.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
         pairs = qpack.join(rep, ["_mk", "qb"])
 
