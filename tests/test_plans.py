@@ -49,3 +49,12 @@ def test_multi_block_merge_uses_group_limit(spark):
     plan = h._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
     assert h.count() == 400 * 2 * 5
+
+
+def test_query_side_not_shuffled(spark):
+    """Broadcast form: the one exchange of classify_direct is the item side's
+    packing; the product vectors go scan -> pack -> broadcast join -> kernel."""
+    df = E.queries()["classify_direct"](spark, SF0001)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert plan.count("MapInPandas") == 2                # pack in place, score
