@@ -29,10 +29,15 @@ def estimated_bytes(df: DataFrame) -> int | None:
 
 def _range_partitions(df: DataFrame) -> int:
     """Range partitions for a re-numbering: one per ~128 MB of estimated input,
-    at least ``spark.sql.shuffle.partitions``.  AQE cannot split range
-    partitions later, so they are sized up front (from the plan estimate -
-    asking the RDD would run the upstream shuffles)."""
-    base = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at least min(cores, ``spark.sql.shuffle.partitions``).
+
+    The number is explicit on purpose: AQE does not coalesce an explicit
+    repartition, so both branches of the numbering (counts and rows) read the
+    same partitions.  It is sized up front from the plan estimate (asking the
+    RDD would run the upstream shuffles)."""
+    spark = df.sparkSession
+    base = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")),
+                      spark.sparkContext.defaultParallelism))
     size = estimated_bytes(df)
     if size is None:
         return base
