@@ -6,14 +6,11 @@ Every function maps ``Column -> Column``.
 
 from __future__ import annotations
 
-import functools
-import glob
-import os
-import zipfile
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from taxomatch.functions.stopwords import ENGLISH
+
 # ---------------------------------------------------------------------------
 # Fixed values of the text rules.  They must stay as they are for the results
 # to match: the path rewrite (in this order), the LAST-text separator, the
@@ -158,24 +155,10 @@ def corpus_text(title: Column | str, description: Column | str, vendor_category:
 
 # --------------------------------------------------------------------------- cleaning
 
-@functools.lru_cache(maxsize=4)
-def stop_words(language: str = "english") -> tuple[str, ...]:
-    """Spark's own stop word list (the resource shipped in the MLlib jar).
-
-    Read from the jar, so no JVM is needed (the DuckDB oracle uses it too).
-    """
-    import pyspark
-
-    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
-    for jar in jars:
-        with zipfile.ZipFile(jar) as z:
-            name = f"org/apache/spark/ml/feature/stopwords/{language}.txt"
-            if name in z.namelist():
-                words = z.read(name).decode("utf-8").split("\n")
-                return tuple(w.strip() for w in words if w.strip())
-    from pyspark.ml.feature import StopWordsRemover
-
-    return tuple(StopWordsRemover.loadDefaultStopWords(language))
+def stop_words() -> tuple[str, ...]:
+    """Spark's default English stop words, shipped with the package: neither
+    a JVM nor the MLlib jar is needed (the DuckDB oracle uses them too)."""
+    return ENGLISH
 
 
 def normalize_letters(text: Column | str, cat: bool = False) -> Column:
@@ -200,29 +183,29 @@ def words(text: Column | str) -> Column:
     return F.array_remove(F.split(_c(text), " ", -1), "")
 
 
-def drop_stop_words(tokens: Column, language: str = "english") -> Column:
+def drop_stop_words(tokens: Column) -> Column:
     """Remove stop words from an ``array<string>``.
 
     Same list and rule as MLlib's ``StopWordsRemover`` on lower-case words.
     """
     # An IN list over 10 literals is planned as a hash set (OptimizeIn -> InSet).
-    stop = stop_words(language)
+    stop = stop_words()
     return F.filter(tokens, lambda w: ~w.isin(*stop))
 
 
-def is_stop_word(word: Column | str, language: str = "english") -> Column:
+def is_stop_word(word: Column | str) -> Column:
     """Predicate for exploded tokens (stays in generated code)."""
-    return _c(word).isin(*stop_words(language))
+    return _c(word).isin(*stop_words())
 
 
-def clean_words(text: Column | str, cat: bool = False, language: str = "english") -> Column:
+def clean_words(text: Column | str, cat: bool = False) -> Column:
     """T11 as tokens: ``normalize_letters`` -> words -> stop words removed."""
-    return drop_stop_words(words(normalize_letters(text, cat)), language)
+    return drop_stop_words(words(normalize_letters(text, cat)))
 
 
-def clean_text(text: Column | str, cat: bool = False, language: str = "english") -> Column:
+def clean_text(text: Column | str, cat: bool = False) -> Column:
     """``clean_words`` joined by single spaces."""
-    return F.array_join(clean_words(text, cat, language), " ")
+    return F.array_join(clean_words(text, cat), " ")
 
 
 def chunk_words(tokens: Column, size: int = CHUNK_WORDS) -> Column:
