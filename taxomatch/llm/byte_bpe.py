@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from taxomatch.llm.common import Memo, worker_store
 from taxomatch.llm.pieces import PieceReader
@@ -197,7 +198,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: bool
     schema = df.select(*[F.col(f"`{c}`") for c in rest]).schema
     schema = schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
     if ids:
-        schema = schema.add("token_ids", "array<int>")
+        schema = schema.add("token_ids", T.ArrayType(T.IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, pattern)
