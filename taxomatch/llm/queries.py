@@ -7,8 +7,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taxomatch.llm import byte_bpe, quality_rules, token_count, url_rules
-from taxomatch.llm.common import table
+from taxomatch.llm import byte_bpe, pii, quality_model, quality_rules, token_count, url_rules
+from taxomatch.llm.common import table, written
+
+
+def op1_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    # The statistics serve the fit and the scores: the texts are read once.
+    stats = written(quality_model.with_statistics(docs).drop("text"), "quality-statistics")
+    model = quality_model.fit(quality_model.training_rows(stats, table(spark, sf_dir, "labels")))
+    scored = quality_model.predict(quality_model.with_score(stats, model))
+    return scored.select("doc_id", quality_model.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +26,12 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "base_failed", "kept")
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.digest(pii.find_pii(docs)).select(
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_count.token_counts(
@@ -37,7 +52,9 @@ def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality_model": op1_quality_model,
     "op2_quality_rules": op2_quality_rules,
+    "op5_pii": op5_pii,
     "op6_token_counts": op6_token_counts,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_url_rules": op9_url_rules,
