@@ -258,6 +258,7 @@ def digest(df: DataFrame, spans: str = "pii") -> DataFrame:
     """Counts of the base kinds, the digest of the base spans and all spans as text."""
     s = F.col(spans)
     base = F.filter(s, lambda x: x["kind"].isin(*BASE))
+    count = lambda kind: F.size(F.filter(s, lambda x: x["kind"] == kind)).cast("long")
     return df.withColumns(
-        {f"n_{k}": F.size(F.filter(s, lambda x, k=k: x["kind"] == k)).cast("long") for k in BASE}
+        {f"n_{k}": count(k) for k in BASE}
         | {"base_sha256": F.sha2(span_text(base), 256), "spans": span_text(s)})
