@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taxomatch.llm import byte_bpe, pii, quality_model, quality_rules, token_count, url_rules
+from taxomatch.llm import byte_bpe, minhash, pii, quality_model, quality_rules, token_count, url_rules
 from taxomatch.llm.common import table, written
 
 
@@ -26,6 +26,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "base_failed", "kept")
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), minhash.Rule(words=3, num=85, den=100))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.digest(pii.find_pii(docs)).select(
@@ -54,6 +58,7 @@ def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_model": op1_quality_model,
     "op2_quality_rules": op2_quality_rules,
+    "op3_minhash": op3_minhash,
     "op5_pii": op5_pii,
     "op6_token_counts": op6_token_counts,
     "op8_byte_bpe": op8_byte_bpe,
