@@ -59,3 +59,16 @@ def bind(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once per row, however often the
     body (or a lambda inside it) refers to it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+#: Up to this many ids (some 100 MB as a broadcast relation) a set of ids is
+#: broadcast to filter a table of texts; beyond it the texts are joined by shuffle.
+BROADCAST_IDS = 2_000_000
+
+
+def with_ids(df: DataFrame, ids: DataFrame, keep: bool = True, limit: int = BROADCAST_IDS) -> DataFrame:
+    """The rows of ``df`` whose ``doc_id`` is (or, without ``keep``, is not) among
+    the distinct ``ids`` (one column, a written table).  The count decides only
+    between a broadcast and a shuffle; the rows are the same."""
+    small = ids.limit(limit + 1).count() <= limit
+    return df.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi" if keep else "left_anti")

@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taxomatch.llm import byte_bpe, minhash, pii, quality_model, quality_rules, token_count, url_rules
+from taxomatch.llm import byte_bpe, minhash, pii, quality_model, quality_rules, substring_dedup, token_count, url_rules
 from taxomatch.llm.common import table, written
 
 
@@ -55,6 +55,10 @@ def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(pages).select("page_id", "host", "path", "rule", F.col("verdict"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup_windows(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality_model": op1_quality_model,
     "op2_quality_rules": op2_quality_rules,
@@ -63,6 +67,7 @@ QUERIES = {
     "op6_token_counts": op6_token_counts,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_url_rules": op9_url_rules,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLE = {
