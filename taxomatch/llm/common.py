@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 import types
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,3 +73,18 @@ def with_ids(df: DataFrame, ids: DataFrame, keep: bool = True, limit: int = BROA
     between a broadcast and a shuffle; the rows are the same."""
     small = ids.limit(limit + 1).count() <= limit
     return df.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi" if keep else "left_anti")
+
+
+def distinct(a: np.ndarray) -> np.ndarray:
+    """Sorted distinct values (by a sort, several times as fast as ``np.unique`` here)."""
+    a = np.sort(a)
+    return a[np.concatenate([[True], a[1:] != a[:-1]])] if len(a) else a
+
+
+def member(a: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Is each value of ``a`` in the sorted array ``of``?"""
+    if not len(of):
+        return np.zeros(len(a), bool)
+    at = np.searchsorted(of, a)
+    at[at == len(of)] = 0
+    return of[at] == a

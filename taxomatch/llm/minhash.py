@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taxomatch.llm.common import written
+from taxomatch.llm.common import distinct, written
 from taxomatch.llm.components import components
 
 TREES = 16
@@ -38,7 +38,7 @@ FIRST = 3
 REGION = 1500
 #: Depths tried one after the other in crowded regions; the last is the whole signature.
 DEPTHS = (4, 5, 6, 8, 11, 16, 24, 48, SIZE)
-_CHUNK = 1 << 14
+_CHUNK = 512
 
 
 @dataclass(frozen=True)
@@ -83,18 +83,18 @@ def shingles(text: str | None, words: int) -> np.ndarray:
     s ^= s >> np.uint64(31)
     s *= np.uint64(0x9E3779B97F4A7C15)
     s ^= s >> np.uint64(29)
-    return np.unique(s + np.uint64(k))
+    return distinct(s + np.uint64(k))
 
 
 def signature(s: np.ndarray) -> np.ndarray:
-    out = np.full(SIZE, 0xFFFFFFFF, np.uint32)
+    """The minimum of each hash function, upper 32 bits (those of the smallest
+    64-bit value are the smallest)."""
+    low = np.full(SIZE, 0xFFFFFFFFFFFFFFFF, np.uint64)
     for at in range(0, len(s), _CHUNK):
-        part = s[at : at + _CHUNK]
-        for i in range(SIZE):
-            low = ((part * MULTIPLY[i] + ADD[i]) >> np.uint64(32)).min()
-            if low < out[i]:
-                out[i] = low
-    return out
+        values = MULTIPLY[:, None] * s[None, at : at + _CHUNK]
+        values += ADD[:, None]
+        np.minimum(low, values.min(axis=1), out=low)
+    return (low >> np.uint64(32)).astype(np.uint32)
 
 
 def region_keys(signatures: np.ndarray, trees: np.ndarray, depth: int) -> np.ndarray:

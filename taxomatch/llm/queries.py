@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taxomatch.llm import byte_bpe, minhash, pii, quality_model, quality_rules, substring_dedup, token_count, url_rules
+from taxomatch.llm import byte_bpe, minhash, pii, quality_model, quality_rules, substring_dedup, tiling, token_count, url_rules
 from taxomatch.llm.common import table, written
 
 
@@ -43,6 +43,11 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op7_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document and benchmark item that it leaks."""
+    return tiling.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return byte_bpe.encode(
@@ -65,6 +70,7 @@ QUERIES = {
     "op3_minhash": op3_minhash,
     "op5_pii": op5_pii,
     "op6_token_counts": op6_token_counts,
+    "op7_string_tiling": op7_string_tiling,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_url_rules": op9_url_rules,
     "op10_substring_dedup": op10_substring_dedup,

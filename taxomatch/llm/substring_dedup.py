@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taxomatch.llm.common import with_ids, written
+from taxomatch.llm.common import distinct, member, with_ids, written
 
 WINDOW = 50
 #: A perfect difference set: the differences of its members give every remainder.
@@ -73,7 +73,7 @@ def candidates(h: np.ndarray, shared: np.ndarray) -> np.ndarray:
     """Starts of the windows that hold a shared anchor at an offset under the period."""
     n = len(h) - WINDOW + 1
     at, a = anchors(h)
-    hit = at[np.isin(a, shared)]
+    hit = at[member(a, distinct(shared))]
     marks = np.zeros(n + 1, np.int32)
     np.add.at(marks, np.maximum(hit - (PERIOD - 1), 0), 1)
     np.add.at(marks, np.minimum(hit, n - 1) + 1, -1)
@@ -106,7 +106,7 @@ def _anchored(df: DataFrame) -> DataFrame:
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 words = t.encode().split()
                 if len(words) >= WINDOW:
-                    a = np.unique(anchors(word_hashes(words))[1])
+                    a = distinct(anchors(word_hashes(words))[1])
                     out.append(a)
                     ids.append(np.full(len(a), i, np.int64))
                     held += len(a)
@@ -150,7 +150,7 @@ def _rewritten(df: DataFrame) -> DataFrame:
                 w = windows(h, WINDOW, ONE)
                 pairs = g.values.flatten()
                 one, two = (c.to_numpy(zero_copy_only=False).view(np.uint64) for c in pairs)
-                hit = np.isin(w, one)
+                hit = member(w, distinct(one))
                 if hit.any():  # the second half of the hash of those that have the first
                     at = np.nonzero(hit)[0]
                     known = set(zip(one.tolist(), two.tolist()))
