@@ -1,23 +1,62 @@
-"""A corpus pipeline over ``documents`` built of the text operators."""
+"""A corpus pipeline over ``documents``: quality classifier, near-duplicates,
+benchmark decontamination, personal data, byte-level BPE.
+
+Each stage takes (spark, docs, sf_dir).  All but the last return the columns
+of ``documents``; the last returns the encoded documents.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from taxomatch.llm import byte_bpe
+from taxomatch.llm import byte_bpe, minhash, pii, quality_model, tiling
 from taxomatch.llm.common import table, written
 
-import public_tokenizers
+#: Near-duplicates of the pipeline: five-word shingles, similarity 0.8 or more.
+NEAR = minhash.Rule(words=5, num=80, den=100)
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return quality_model.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
+    return minhash.one_of_each(docs, NEAR)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that leak a benchmark item go."""
+    return tiling.without_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data become ``<KIND>``; ``n_chars`` is that of the new text."""
+    out = pii.find_pii(docs, spans="_pii", redact=True)
+    if "n_chars" in docs.columns:
+        changed = F.size("_pii") > 0
+        out = out.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType))
+                             .otherwise(F.col("n_chars")))
+    return out.select(*[f"`{c}`" for c in docs.columns])
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Byte-level BPE: one row per document with its token ids."""
+    """One row per document with its token ids and the digest of the decoded bytes."""
     return byte_bpe.encode(docs.select("doc_id", "text"),
                            public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
                            ).select("doc_id", "n_tokens", "token_ids", "ids_sha256", "decoded_sha256")
 
 
-STAGES = [("byte-level BPE", bpe_stage)]
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("MinHash near-dedup", near_duplicate_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("PII", pii_stage),
+    ("byte-level BPE", bpe_stage),
+]
 
 #: A trained classifier and similarity links are not expressible in SQL.
 ORACLE_SQL = None

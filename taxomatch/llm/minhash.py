@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taxomatch.llm.common import distinct, written
+from taxomatch.llm.common import BROADCAST_IDS, distinct, with_ids, written
 from taxomatch.llm.components import components
 
 TREES = 16
@@ -106,21 +106,22 @@ def region_keys(signatures: np.ndarray, trees: np.ndarray, depth: int) -> np.nda
 
 
 def _signed(df: DataFrame, words: int) -> DataFrame:
-    """(doc_id, text) -> (doc_id, node, n_shingles, signature); ``node`` is the
-    128-bit digest of the set and stands for all texts with that set."""
+    """(doc_id, text_key, text) -> (doc_id, text_key, node, n_shingles, signature);
+    ``node`` is the 128-bit digest of the set and stands for all texts with that set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             nodes, sizes, signs = [], [], []
-            for t in b.column(1).to_pylist():
+            for t in b.column(2).to_pylist():
                 s = shingles(t, words)
                 sizes.append(len(s))
                 nodes.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 signs.append(signature(s).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()),
-                 pa.array(signs, pa.binary())], names=["doc_id", "node", "n_shingles", "signature"])
+                [b.column(0), b.column(1), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()),
+                 pa.array(signs, pa.binary())], names=["doc_id", "text_key", "node", "n_shingles", "signature"])
 
-    return df.mapInArrow(run, "doc_id long, node binary, n_shingles long, signature binary")
+    return df.select("doc_id", "text_key", "text").mapInArrow(
+        run, "doc_id long, text_key long, node binary, n_shingles long, signature binary")
 
 
 def _sets(df: DataFrame, words: int) -> DataFrame:
@@ -290,33 +291,24 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary")
 
 
-def near_duplicates(df: DataFrame, rule: Rule, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``df``: doc_id, n_shingles, component_id (the smallest
-    doc_id that links reach, itself included) and kept (doc_id is component_id).
-
-    Words are runs of bytes other than ASCII white space, with A-Z lower-cased.
-    A null or empty text has no shingles and is its own component.  Texts with
-    equal sets (copies, repeated rows) always share a component.  Rows of one
-    doc_id with different texts are separate texts; a null doc_id joins its
-    text's component, is never a component_id and never kept where the
-    component has an id (a text that only rows without id have is linked to
-    equal sets only).  Other columns are not looked at.
-    """
-    docs = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+def _placed(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_key, text) -> (doc_id, text_key, node, n_shingles) of every row,
+    and (node, root) of every set: root is the component's smallest set."""
     signed = written(_signed(docs, rule.words), "signatures")
     classes = written(
         signed.where("node IS NOT NULL").groupBy("node").agg(
             F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"),
             F.first("signature").alias("signature")),
         "classes")
-    placed = regions(classes)
     small = classes.select("node", "n_shingles", _low_bytes("signature").alias("bytes"))
-    members = written(placed.join(small, "node"), "members")
+    members = written(regions(classes).join(small, "node"), "members")
 
     first = written(_candidates(members, rule, across=False), "pairs")
     nodes = first.select(F.col("a").alias("node")).unionByName(first.select(F.col("b").alias("node"))).distinct()
-    wanted = classes.join(nodes, "node").select("doc_id", F.col("node").alias("wanted"))
-    sets = written(_sets(docs.join(wanted, "doc_id"), rule.words).dropDuplicates(["node"]), "sets")
+    wanted = classes.join(nodes, "node").where("doc_id IS NOT NULL").select("doc_id", F.col("node").alias("wanted"))
+    wanted = written(wanted, "wanted")
+    near = with_ids(docs, wanted.select("doc_id").distinct()).join(wanted, "doc_id")
+    sets = written(_sets(near, rule.words).dropDuplicates(["node"]), "sets")
     links = written(_confirmed(first, sets, rule), "links")
     joined = components(links)
 
@@ -324,17 +316,67 @@ def near_duplicates(df: DataFrame, rule: Rule, doc_id: str = "doc_id", text: str
     label = members.join(joined, "node", "left").withColumn("label", F.coalesce("root", "node"))
     mixed = label.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi")
     rest = _candidates(label.join(mixed.select("key"), "key", "left_semi"), rule, across=True)
-    rest = rest.join(first, ["a", "b"], "left_anti")
-    more = written(_confirmed(rest, sets, rule), "more-links")
+    more = written(_confirmed(rest.join(first, ["a", "b"], "left_anti"), sets, rule), "more-links")
     if not more.isEmpty():
         stars = joined.select(F.col("node").alias("a"), F.col("root").alias("b"))
         joined = components(stars.unionByName(more))
+    roots = classes.select("node").join(joined, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    return signed.drop("signature"), roots
 
-    own = classes.select("node", "doc_id").join(joined, "node", "left").withColumn(
-        "root", F.coalesce("root", "node"))
+
+def near_duplicates(df: DataFrame, rule: Rule, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per row of ``df``: doc_id, n_shingles, component_id (the smallest
+    doc_id that links reach, itself included) and kept (doc_id is component_id).
+
+    Words are runs of bytes other than ASCII white space, with A-Z lower-cased.
+    A null or empty text has no shingles and is its own component.  Texts with
+    equal sets (copies, repeated rows) always share a component.  Rows of one
+    doc_id with different texts are separate texts; a null doc_id joins its
+    text's component, is never a component_id and never kept where the
+    component has an id (a text that only rows without id have is linked to
+    equal sets only).  Other columns are not looked at.
+    """
+    docs = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"),
+                     F.lit(0).cast("long").alias("text_key"))
+    rows, roots = _placed(docs, rule)
+    own = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(roots, "node")
     low = own.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     labels = own.join(low, "root").select("node", "component_id")
-    out = signed.select("doc_id", "n_shingles", "node").join(labels, "node", "left")
+    out = rows.join(labels, "node", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"),
                       F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+
+
+def one_of_each(df: DataFrame, rule: Rule, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``df``, all columns, with one row of each component: the one
+    of smallest doc_id (null last), then smallest hash of the text.
+
+    Texts without words are linked with nothing and all stay; of rows with one
+    doc_id and one text, one stays.
+    """
+    id_key, text_key = "_id_key", "_text_key"
+    keyed = df.withColumns({id_key: F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(-1)),
+                            text_key: F.xxhash64(f"`{doc_id}`", f"`{text}`")})
+    docs = keyed.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"),
+                        F.col(text_key).alias("text_key"))
+    rows, roots = _placed(docs, rule)
+    # Nulls last, then by id: the first of each component.
+    mine = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
+    per_set = rows.where("node IS NOT NULL").groupBy("node").agg(F.min(mine).alias("low")).join(roots, "node")
+    chosen = per_set.groupBy("root").agg(F.min("low").alias("chosen"))
+    chosen = per_set.join(chosen, "root").select("node", "chosen")
+    counted = (rows.where("node IS NOT NULL").groupBy("node", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("n"))
+               .join(chosen, "node"))
+    first = F.col("doc_id").eqNullSafe(F.col("chosen.doc_id")) & (F.col("text_key") == F.col("chosen.text_key"))
+    marked = written(counted.withColumn("first", first).where("NOT first OR n > 1").select(
+        F.coalesce("doc_id", F.lit(-1)).alias(id_key), F.col("text_key").alias(text_key), "first"), "marked")
+    gone, again = marked.where("NOT first").drop("first"), marked.where("first").drop("first")
+    keys = [id_key, text_key]
+    small = lambda d: F.broadcast(d) if d.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else d
+    kept = keyed.join(small(gone), keys, "left_anti")
+    if not again.isEmpty():  # rows that repeat: only these are brought together
+        again = small(again)
+        kept = kept.join(again, keys, "left_anti").unionByName(
+            kept.join(again, keys, "left_semi").dropDuplicates(keys))
+    return kept.drop(*keys)

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from taxomatch.llm.common import with_ids
 from taxomatch.llm.quality_rules import STOP_WORDS
 
 FEATURES = (
@@ -165,14 +166,14 @@ def fit(rows: DataFrame, shrink_pooled: float = 0.2, shrink_identity: float = 0.
     return Model(shift, scale, means, factors, constants, odds, temperature)
 
 
-def with_score(df: DataFrame, model: Model, out: str = "score") -> DataFrame:
-    """Add ``out`` from the ``statistics`` column."""
+def with_score(df: DataFrame, model: Model, out: str = "score", stats: str = "statistics") -> DataFrame:
+    """Add ``out`` from the ``stats`` column."""
     @F.pandas_udf("double")
     def of(s: pd.Series) -> pd.Series:
         x = np.array(s.tolist(), float).reshape(len(s), len(FEATURES))
         return pd.Series(model.scores(x))
 
-    return df.withColumn(out, of("statistics"))
+    return df.withColumn(out, of(stats))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -192,3 +193,15 @@ def training_rows(stats: DataFrame, labels: DataFrame, label: str = "quality") -
 def predict(df: DataFrame, threshold: float = 0.3) -> DataFrame:
     """Add ``predicted`` (1 if the score is at least ``threshold``)."""
     return df.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0).cast("int"))
+
+
+def keep_good(df: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``df`` (doc_id, text and any other columns) that the classifier,
+    fitted on the labelled rows among them, predicts to be good.  Texts without
+    a word are scored like any other; every row is judged by itself."""
+    ids = labels.select("doc_id").where("doc_id IS NOT NULL").distinct()
+    train = with_statistics(with_ids(df.select("doc_id", "text"), ids)).drop("text")
+    model = fit(training_rows(train, labels))
+    stats, score = "_quality_statistics", "_quality_score"
+    scored = with_score(with_statistics(df, out=stats), model, score, stats)
+    return scored.where(F.col(score) >= threshold).drop(stats, score)
