@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taxomatch.llm import byte_bpe, minhash, pii, quality_model, quality_rules, substring_dedup, tiling, token_count, url_rules
+from taxomatch.llm import byte_bpe, minhash, pii, quality_model, quality_rules, substring_dedup, suffix_dedup, tiling, token_count, url_rules
 from taxomatch.llm.common import table, written
 
 
@@ -30,6 +30,10 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), minhash.Rule(words=3, num=85, den=100))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_bytes(table(spark, sf_dir, "documents"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.digest(pii.find_pii(docs)).select(
@@ -68,6 +72,7 @@ QUERIES = {
     "op1_quality_model": op1_quality_model,
     "op2_quality_rules": op2_quality_rules,
     "op3_minhash": op3_minhash,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_pii": op5_pii,
     "op6_token_counts": op6_token_counts,
     "op7_string_tiling": op7_string_tiling,
