@@ -7,8 +7,9 @@ it has read; no pattern is searched over the whole text.
 
 Base kinds: email, ip, card, phone.  The method adds, where they touch no base
 span: ``url`` (an address with a user name in it), ``account`` (an identifier
-after a cue such as IBAN, SSN or account) and ``secret`` (a value after a cue
-such as password or token, or an access key id).
+after a cue such as IBAN, SSN or account), ``secret`` (a value after a cue
+such as password or token, or an access key id) and ``number`` (a card or phone
+number that runs into other digits, so that the base kinds drop the whole run).
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import types as T
 from taxomatch.llm.common import worker_store
 
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "url", "account", "secret")
+KINDS = (*BASE, "url", "account", "secret", "number")
 ORDER = {k: i for i, k in enumerate(KINDS)}
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -41,6 +42,7 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 DIGIT_GROUPS = re.compile(r"[0-9]+(?:[ -]?[0-9]+)*")
 DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 CALL = re.compile(r"[0-9][ ().0-9-]+")
+GROUP = re.compile(r"[0-9]+")
 USER_INFO = re.compile(r"[^\s/?#@\"'<>]+@[^\s/?#@\"'<>]+[^\s\"'<>]*")
 ASSIGNED = re.compile(r"[ \t]{0,3}[=:][ \t]{0,3}[\"']?")
 SECRET = re.compile(r"[A-Za-z0-9_/+.=-]{8,}")
@@ -90,11 +92,11 @@ class Finder:
                 if at >= groups_end:
                     m = DIGIT_GROUPS.match(text, at)
                     groups_end = m.end()
-                    self._card(text, m, base)
+                    self._card(m, base, more)
                 if at >= dotted_end:
                     m = DOTTED.match(text, at)
                     dotted_end = m.end()
-                    self._ips(text, m, base)
+                    self._ips(m, base)
             elif what == "at":
                 start = at
                 while start > mail_end and text[start - 1] in LOCAL:
@@ -105,7 +107,7 @@ class Finder:
                     base.append(("email", start, mail_end))
             elif what == "plus":
                 if at >= call_end:
-                    call_end = self._phone(text, at, base)
+                    call_end = self._phone(text, at, base, more)
             elif what == "scheme":
                 start = at
                 while start > 0 and text[start - 1] in SCHEME and at - start < 32:
@@ -130,15 +132,19 @@ class Finder:
         return at > 0 and text[at - 1] in WORD
 
     @staticmethod
-    def _card(text: str, m: re.Match, out: list) -> None:
-        if not 12 <= m.end() - m.start() <= 40:
+    def _card(m: re.Match, out: list, more: list) -> None:
+        if m.end() - m.start() < 12:
             return
         digits = m[0].replace(" ", "").replace("-", "")
         if 12 <= len(digits) <= 19 and luhn(digits):
             out.append(("card", m.start(), m.end()))
+        elif len(digits) > 19:
+            for g in GROUP.finditer(m[0]):
+                if 12 <= len(g[0]) <= 19 and luhn(g[0]):
+                    more.append(("number", m.start() + g.start(), m.start() + g.end()))
 
     @staticmethod
-    def _ips(text: str, m: re.Match, out: list) -> None:
+    def _ips(m: re.Match, out: list) -> None:
         """Four numbers at a time from the left; a group that fails is dropped."""
         parts, at = m[0].split("."), m.start()
         for i in range(0, len(parts) - 3, 4):
@@ -149,7 +155,7 @@ class Finder:
             at = end + 1
 
     @staticmethod
-    def _phone(text: str, at: int, out: list) -> int:
+    def _phone(text: str, at: int, out: list, more: list) -> int:
         """Up to the last digit of the run; returns where the next may start."""
         m = CALL.match(text, at + 1)
         if not m:
@@ -158,8 +164,17 @@ class Finder:
         if len(number) < 3:
             return at
         end = at + 1 + len(number)
-        if 9 <= sum(map(number.count, "0123456789")) <= 15:
+        digits = sum(map(number.count, "0123456789"))
+        if 9 <= digits <= 15:
             out.append(("phone", at, end))
+        elif digits > 15:  # whole groups of digits, as long as they may be one number
+            n = cut = 0
+            for g in GROUP.finditer(number):
+                if n + len(g[0]) > 15:
+                    break
+                n, cut = n + len(g[0]), g.end()
+            if n >= 9:
+                more.append(("number", at, at + 1 + cut))
         return end
 
     @staticmethod
