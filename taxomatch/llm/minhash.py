@@ -5,15 +5,15 @@
 * Each tree reads the signature from its own place, round the end: one sorted
   order per tree, in which near texts share a long prefix.  A region is the
   texts of a tree with a common prefix.  It starts at ``FIRST`` minima and is
-  deepened, region by region, until it holds at most ``REGION`` classes.
+  deepened, region by region, until it holds at most ``REGION`` sets.
 * In a region all members are compared by signature.  The best partners are
-  confirmed on full sets first; once these links are joined to components, only
-  the remaining candidates between different components are confirmed.
+  confirmed on full sets first; once these links are joined to components, the
+  candidates between different components are confirmed where they stand, with
+  the full sets of just these members brought to the region.
 * Links count only if the full sets reach the similarity.
 
-No step gathers a region larger than ``REGION``: one that stays larger even
-with the whole signature in common is cut by a hash of its members, and each
-part keeps the region's first member, so the parts stay connected through it.
+No step gathers more than about ``REGION`` members: a crowded region is
+deepened, and dealt by hash into parts in which its members meet as well.
 """
 
 from __future__ import annotations
@@ -166,101 +166,168 @@ def _keyed(df: DataFrame, depth: int | None) -> DataFrame:
 
 
 def regions(classes: DataFrame) -> DataFrame:
-    """(key, node) of all regions with at least two members and at most ``REGION``."""
+    """(key, node) of all regions with at least two members.
+
+    A region over ``REGION`` members is deepened, and is also dealt by a hash of
+    its members into parts of about half that size, each with the region's first
+    member: a text that a deeper prefix parts from a crowd of near copies still
+    meets many of them."""
     def counted(rows: DataFrame) -> DataFrame:
         own = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first")).where("n > 1")
         return written(rows.join(own, "key"), "regions")
 
-    found = counted(_keyed(classes, None))
-    done = [found.where(F.col("n") <= REGION).select("key", "node")]
-    crowded = found.where(F.col("n") > REGION)
-    for depth in DEPTHS:
+    out, crowded = None, None
+    for depth in (FIRST, *DEPTHS):
+        rows = classes if crowded is None else crowded.select("node", "tree").join(classes, "node")
+        found = counted(_keyed(rows, None if crowded is None else depth))
+        crowded = found.where(F.col("n") > REGION)
+        small = found.where(F.col("n") <= REGION).select("key", "node")
+        out = small if out is None else out.unionByName(small)
         if crowded.isEmpty():
             break
-        found = counted(_keyed(crowded.select("node", "tree").join(classes, "node"), depth))
-        done.append(found.where(F.col("n") <= REGION).select("key", "node"))
-        crowded = found.where(F.col("n") > REGION)
-    else:
-        part = F.xxhash64("key", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / (REGION // 2))))
-        cut = crowded.select(part.alias("key"), "node", "first")
-        done += [cut.select("key", "node"), cut.select("key", F.col("first").alias("node")).distinct()]
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out
-
-
-def _candidates(members: DataFrame, rule: Rule, across: bool) -> DataFrame:
-    """(key, node, n_shingles, signature[, label]) -> pairs (a, b), a < b.
-
-    Without ``across``: for every member its best partner and its best earlier
-    partner of the region.  With it: all partners of another label."""
-    least, num, den = rule.least_equal, rule.num, rule.den
-
-    def pairs_of(nodes: list, sizes: np.ndarray, signs: np.ndarray, labels: list | None):
-        n = len(nodes)
-        step = max(1, (1 << 22) // (n * SIZE))
-        label = None if labels is None else np.unique(np.array([x.hex() for x in labels]), return_inverse=True)[1]
-        for at in range(0, n, step):
-            mine = slice(at, min(n, at + step))
-            equal = (signs[mine, None, :] == signs[None, :, :]).sum(axis=2, dtype=np.int16)
-            a, b = sizes[mine, None], sizes[None, :]
-            fits = (equal >= least) & (den * np.minimum(a, b) >= num * np.maximum(a, b))
-            me = np.arange(mine.start, mine.stop)
-            if label is not None:
-                fits &= label[mine, None] != label[None, :]
-                i, j = np.nonzero(fits & (np.arange(n)[None, :] < me[:, None]))
-                yield from zip((me[i]).tolist(), j.tolist())
-                continue
-            equal = np.where(fits, equal, -1)
-            equal[np.arange(len(me)), me] = -1
-            best = equal.argmax(axis=1)
-            earlier = np.where(np.arange(n)[None, :] < me[:, None], equal, -1)
-            before = earlier.argmax(axis=1)
-            for k, i in enumerate(me.tolist()):
-                if equal[k, best[k]] >= 0:
-                    yield i, int(best[k])
-                if best[k] != before[k] and earlier[k, before[k]] >= 0:
-                    yield i, int(before[k])
-
-    def emit(nodes: list, sizes: list, signs: list, labels: list | None) -> tuple[list, list]:
-        a, b = [], []
-        if len(nodes) > 1:
-            # the order of the signatures: neighbours share the longest prefixes
-            order = sorted(range(len(nodes)), key=lambda i: (signs[i], nodes[i]))
-            nodes = [nodes[i] for i in order]
-            matrix = np.frombuffer(b"".join(signs[i] for i in order), np.uint8).reshape(-1, SIZE)
-            own = None if labels is None else [labels[i] for i in order]
-            for i, j in pairs_of(nodes, np.array([sizes[i] for i in order], np.int64), matrix, own):
-                x, y = sorted((nodes[i], nodes[j]))
-                a.append(x)
-                b.append(y)
-        return a, b
+        part = F.pmod(F.xxhash64("key", "node"), F.ceil(F.col("n") / (REGION // 2)))
+        cut = crowded.select(F.xxhash64("key", part).alias("key"), "node", "first")
+        out = out.unionByName(cut.select("key", "node")).unionByName(
+            cut.select("key", F.col("first").alias("node")).distinct())
+    return out.distinct()
+
+
+def _by_region(df: DataFrame, columns: list[str], of, schema: str) -> DataFrame:
+    """Rows of ``of(list per column)`` for each group of equal ``key``; groups are
+    brought together by a shuffle and streamed, one in memory at a time."""
+    names = [f.strip().split(" ")[0] for f in schema.split(",")]
+    kinds = {"binary": pa.binary(), "long": pa.int64()}
+    types = [kinds[f.strip().split(" ")[1]] for f in schema.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, ([], [], [], [])
-        for batch in batches:
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
-            cols = [c.to_pylist() for c in batch.columns[1:]]
-            a, b = [], []
+        key, held = None, [[] for _ in columns]
+
+        def batch(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+
+        for b in batches:
+            keys = b.column(0).to_numpy(zero_copy_only=False)
+            cols = [c.to_pylist() for c in b.columns[1:]]
+            rows: list[tuple] = []
             starts = [0, *(np.nonzero(keys[1:] != keys[:-1])[0] + 1).tolist(), len(keys)] if len(keys) else []
             for s, e in zip(starts, starts[1:]):
                 if keys[s] != key:
-                    x, y = emit(*held[:3], held[3] if across else None)
-                    a += x
-                    b += y
-                    key, held = keys[s], ([], [], [], [])
+                    if len(held[0]) > 1:
+                        rows += of(key, *held)
+                    key, held = keys[s], [[] for _ in columns]
                 for h, c in zip(held, cols):
                     h.extend(c[s:e])
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
-        a, b = emit(*held[:3], held[3] if across else None)
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
-
-    cols = ["key", "node", "n_shingles", "bytes"] + ["label"] * across
-    spread = members.select(*cols).repartition("key").sortWithinPartitions("key")
-    return spread.mapInArrow(run, "a binary, b binary").distinct()
+            if rows:
+                yield batch(rows)
+        if len(held[0]) > 1 and (rows := of(key, *held)):
+            yield batch(rows)
+
+    return df.select("key", *columns).repartition("key").sortWithinPartitions("key").mapInArrow(run, schema)
+
+
+def _alike(rule: Rule, sizes: list, signs: list) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, equal minima, is a candidate) for blocks of rows against all members."""
+    matrix = np.frombuffer(b"".join(signs), np.uint8).reshape(-1, SIZE)
+    size = np.array(sizes, np.int64)
+    step = max(1, (1 << 22) // (len(size) * SIZE))
+    for at in range(0, len(size), step):
+        equal = (matrix[at : at + step, None, :] == matrix[None, :, :]).sum(axis=2, dtype=np.int16)
+        x, y = size[at : at + step, None], size[None, :]
+        fits = (equal >= rule.least_equal) & (rule.den * np.minimum(x, y) >= rule.num * np.maximum(x, y))
+        fits[np.arange(len(fits)), at + np.arange(len(fits))] = False
+        yield at, equal, fits
+
+
+def _candidates(members: DataFrame, rule: Rule) -> DataFrame:
+    """(key, node, n_shingles, bytes) -> pairs (a, b), a < b: for every member its best
+    partner of the region and its best partner of smaller node.  Of equally good
+    ones the smallest node is taken, so that the trees agree."""
+    def pairs(key, nodes: list, sizes: list, signs: list) -> list[tuple]:
+        order = sorted(range(len(nodes)), key=nodes.__getitem__)
+        nodes, sizes, signs = ([c[i] for i in order] for c in (nodes, sizes, signs))
+        out = []
+        for at, equal, fits in _alike(rule, sizes, signs):
+            equal = np.where(fits, equal, -1)
+            smaller = np.where(np.arange(len(nodes))[None, :] < at + np.arange(len(equal))[:, None], equal, -1)
+            for e in (equal, smaller):
+                best = e.argmax(axis=1)
+                for i in np.nonzero(e[np.arange(len(e)), best] >= 0)[0].tolist():
+                    j = int(best[i])
+                    out.append((nodes[min(at + i, j)], nodes[max(at + i, j)]))
+        return out
+
+    return _by_region(members, ["node", "n_shingles", "bytes"], pairs, "a binary, b binary").distinct()
+
+
+def _crossing(members: DataFrame, rule: Rule) -> DataFrame:
+    """(key, node, n_shingles, bytes, label) -> (key, node, label) of the members that
+    have a candidate with another label in their region."""
+    def crossing(key, nodes: list, sizes: list, signs: list, labels: list) -> list[tuple]:
+        code: dict = {}
+        own = np.array([code.setdefault(x, len(code)) for x in labels])
+        out = []
+        for at, _, fits in _alike(rule, sizes, signs):
+            fits &= own[at : at + len(fits), None] != own[None, :]
+            out += [(int(key), nodes[at + i], labels[at + i]) for i in np.nonzero(fits.any(axis=1))[0].tolist()]
+        return out
+
+    return _by_region(members, ["node", "n_shingles", "bytes", "label"], crossing,
+                      "key long, node binary, label binary")
+
+
+def intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sorted sets."""
+    n = len(sets)
+    if n <= 24:
+        out = np.zeros((n, n), np.int64)
+        for i in range(n):
+            for j in range(i):
+                both = np.concatenate([sets[i], sets[j]])
+                both.sort(kind="stable")  # two sorted runs are merged
+                out[i, j] = out[j, i] = (both[1:] == both[:-1]).sum()
+        return out
+    values = np.concatenate(sets)
+    owner = np.repeat(np.arange(n), [len(x) for x in sets])
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    column = np.cumsum(np.concatenate([[0], values[1:] != values[:-1]]))
+    shared = np.bincount(column)[column] > 1
+    column, owner = column[shared], owner[shared]
+    column = np.cumsum(np.concatenate([[0], column[1:] != column[:-1]])) if len(column) else column
+    out = np.zeros((n, n), np.float64)
+    width = 4096
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        lo, hi = np.searchsorted(column, [at, at + width])
+        block = np.zeros((n, width), np.float32)
+        block[owner[lo:hi], column[lo:hi] - at] = 1
+        out += block @ block.T  # sums under 4097: exact
+    return out.astype(np.int64)
+
+
+def _linked_across(crossing: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """Links between members of different labels, confirmed on full sets inside the
+    region; of the links between the same components one is enough."""
+    def links(key, nodes: list, labels: list, shingles: list) -> list[tuple]:
+        own = [np.frombuffer(x, np.uint64) for x in shingles]
+        size = np.array([len(x) for x in own])
+        inter = intersections(own)
+        hit = rule.den * inter >= rule.num * (size[:, None] + size[None, :] - inter)
+        parent = {x: x for x in labels}
+
+        def find(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        out = []
+        for i, j in zip(*(x.tolist() for x in np.nonzero(np.tril(hit, -1)))):
+            p, q = find(labels[i]), find(labels[j])
+            if p != q:
+                parent[max(p, q)] = min(p, q)
+                out.append((nodes[i], nodes[j]))
+        return out
+
+    return _by_region(crossing.join(sets, "node"), ["node", "label", "shingles"], links, "a binary, b binary").distinct()
 
 
 def _low_bytes(signature):
@@ -303,7 +370,7 @@ def _placed(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     small = classes.select("node", "n_shingles", _low_bytes("signature").alias("bytes"))
     members = written(regions(classes).join(small, "node"), "members")
 
-    first = written(_candidates(members, rule, across=False), "pairs")
+    first = written(_candidates(members, rule), "pairs")
     nodes = first.select(F.col("a").alias("node")).unionByName(first.select(F.col("b").alias("node"))).distinct()
     wanted = classes.join(nodes, "node").where("doc_id IS NOT NULL").select("doc_id", F.col("node").alias("wanted"))
     wanted = written(wanted, "wanted")
@@ -314,9 +381,12 @@ def _placed(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
 
     # What is left: candidates between different components of one region.
     label = members.join(joined, "node", "left").withColumn("label", F.coalesce("root", "node"))
-    mixed = label.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi")
-    rest = _candidates(label.join(mixed.select("key"), "key", "left_semi"), rule, across=True)
-    more = written(_confirmed(rest.join(first, ["a", "b"], "left_anti"), sets, rule), "more-links")
+    mixed = label.groupBy("key").agg(
+        F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n"),
+        F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("content")).where("lo != hi")
+    mixed = mixed.groupBy("n", "content").agg(F.min("key").alias("key")).select("key")  # equal regions once
+    crossing = written(_crossing(label.join(mixed, "key", "left_semi"), rule), "crossing")
+    more = written(_linked_across(crossing, sets, rule), "more-links")
     if not more.isEmpty():
         stars = joined.select(F.col("node").alias("a"), F.col("root").alias("b"))
         joined = components(stars.unionByName(more))

@@ -225,20 +225,18 @@ def dedup_windows(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
             F.when(whole, empty).otherwise(F.coalesce("left_sha256", "kept_sha256")).alias("kept_sha256")]
     if not texts:
         return out.select(*cols)
-    # A text without a row in ``left`` is kept whole (null: as it is).
-    kept = out.select("doc_id", "sequence", "n_words", "n_removed", "left_sha256", "kept_sha256", "left_text", "first")
-    texts_of = _base_texts(docs)
-    return kept.join(texts_of, ["doc_id", "sequence"], "left").select(
+    # A text without a row in ``left`` keeps all its words.
+    return out.join(_joined(docs), "sequence").select(
         *cols, F.when(whole, "").otherwise(F.coalesce("left_text", "words")).alias("kept_text"))
 
 
-def _base_texts(df: DataFrame) -> DataFrame:
-    """(doc_id, text) -> one row per (doc_id, sequence) with the words joined by one space."""
+def _joined(df: DataFrame) -> DataFrame:
+    """(doc_id, text) -> (sequence, words): each word sequence joined by one space."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             words = [b" ".join((t or "").encode().split()) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([xxhash.xxh3_128_digest(w) for w in words], pa.binary()),
-                 pa.array([w.decode() for w in words], pa.string())], names=["doc_id", "sequence", "words"])
+                [pa.array([xxhash.xxh3_128_digest(w) for w in words], pa.binary()),
+                 pa.array([w.decode() for w in words], pa.string())], names=["sequence", "words"])
 
-    return df.mapInArrow(run, "doc_id long, sequence binary, words string").dropDuplicates(["doc_id", "sequence"])
+    return df.mapInArrow(run, "sequence binary, words string").dropDuplicates(["sequence"])
