@@ -16,7 +16,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from taxomatch.llm.common import Memo, worker_store
+from taxomatch.llm.common import Memo, with_text_columns, worker_store
 from taxomatch.llm.pieces import PieceReader
 
-PAIRS = 400_000
+PAIRS = 150_000
 #: Pieces up to this many bytes fill their table on demand (by recursion).
 SHORT = 64
 
@@ -192,19 +191,16 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: bool
     is that of the bytes read back from the ids, not of the text.  ``path``
     names a rank file present on every node.
     """
-    new = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["token_ids"] * ids
-    rest = [c for c in df.columns if c.lower() not in new]
-    source = df.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text}`").alias("_bpe_text"))
-    schema = df.select(*[F.col(f"`{c}`") for c in rest]).schema
-    schema = schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
+    new = T.StructType().add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
     if ids:
-        schema = schema.add("token_ids", T.ArrayType(T.IntegerType()))
+        new = new.add("token_ids", T.ArrayType(T.IntegerType()))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def maker():
         enc = encoder(path, pattern)
         decode = enc.vocabulary.decode
-        for b in batches:
-            packed = [enc.encode(t or "") for t in b.column(len(rest)).to_pylist()]
+
+        def of(texts: pa.Array) -> list[pa.Array]:
+            packed = [enc.encode(t or "") for t in texts.to_pylist()]
             arrays = [np.frombuffer(p, "<u4") for p in packed]
             cols = [
                 pa.array([len(a) for a in arrays], pa.int64()),
@@ -215,9 +211,11 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: bool
                 flat = np.concatenate([*arrays, np.empty(0, "<u4")]).astype(np.int32)
                 offsets = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
                 cols.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)))
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(rest)], *cols], names=[*rest, *new])
+            return cols
+
+        return of
 
-    return source.mapInArrow(run, schema)
+    return with_text_columns(df, text, new, maker)
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:

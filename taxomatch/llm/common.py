@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import sys
 import types
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from taxomatch.session import materialize
 
@@ -31,19 +34,33 @@ def worker_store() -> dict:
 
 
 class Memo(dict):
-    """Bounded memo of a pure function of a string, byte string or tuple.
+    """Bounded memo of a pure function of a string, byte string or number.
 
     Holds at most two generations of ``limit`` entries: when the young one is
-    full it becomes the old one, and entries still in use are carried over."""
+    full it becomes the old one, and entries still in use are carried over.
+    With ``twice`` a key is kept from its second miss on, so that the many keys
+    that never come back take one byte of a table instead of an entry."""
 
-    def __init__(self, fn, limit: int):
+    SEEN = 1 << 21
+
+    def __init__(self, fn, limit: int, twice: bool = False):
         super().__init__()
         self.fn, self.limit, self.old = fn, limit, {}
+        self.seen = bytearray(self.SEEN) if twice else None
+        self.fresh = 0
 
     def __missing__(self, key):
         v = self.old.get(key)
         if v is None:
             v = self.fn(key)
+            if self.seen is not None:
+                slot = hash(key) % self.SEEN
+                if not self.seen[slot]:
+                    self.seen[slot] = 1
+                    self.fresh += 1
+                    if self.fresh > self.SEEN // 2:
+                        self.seen, self.fresh = bytearray(self.SEEN), 0
+                    return v
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
@@ -51,6 +68,34 @@ class Memo(dict):
         return v
 
 
+def parts(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most ``rows`` rows, so that the Python objects of
+    a whole batch of texts are never held at once."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
+def with_text_columns(df: DataFrame, text: str, new: T.StructType, maker) -> DataFrame:
+    """``df`` with the columns ``new`` computed from the text column in Python.
+
+    ``maker()`` is called once per task and gives a function from an Arrow array
+    of texts to the list of the new columns.  Existing columns of the new names
+    (in any case) are replaced; all other columns pass through untouched."""
+    names = {f.name.lower() for f in new}
+    rest = [c for c in df.columns if c.lower() not in names]
+    kept = df.select(*[F.col(f"`{c}`") for c in rest])
+    source = df.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text}`").alias("_text_in"))
+    n = len(rest)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = maker()
+        for b in parts(batches):
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], *of(b.column(n))], names=[*rest, *new.names])
+
+    return source.mapInArrow(run, T.StructType([*kept.schema.fields, *new.fields]))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: written once under ``spark.checkpoint.dir`` and read back."""
     return materialize(df, f"llm-{name}")

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taxomatch.llm.common import BROADCAST_IDS, distinct, with_ids, written
+from taxomatch.llm.common import BROADCAST_IDS, distinct, parts, with_ids, written
 from taxomatch.llm.components import components
 
 TREES = 16
@@ -109,7 +109,7 @@ def _signed(df: DataFrame, words: int) -> DataFrame:
     """(doc_id, text_key, text) -> (doc_id, text_key, node, n_shingles, signature);
     ``node`` is the 128-bit digest of the set and stands for all texts with that set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             nodes, sizes, signs = [], [], []
             for t in b.column(2).to_pylist():
                 s = shingles(t, words)
@@ -127,7 +127,7 @@ def _signed(df: DataFrame, words: int) -> DataFrame:
 def _sets(df: DataFrame, words: int) -> DataFrame:
     """(doc_id, text, wanted) -> (node, shingles) of the texts whose node is the wanted one."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             nodes, sets = [], []
             for t, wanted in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 s = shingles(t, words).tobytes()

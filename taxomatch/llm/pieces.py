@@ -14,8 +14,8 @@ import regex
 from taxomatch.llm.common import Memo
 
 #: Memo entries of one generation (two are held, some 150 bytes an entry).
-CHUNKS = 500_000
-PIECES = 500_000
+CHUNKS = 150_000
+PIECES = 250_000
 
 
 class _Unclean(Exception):
@@ -30,7 +30,7 @@ class PieceReader:
         self.findall = regex.compile(pattern).findall
         self.join = join
         self.piece = Memo(of_piece, PIECES)
-        self.chunk = Memo(self._chunk, CHUNKS)
+        self.chunk = Memo(self._chunk, CHUNKS, twice=True)
 
     def _chunk(self, chunk: str):
         # str.isspace is wider than the pattern's white space, which is safe here

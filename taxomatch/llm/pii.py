@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from taxomatch.llm.common import worker_store
+from taxomatch.llm.common import parts, worker_store
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "url", "account", "secret", "number")
@@ -252,7 +252,7 @@ def find_pii(df: DataFrame, text: str = "text", spans: str = "pii", redact: bool
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = finder().spans
-        for b in batches:
+        for b in parts(batches):
             texts = b.column(len(rest)).to_pylist()
             found = [find(t) if t else [] for t in texts]
             cols = list(b.columns[: len(rest)])

@@ -22,8 +22,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from taxomatch.llm.common import with_ids
+from taxomatch.llm.common import with_ids, with_text_columns
 from taxomatch.llm.quality_rules import STOP_WORDS
 
 FEATURES = (
@@ -90,11 +91,10 @@ class Model:
 
 def with_statistics(df: DataFrame, text: str = "text", out: str = "statistics") -> DataFrame:
     """Add ``out``: the statistics of the text (``array<double>``)."""
-    @F.pandas_udf("array<double>")
-    def of(s: pd.Series) -> pd.Series:
-        return pd.Series([statistics(t) for t in s], dtype=object)
-
-    return df.withColumn(out, of(F.col(f"`{text}`")))
+    new = T.StructType().add(out, T.ArrayType(T.DoubleType()))
+    kind = pa.list_(pa.float64())
+    return with_text_columns(
+        df, text, new, lambda: lambda texts: [pa.array([statistics(t) for t in texts.to_pylist()], kind)])
 
 
 def fit(rows: DataFrame, shrink_pooled: float = 0.2, shrink_identity: float = 0.02,

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taxomatch.llm.common import distinct, member, with_ids, written
+from taxomatch.llm.common import distinct, member, parts, with_ids, written
 
 WINDOW = 50
 #: A perfect difference set: the differences of its members give every remainder.
@@ -83,7 +83,7 @@ def candidates(h: np.ndarray, shared: np.ndarray) -> np.ndarray:
 def _base(df: DataFrame) -> DataFrame:
     """(doc_id, text) -> doc_id, n_words, sequence (digest of the words), kept_sha256."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             n, seq, sha = [], [], []
             for t in b.column(1).to_pylist():
                 words = (t or "").encode().split()
@@ -101,7 +101,7 @@ def _base(df: DataFrame) -> DataFrame:
 def _anchored(df: DataFrame) -> DataFrame:
     """(doc_id, text) -> the distinct (anchor, doc_id) of each row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             out, ids, held = [], [], 0
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 words = t.encode().split()
@@ -124,7 +124,7 @@ def _anchored(df: DataFrame) -> DataFrame:
 def _windows(df: DataFrame) -> DataFrame:
     """(doc_id, text, shared) -> (w1, w2, doc_id) of the candidate windows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             for i, t, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 h = word_hashes(t.encode().split())
                 if len(h) < WINDOW:
@@ -142,7 +142,7 @@ def _windows(df: DataFrame) -> DataFrame:
 def _rewritten(df: DataFrame) -> DataFrame:
     """(doc_id, text, gone: hashes of the windows to remove) -> what is left of each row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             rows: list[list] = [[], [], [], [], []]
             for i, t, g in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 words = t.encode().split()
@@ -233,7 +233,7 @@ def dedup_windows(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def _joined(df: DataFrame) -> DataFrame:
     """(doc_id, text) -> (sequence, words): each word sequence joined by one space."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             words = [b" ".join((t or "").encode().split()) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([xxhash.xxh3_128_digest(w) for w in words], pa.binary()),

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taxomatch.llm.common import with_ids, written
+from taxomatch.llm.common import parts, with_ids, written
 from taxomatch.llm.suffix_anchors import HASHES, WINDOW, chunks
 from taxomatch.llm.suffix_merge import expand, front_code, merge, repeated_starts
 
@@ -48,7 +48,7 @@ def _chunked(df: DataFrame) -> DataFrame:
     names = ["gram", "chunk", "doc_id", "text_key", "anchor", "first", "last"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             held: list[list] = [[] for _ in names]
             size = 0
             for doc, key, text in zip(*(c.to_pylist() for c in b.columns)):
@@ -92,7 +92,7 @@ def _runs(df: DataFrame, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
         size = 0
-        for b in batches:
+        for b in parts(batches):
             for doc, key, text, reps in zip(*(c.to_pylist() for c in b.columns)):
                 data = text.encode()
                 for r in reps:
@@ -149,7 +149,7 @@ def _hashed(df: DataFrame) -> DataFrame:
     names = ["w1", "w2", "doc_id", "text_key", "start", "single"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             for doc, key, text, reps in zip(*(c.to_pylist() for c in b.columns)):
                 data = text.encode()
                 for r in reps:
@@ -169,7 +169,7 @@ def _hashed(df: DataFrame) -> DataFrame:
 def _cut(df: DataFrame) -> DataFrame:
     """(doc_id, text_key, text, ranges) -> n_removed, n_spans, left_sha256, left (bytes)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             removed, spans, sha, left = [], [], [], []
             for text, ranges in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
                 data = text.encode()

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from taxomatch.llm.common import member
+from taxomatch.llm.common import member, parts
 
 SEED = 5
 THRESHOLD = 0.8
@@ -206,7 +206,7 @@ def leaks(df: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
-            for b in batches:
+            for b in parts(batches):
                 rows = [(i, *x) for i, t in enumerate(b.column(1).to_pylist()) for x in index.leaks(t, threshold)]
                 if rows:
                     place, item, n, tiles = zip(*rows)
@@ -230,7 +230,7 @@ def without_leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", item_
         shared = spark.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in parts(batches):
                 clean = [not shared.value.leaks(t, threshold) for t in b.column(place).to_pylist()]
                 yield b.filter(pa.array(clean, pa.bool_()))
 

@@ -10,14 +10,13 @@ from __future__ import annotations
 
 import heapq
 import json
-from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from taxomatch.llm.common import worker_store
+from taxomatch.llm.common import with_text_columns, worker_store
 from taxomatch.llm.pieces import PieceReader
 
 
@@ -113,19 +112,16 @@ def token_counts(df: DataFrame, path: str, pattern: str, text: str = "text", lim
     repeated ones included; existing columns of these names are replaced.
     ``path`` names a tokenizer file present on every node.
     """
-    new = ("n_bytes", "n_tokens", "over_limit")
-    rest = [c for c in df.columns if c.lower() not in new]
-    source = df.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text}`").alias("_token_text"))
-    schema = df.select(*[F.col(f"`{c}`") for c in rest]).schema
-    schema = schema.add("n_bytes", "long").add("n_tokens", "long").add("over_limit", "boolean")
+    new = T.StructType().add("n_bytes", "long").add("n_tokens", "long").add("over_limit", "boolean")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def maker():
         count = counter(path, pattern).count
-        for b in batches:
-            texts = pc.fill_null(b.column(len(rest)), "")
+
+        def of(texts: pa.Array) -> list[pa.Array]:
+            texts = pc.fill_null(texts, "")
             n = pa.array([count(t) for t in texts.to_pylist()], pa.int64())
-            size = pc.binary_length(texts).cast(pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns[: len(rest)], size, n, pc.greater(n, limit)], names=[*rest, *new])
+            return [pc.binary_length(texts).cast(pa.int64()), n, pc.greater(n, limit)]
+
+        return of
 
-    return source.mapInArrow(run, schema)
+    return with_text_columns(df, text, new, maker)
