@@ -49,7 +49,7 @@ def main() -> None:
     spark = local_session(cpus, shuffle_partitions=int(cpus) * 2)
     cold = {name: round(run(spark, name, sf_dir), 3) for name in names}
     times = {name: round(run(spark, name, sf_dir), 3) for name in names}
-    n_products = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("vec_id >= 100").count()
+    n_products = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("vec_id % 4 != 0").count()
     total = round(sum(times.values()), 3)
     out = {
         "metric": "total_wall_time",

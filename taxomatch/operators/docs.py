@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from taxomatch.functions import text as TX
-from taxomatch.operators.rows import _range_partitions, with_row_index
+from taxomatch.operators.rows import placed, with_row_index
 
 CATEGORY_SOURCE = "categories.csv"
 PRODUCT_SOURCE = "products.csv"
@@ -73,28 +73,30 @@ def run_counter(df: DataFrame, key: str, pos: str = "idx", name: str = "n") -> D
     """``n`` = 0 for the first row of each run of equal ``key`` in
     ``pos`` order, then 1, 2, ...; a key that comes back later starts at 0.
 
-    ``pos`` must be a dense position (0..N-1, see ``with_row_index``).
-    No window is partitioned by ``key`` (a hot key would land in one task):
-    the previous row is found by an equi-join on ``pos - 1``, and the start of
-    the current run is a running max over positions, computed per range
-    partition plus a carry over the partitions (one row each).
+    ``pos`` is a position (unique, see ``with_row_index``).  No window is
+    partitioned by ``key`` (a hot key would land in one task): rows are placed
+    in ranges of ``pos`` and written once, the previous row is a ``lag`` inside
+    the range plus the last row of the range before, and the start of the
+    current run is a running maximum inside the range plus a carry over the
+    ranges (one row each).
     """
-    prev = df.select((F.col(pos) + 1).alias(pos), F.col(key).alias("_prev_key"),
-                     F.lit(True).alias("_has_prev"))
-    s = df.join(prev, pos, "left")
+    r = placed(df, [F.col(pos)])
+    inside = Window.partitionBy("_pid").orderBy("_local")
+    ranges = Window.orderBy("_pid")
+    row = F.struct(F.col(key).alias("key"))
+    edges = r.groupBy("_pid").agg(F.max_by(row, "_local").alias("_last"))
+    edges = edges.select("_pid", F.lag("_last").over(ranges).alias("_before"))
+    s = r.withColumn("_prev", F.lag(row).over(inside)).join(F.broadcast(edges), "_pid")
+    s = s.withColumn("_prev", F.when(F.col("_local") == 0, F.col("_before")).otherwise(F.col("_prev")))
     s = s.withColumn("_start", F.when(
-        F.col("_has_prev").isNull() | ~F.col("_prev_key").eqNullSafe(F.col(key)), F.col(pos)))
-    r = (s.repartitionByRange(_range_partitions(df), F.col(pos)).sortWithinPartitions(pos)
-         .withColumn("_pid", F.shiftright(F.monotonically_increasing_id(), 33)))
-    r = r.withColumn("_local", F.max("_start").over(
-        Window.partitionBy("_pid").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)))
-    carry = (r.groupBy("_pid").agg(F.max("_start").alias("_pmax"))
+        F.col("_prev").isNull() | ~F.col("_prev.key").eqNullSafe(F.col(key)), F.col(pos)))
+    carry = (s.groupBy("_pid").agg(F.max("_start").alias("_pmax"))
              .select("_pid", F.max("_pmax").over(
-                 Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)).alias("_carry")))
-    out = r.join(F.broadcast(carry), "_pid")
-    run_start = F.coalesce(F.col("_local"), F.col("_carry"), F.lit(0))
-    return out.withColumn(name, (F.col(pos) - run_start).cast("long")).drop(
-        "_prev_key", "_has_prev", "_start", "_pid", "_local", "_carry")
+                 ranges.rowsBetween(Window.unboundedPreceding, -1)).alias("_carry")))
+    running = inside.rowsBetween(Window.unboundedPreceding, 0)
+    out = s.withColumn("_run", F.max("_start").over(running)).join(F.broadcast(carry), "_pid")
+    return out.withColumn(name, (F.col(pos) - F.coalesce("_run", "_carry")).cast("long")).drop(
+        "_pid", "_local", "_prev", "_before", "_start", "_run", "_carry")
 
 
 def chunk_ids(df: DataFrame, source: str, index: str, level: str | None, pos: str = "idx") -> DataFrame:

@@ -9,27 +9,31 @@ Inputs (long format, one row per vector and model):
 ``doc_ord`` is the tie-break order of the items (smaller first).  Every hit
 carries the item's full ``path`` (J7), so no lookup join follows the search.
 
+Rows with a null ``model``, key or vector take no part: such a query has no
+hits, such an item is never one (``vec`` may hold no null elements).  A null
+path or type is an ordinary value of an item.  The rule is the same in every
+physical form.
+
 Physical plan
 -------------
 Both sides are packed into blocks of at most ``block_rows`` vectors per
 model: the item side with a ``groupBy`` (block = hash of the key, so a block
 is deterministic under task retries and its size is bounded by the row
-count, not by a key value), the query side in place or, when the items must
-be replicated, with a ``groupBy`` as well.  Every query block meets every item block of its
-model in exactly one row; one numpy matrix product per row scores the pair
-and only the local top candidates leave the Python worker, never all pairs.
+count, not by a key value; one list of structs, so nulls never shift), the
+query side in place per Arrow batch, without a shuffle or a count.  Every
+query block meets every item block of its model in exactly one row; one numpy
+matrix product per row scores the pair and only the local top candidates leave
+the Python worker, never all pairs.
 
 * item side below ``broadcast_bytes`` (the usual taxonomy): the packed item
-  table (models x blocks rows) is broadcast; the queries are packed where
-  they are (``mapInPandas`` per Arrow batch) and stream through a broadcast
-  hash join - no shuffle and no count of the query side (network ~ executors
-  x item bytes);
+  table (models x blocks rows) is broadcast and the query blocks stream through
+  a broadcast hash join (network ~ executors x item bytes);
 * all models together too large but each model small enough: one broadcast
   search per model, unioned;
-* otherwise the item blocks are replicated per query block and both sides meet
-  by a sort-merge join on ``(model, query block)``, which spreads the work over
-  ``models x query blocks`` tasks (network ~ query bytes x item bytes / block
-  bytes, so it is the last resort).
+* otherwise the items are cut by hash into waves below the bound; the queries
+  stream past one broadcast wave after the other and the waves' top lists are
+  merged.  The queries are read once per wave and neither side is replicated
+  through a shuffle (network ~ executors x item bytes in all).
 
 With one item block per model the local lists are final and the MMR step runs
 in the same pass.  With more, the local top lists are merged by a window
@@ -231,7 +235,8 @@ def _score_block(row, k, methods, fetch_k, lam, metric, by_type, mmr_order, roun
     paths = np.asarray(row.i_path, dtype=object)
     types = np.asarray(row.i_type, dtype=object)
     if by_type:
-        groups = [(t, np.nonzero(types == t)[0]) for t in sorted(set(types.tolist()))]
+        groups = [(t, np.nonzero(types == t)[0]) for t in sorted(
+            set(types.tolist()), key=lambda t: (t is None, t or ""))]
     else:
         groups = [(ANY_TYPE, np.arange(len(ords)))]
     want_mmr = "mmr" in methods
@@ -285,31 +290,42 @@ def _block_kernel(k, methods, fetch_k, lam, metric, by_type, mmr_order, round_di
 
 
 def _mmr_kernel(k, lam, mmr_order, sparse_dim=None):
+    """Candidate lists of one length are selected together, in chunks of ~16 MB."""
     def run(batches):
         for pdf in batches:
             parts = []
-            for row in pdf.itertuples(index=False):
-                cands = row.cands
+            for m, g in pdf.groupby(pdf["cands"].map(len), sort=True):
                 if sparse_dim:
-                    C = _dense_sparse([c["idx"] for c in cands], [c["val"] for c in cands],
-                                      sparse_dim)[None, :, :]
-                    q = _dense_sparse([row.q_idx], [row.q_val], sparse_dim)
+                    width = sparse_dim
+                    Q = _dense_sparse(g["q_idx"].tolist(), g["q_val"].tolist(), sparse_dim)
                 else:
-                    C = np.stack([c["vec"] for c in cands]).astype(np.float64)[None, :, :]
-                    q = np.asarray(row.q_vec, dtype=np.float64)[None, :]
-                sel = mmr_select(q, C, k, lam)[0]
-                step = np.arange(1, len(sel) + 1, dtype=np.int32)
-                if mmr_order == "distance":
-                    pos = np.argsort(sel, kind="stable")
-                    sel, step = sel[pos], (pos + 1).astype(np.int32)
-                parts.append(pd.DataFrame({
-                    "uid": row.uid, "model": row.model, "method": "mmr", "cat_type": row.cat_type,
-                    "rank": np.arange(1, len(sel) + 1, dtype=np.int32),
-                    "doc_ord": [cands[i]["doc_ord"] for i in sel],
-                    "path": [cands[i]["path"] for i in sel],
-                    "distance": [cands[i]["distance"] for i in sel],
-                    "mmr_step": step,
-                }))
+                    Q = _dense(g["q_vec"].tolist())
+                    width = Q.shape[1]
+                step = max(1, _CHUNK_BYTES // (8 * max(1, m * width)))
+                for s in range(0, len(g), step):
+                    part, q = g.iloc[s:s + step], Q[s:s + step]
+                    flat = [c for cands in part["cands"] for c in cands]
+                    if sparse_dim:
+                        C = _dense_sparse([c["idx"] for c in flat], [c["val"] for c in flat], sparse_dim)
+                    else:
+                        C = _dense([c["vec"] for c in flat])
+                    sel = mmr_select(q, C.reshape(len(part), m, -1), k, lam)
+                    kk = sel.shape[1]
+                    order = np.argsort(sel, axis=1, kind="stable") if mmr_order == "distance" else \
+                        np.tile(np.arange(kk), (len(part), 1))
+                    sel = np.take_along_axis(sel, order, axis=1)
+                    picked = [flat[i] for i in (np.arange(len(part))[:, None] * m + sel).ravel()]
+                    parts.append(pd.DataFrame({
+                        "uid": np.repeat(part["uid"].to_numpy(), kk),
+                        "model": np.repeat(part["model"].to_numpy(), kk),
+                        "method": "mmr",
+                        "cat_type": np.repeat(part["cat_type"].to_numpy(), kk),
+                        "rank": np.tile(np.arange(1, kk + 1, dtype=np.int32), len(part)),
+                        "doc_ord": [c["doc_ord"] for c in picked],
+                        "path": [c["path"] for c in picked],
+                        "distance": [c["distance"] for c in picked],
+                        "mmr_step": (order + 1).astype(np.int32).ravel(),
+                    }))
             if parts:
                 res = pd.concat(parts, ignore_index=True)
                 res["mmr_step"] = res["mmr_step"].astype("Int32")
@@ -329,34 +345,23 @@ def _vec_cols(sparse_dim):
     return [F.col("vec").cast("array<double>").alias("vec")]
 
 
-def block_plan(queries: DataFrame, items: DataFrame, block_rows: int,
-               sparse_dim: int | None = None, block_bytes: int = 32 << 20,
-               broadcast_bytes: int | None = None) -> dict:
+def block_plan(items: DataFrame, block_rows: int, sparse_dim: int | None = None,
+               block_bytes: int = 32 << 20) -> dict:
     """Sizes that decide the physical form.
 
-    One small job gives per-model row counts and packed bytes of the item
-    side (one row per model reaches the driver).  The query side is only
-    counted when the items are too large to broadcast (the replicated join
-    needs the number of query blocks); with a broadcast, queries are packed
-    where they are and never counted.  A block holds at most ``block_rows``
-    vectors and about ``block_bytes`` bytes.
+    One small job gives per-model row counts and packed bytes (vectors and
+    paths) of the item side; one row per model reaches the driver.  The query
+    side is never counted.  A block holds at most ``block_rows`` vectors and
+    about ``block_bytes`` bytes.
     """
     width = (F.size("idx") * 12 + 64) if sparse_dim else (F.size("vec") * 8 + 64)
-
-    def stats(df):
-        return df.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.sum(width).alias("bytes")).collect()
-
-    def blocks(rows):
-        return max([1] + [math.ceil(max(r["n"] / block_rows, (r["bytes"] or 0) / block_bytes))
-                          for r in rows])
-    it = stats(items)
-    by_model = {r["model"]: int(r["bytes"] or 0) for r in it}
-    item_bytes = sum(by_model.values())
-    fits = broadcast_bytes is not None and max(by_model.values() or [0]) <= broadcast_bytes
+    width = width + F.coalesce(F.octet_length("path"), F.lit(0)) + F.coalesce(F.octet_length("cat_type"), F.lit(0))
+    rows = items.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.sum(width).alias("bytes")).collect()
+    by_model = {r["model"]: int(r["bytes"] or 0) for r in rows}
     return {
-        "item_blocks": blocks(it),
-        "query_blocks": None if fits else blocks(stats(queries)),
-        "item_bytes": item_bytes,
+        "item_blocks": max([1] + [math.ceil(max(r["n"] / block_rows, (r["bytes"] or 0) / block_bytes))
+                                  for r in rows]),
+        "item_bytes": sum(by_model.values()),
         "item_bytes_by_model": by_model,
     }
 
@@ -383,7 +388,7 @@ def search(queries: DataFrame, items: DataFrame, k: int, *, methods=("sim",),
 
     Join form: all item blocks broadcast when their packed size is at most
     ``broadcast_bytes``; else, when every model alone fits, one broadcast
-    search per model (a union); else item blocks replicated per query block.
+    search per model (a union); else the items in waves under the bound.
     """
     if metric not in ("l2", "cosine", "dot"):
         raise ValueError(metric)
@@ -393,7 +398,10 @@ def search(queries: DataFrame, items: DataFrame, k: int, *, methods=("sim",),
                                           *_vec_cols(sparse_dim))
     items = _with_model(items).select("model", F.col("doc_ord").cast("long").alias("doc_ord"),
                                       "path", "cat_type", *_vec_cols(sparse_dim))
-    plan = plan or block_plan(queries, items, block_rows, sparse_dim, broadcast_bytes=broadcast_bytes)
+    present = [F.col(c).isNotNull() for c in (["model", "idx", "val"] if sparse_dim else ["model", "vec"])]
+    queries = queries.where(reduce(lambda a, b: a & b, present) & F.col("uid").isNotNull())
+    items = items.where(reduce(lambda a, b: a & b, present) & F.col("doc_ord").isNotNull())
+    plan = plan or block_plan(items, block_rows, sparse_dim)
     opts = dict(k=k, methods=methods, fetch_k=fetch_k, lambda_mult=lambda_mult, by_type=by_type,
                 metric=metric, mmr_order=mmr_order, round_digits=round_digits, sparse_dim=sparse_dim,
                 block_rows=block_rows)
@@ -401,9 +409,11 @@ def search(queries: DataFrame, items: DataFrame, k: int, *, methods=("sim",),
     if plan["item_bytes"] > broadcast_bytes and len(by_model) > 1 and \
             max(by_model.values()) <= broadcast_bytes:
         parts = [_search_blocks(queries.where(F.col("model") == m), items.where(F.col("model") == m),
-                                plan, True, **opts) for m in sorted(by_model)]
+                                plan, 1, **opts) for m in sorted(by_model)]
         return reduce(lambda a, b: a.unionByName(b), parts)
-    return _search_blocks(queries, items, plan, plan["item_bytes"] <= broadcast_bytes, **opts)
+    # a wave holds at least one block, which is small enough for any broadcast
+    waves = min(plan["item_blocks"], max(1, math.ceil(plan["item_bytes"] / max(1, broadcast_bytes))))
+    return _search_blocks(queries, items, plan, waves, **opts)
 
 
 def _model_key(row_col: str):
@@ -432,7 +442,7 @@ def _local_packer(vcols, block_rows, block_bytes=32 << 20):
                     part = g.iloc[s:s + step]
                     row = {"_mk": model, "model": model, "q_uid": part["uid"].tolist()}
                     for c in vcols:
-                        row[f"q_{c}"] = [np.asarray(v).tolist() for v in part[c]]
+                        row[f"q_{c}"] = [np.asarray(v) for v in part[c]]
                     rows.append(row)
             if rows:
                 yield pd.DataFrame(rows)
@@ -448,28 +458,21 @@ def _packed_query_schema(vcols) -> str:
     return ", ".join(cols)
 
 
-def _search_blocks(queries, items, plan, broadcast, *, k, methods, fetch_k, lambda_mult, by_type,
+def _search_blocks(queries, items, plan, waves, *, k, methods, fetch_k, lambda_mult, by_type,
                    metric, mmr_order, round_digits, sparse_dim, block_rows):
-    ni, nq = plan["item_blocks"], plan["query_blocks"]
     vcols = ["idx", "val"] if sparse_dim else ["vec"]
+    # blocks of a wave; a wave of several is one more cut by the same hash
+    ni = -(-plan["item_blocks"] // waves) * waves
+    packed = ["doc_ord", "path", "cat_type", *vcols]
+    names = ["ord", "path", "type", *vcols]
     ipack = (items.withColumn("ib", F.pmod(F.xxhash64("doc_ord"), F.lit(ni)))
              .withColumn("_mk", _model_key("doc_ord"))
-             .groupBy("_mk", "ib")
-             .agg(F.collect_list("doc_ord").alias("i_ord"), F.collect_list("path").alias("i_path"),
-                  F.collect_list("cat_type").alias("i_type"),
-                  *[F.collect_list(c).alias(f"i_{c}") for c in vcols]))
-    if broadcast:
-        # queries packed in place, streamed through a broadcast hash join
-        qpack = queries.mapInPandas(_local_packer(vcols, block_rows), _packed_query_schema(vcols))
-        pairs = qpack.join(F.broadcast(ipack), "_mk")
-    else:
-        qpack = (queries.withColumn("qb", F.pmod(F.xxhash64("uid"), F.lit(nq)))
-                 .withColumn("_mk", _model_key("uid"))
-                 .groupBy("_mk", "model", "qb")
-                 .agg(F.collect_list("uid").alias("q_uid"),
-                      *[F.collect_list(c).alias(f"q_{c}") for c in vcols]))
-        rep = ipack.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
-        pairs = qpack.join(rep, ["_mk", "qb"])
+             .groupBy("_mk", "ib").agg(F.collect_list(F.struct(*packed)).alias("s"))
+             .select("_mk", "ib", *[F.col(f"s.{c}").alias(f"i_{n}") for c, n in zip(packed, names)]))
+    qpack = queries.mapInPandas(_local_packer(vcols, block_rows), _packed_query_schema(vcols))
+    pairs = [qpack.join(F.broadcast(ipack.where(F.col("ib") % waves == w) if waves > 1 else ipack), "_mk")
+             for w in range(waves)]
+    pairs = reduce(lambda a, b: a.unionByName(b), pairs)
 
     final = ni == 1
     kernel_methods = tuple(methods) if final else ("sim",)

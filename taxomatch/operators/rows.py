@@ -5,7 +5,9 @@ without moving all rows through one task: rows are range-partitioned and
 sorted on the order columns, each row gets its place inside its partition
 (``monotonically_increasing_id`` keeps the partition in its upper bits), and
 a prefix sum over the per-partition counts - one row per partition - turns
-that into a global position.
+that into a global position.  Range bounds come from a sample and two uses of
+one plan may sample differently, so the placed rows are written once and both
+the counts and the positions are read from that table.
 """
 
 from __future__ import annotations
@@ -13,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from taxomatch.session import materialize
+
 _LOW_BITS = (1 << 33) - 1
 
 
@@ -29,12 +33,8 @@ def estimated_bytes(df: DataFrame) -> int | None:
 
 def _range_partitions(df: DataFrame) -> int:
     """Range partitions for a re-numbering: one per ~128 MB of estimated input,
-    at least min(cores, ``spark.sql.shuffle.partitions``).
-
-    The number is explicit on purpose: AQE does not coalesce an explicit
-    repartition, so both branches of the numbering (counts and rows) read the
-    same partitions.  It is sized up front from the plan estimate (asking the
-    RDD would run the upstream shuffles)."""
+    at least min(cores, ``spark.sql.shuffle.partitions``).  Sized up front from
+    the plan estimate (asking the RDD would run the upstream shuffles)."""
     spark = df.sparkSession
     base = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")),
                       spark.sparkContext.defaultParallelism))
@@ -44,6 +44,17 @@ def _range_partitions(df: DataFrame) -> int:
     return int(max(base, min(size // _PARTITION_BYTES + 1, 1_000_000)))
 
 
+def placed(df: DataFrame, cols: list, num_partitions: int | None = None) -> DataFrame:
+    """``df`` range-partitioned and sorted on ``cols``, with ``_pid`` (the range)
+    and ``_local`` (0-based place in it), written once under the checkpoint
+    folder: whatever reads it sees the same ranges."""
+    ranged = df.repartitionByRange(num_partitions or _range_partitions(df), *cols)
+    s = ranged.sortWithinPartitions(*cols).withColumn("_mid", F.monotonically_increasing_id())
+    return materialize(s.withColumns({
+        "_pid": F.shiftright(F.col("_mid"), 33), "_local": F.col("_mid").bitwiseAND(F.lit(_LOW_BITS)),
+    }).drop("_mid"), "placed")
+
+
 def with_row_index(df: DataFrame, order: list, name: str = "idx", start: int = 0,
                    num_partitions: int | None = None) -> DataFrame:
     """Add ``name`` = 0-based (or ``start``-based) position in ``order``.
@@ -51,12 +62,7 @@ def with_row_index(df: DataFrame, order: list, name: str = "idx", start: int = 0
     ``order``: column names or sort expressions (``F.desc(..)``); it should be
     unique for a stable numbering.
     """
-    cols = [F.col(c) if isinstance(c, str) else c for c in order]
-    ranged = df.repartitionByRange(num_partitions or _range_partitions(df), *cols)
-    s = (ranged.sortWithinPartitions(*cols)
-         .withColumn("_mid", F.monotonically_increasing_id())
-         .withColumn("_pid", F.shiftright(F.col("_mid"), 33))
-         .withColumn("_local", F.col("_mid").bitwiseAND(F.lit(_LOW_BITS))))
+    s = placed(df, [F.col(c) if isinstance(c, str) else c for c in order], num_partitions)
     counts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select(
         "_pid",
@@ -65,7 +71,7 @@ def with_row_index(df: DataFrame, order: list, name: str = "idx", start: int = 0
     # offsets has one row per partition: a size bound by construction.
     out = s.join(F.broadcast(offsets), "_pid")
     return out.withColumn(name, (F.col("_off") + F.col("_local") + F.lit(start)).cast("long")).drop(
-        "_mid", "_pid", "_local", "_off")
+        "_pid", "_local", "_off")
 
 
 def batch_number(idx: str = "idx", size: int = 5000):

@@ -150,6 +150,10 @@ def train_word2vec(corpus: DataFrame, vector_size: int = 100, min_count: int = M
     ``partitions`` defaults to the parallelism of the cluster (MLlib's own
     default, 1, would train the whole corpus in one task); each partition
     trains on its sentences and the updates are averaged per epoch.
+    MLlib holds the vocabulary and both weight matrices (vocabulary x
+    ``vector_size`` floats each) on the driver and sends them to the executors
+    every epoch, so the vocabulary, not the corpus, has to fit; raise
+    ``min_count`` for a larger one.
     MLlib has no warm start from pretrained vectors; lay them over the result
     with ``overlay`` (the two spaces are not aligned, so a table should hold
     either overlaid or trained words per model).
@@ -157,6 +161,7 @@ def train_word2vec(corpus: DataFrame, vector_size: int = 100, min_count: int = M
     if partitions is None:
         partitions = corpus.sparkSession.sparkContext.defaultParallelism
     w2v = Word2Vec(vectorSize=vector_size, minCount=min_count, maxIter=epochs, windowSize=window,
+                   maxSentenceLength=TX.CHUNK_WORDS,  # a chunk is one sentence, never cut again
                    seed=seed, numPartitions=partitions, inputCol="tokens", outputCol="_v")
     model = w2v.fit(corpus.select("tokens"))
     return model.getVectors().select("word", vector_to_array("vector").alias("vec"))

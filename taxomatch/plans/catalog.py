@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taxomatch.functions import text as TX
+from taxomatch.functions import vectors as VF
 from taxomatch.operators import docs as D
 from taxomatch.operators import embed as EM
 from taxomatch.operators import knn as K
@@ -23,7 +24,10 @@ from taxomatch.operators import words as W
 from taxomatch.plans import classify as C
 from taxomatch.plans import fixtures as X
 from taxomatch.session import materialize, scratch_path
+from taxomatch.sources import answers as A
 from taxomatch.sources import collections as S
+from taxomatch.sources import csv as CSV
+from taxomatch.sources import wordvec as WV
 from taxomatch.streaming import incremental as ST
 
 QUERIES: dict = {}
@@ -293,8 +297,12 @@ def slice_rows(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def contains_docs(spark: SparkSession, d: str) -> DataFrame:
-    docs = X.table(spark, d, "documents")
-    return docs.where(F.col("text").contains("tion ")).select("doc_id", "n_chars")
+    """A text search in a stored collection."""
+    store = S.VectorStore(spark, scratch_path(spark, f"store-{uuid.uuid4().hex}"))
+    docs = X.table(spark, d, "documents").select(
+        F.col("doc_id").cast("string").alias("id"), "text", "doc_id", "n_chars")
+    store.add_missing(docs, S.PRODUCTS, {STORE_MODELS[0]: _hashing_embedder(4)})
+    return store.find_text(S.PRODUCTS, STORE_MODELS[0], "tion ").select("doc_id", "n_chars")
 
 
 # --------------------------------------------------------------------------- collections
@@ -317,9 +325,11 @@ def _hashing_embedder(dim: int):
 
 @query
 def missing_docs(spark: SparkSession, d: str) -> DataFrame:
-    docs = X.table(spark, d, "documents").select("doc_id", "lang")
-    stored = X.table(spark, d, "labels").select("doc_id")
-    return docs.join(stored, "doc_id", "left_anti")
+    store = S.VectorStore(spark, scratch_path(spark, f"store-{uuid.uuid4().hex}"))
+    docs = X.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), "doc_id", "lang", "text")
+    labelled = docs.join(X.table(spark, d, "labels").select("doc_id").distinct(), "doc_id", "left_semi")
+    store.add_missing(labelled.select("id", "text"), S.PRODUCTS, {STORE_MODELS[0]: _hashing_embedder(4)})
+    return store.missing(docs, S.PRODUCTS, STORE_MODELS[0]).select("doc_id", "lang")
 
 
 @query
@@ -391,8 +401,9 @@ def known_words(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def word2vec_train(spark: SparkSession, d: str) -> DataFrame:
+    """All epochs of the job; the vectors are random, the words and widths are not."""
     corpus = W.build_corpus(X.cat(spark, d), X.prod(spark, d))
-    wv = W.train_word2vec(corpus, vector_size=16, epochs=1)
+    wv = W.train_word2vec(corpus, vector_size=32)
     return wv.select("word", F.size("vec").cast("long").alias("dim"))
 
 
@@ -424,19 +435,202 @@ def tfidf_direct(spark: SparkSession, d: str) -> DataFrame:
     vecs, dim = EM.tfidf(alldocs, F.col("id").startswith("c:"))
     items = cdocs.join(vecs, "id").select("doc_ord", "path", "cat_type", "idx", "val")
     queries = (vecs.where(F.col("id").startswith("p:"))
-               .select(F.substring("id", 3, 1 << 20).alias("uid"), "idx", "val"))
+               .select(F.substr("id", F.lit(3)).alias("uid"), "idx", "val"))
     hits = K.nearest(queries, items, metric="dot", round_digits=10, sparse_dim=dim)
     return hits.select(F.col("uid").alias("_id"), F.col("path").alias("category"))
 
 
+@query
+def words_products_direct(spark: SparkSession, d: str) -> DataFrame:
+    """Products (T9) and category documents by mean word vector, nearest document."""
+    return C.classify_with_word_vectors(X.prod(spark, d), X.cat(spark, d), X.word_vecs(spark, d), 64,
+                                        round_digits=9)
+
+
+@query
+def overlay_trained(spark: SparkSession, d: str) -> DataFrame:
+    """J6/U-D: pretrained vectors over trained ones, pretrained words outside the
+    vocabulary kept.  The trained table here is the vocabulary with a vector
+    of the word's length."""
+    vocab = W.vocabulary(W.build_corpus(X.cat(spark, d), X.prod(spark, d)))
+    trained = vocab.select("word", F.array(F.length("word").cast("double")).alias("vec"))
+    o = W.overlay(vocab, trained, X.word_vecs(spark, d), keep_pretrained=True)
+    return o.select("word", "count", "pretrained", F.size("vec").cast("long").alias("dim"),
+                    F.round(F.try_element_at("vec", F.lit(1)), 6).alias("v1"))
+
+
+# --------------------------------------------------------------------------- physical forms of the search, nulls
+
+
+@query
+def knn_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Several item blocks, merged lists."""
+    h = K.knn(X.vec_queries(spark, d), X.vec_items(spark, d), 10, by_type=True, block_rows=32)
+    return _hits_out(h, "cat_type")
+
+
+@query
+def knn_waves(spark: SparkSession, d: str) -> DataFrame:
+    """The item side over the broadcast bound: waves of blocks."""
+    h = K.knn(X.vec_queries(spark, d), X.vec_items(spark, d), 10, by_type=True, block_rows=32,
+              broadcast_bytes=20_000)
+    return _hits_out(h, "cat_type")
+
+
+@query
+def mmr_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """MMR on merged candidates of several blocks and waves."""
+    m = ("m1",)
+    h = K.search(X.vec_queries(spark, d, m), X.vec_items(spark, d, m), 3, methods=("mmr",), by_type=True,
+                 block_rows=32, broadcast_bytes=20_000)
+    return h.select("uid", "model", "cat_type", F.col("rank").cast("long").alias("rank"),
+                    F.col("mmr_step").cast("long").alias("mmr_step"), "doc_ord", "path",
+                    F.round("distance", 6).alias("distance"))
+
+
+@query
+def knn_nulls(spark: SparkSession, d: str) -> DataFrame:
+    """Rows without a vector take no part; a null path is an ordinary value."""
+    q = X.vec_queries(spark, d).withColumn("vec", F.when(F.col("uid").cast("long") % 7 != 0, F.col("vec")))
+    i = X.vec_items(spark, d)
+    i = i.withColumns({"vec": F.when(F.col("doc_ord") % 12 != 0, F.col("vec")),
+                       "path": F.when(F.col("doc_ord") % 5 != 0, F.col("path"))})
+    return _hits_out(K.knn(q, i, 5, by_type=True, block_rows=32, broadcast_bytes=20_000), "cat_type")
+
+
+# --------------------------------------------------------------------------- column functions of vectors
+
+
+@query
+def vector_distances(spark: SparkSession, d: str) -> DataFrame:
+    """V1/V2 as column functions: each embedding and the one after it."""
+    e = X.table(spark, d, "embeddings").select("vec_id", VF.as_double("embedding").alias("a"))
+    n = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("a").alias("b"))
+    return e.join(n, "vec_id").select("vec_id", F.round(VF.sq_l2("a", "b"), 6).alias("l2"),
+                                      F.round(VF.cosine("a", "b"), 6).alias("cos"))
+
+
+@query
+def vector_shapes(spark: SparkSession, d: str) -> DataFrame:
+    s = VF.vector_shape(X.table(spark, d, "embeddings"), "embedding")
+    return s.select("n", F.col("min_dim").cast("long").alias("min_dim"), F.col("max_dim").cast("long").alias("max_dim"))
+
+
+# --------------------------------------------------------------------------- files
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+
+
+def _category_csv(spark: SparkSession, d: str) -> str:
+    path = _folder(spark, "categories")
+    (X.cat(spark, d).orderBy("cat_idx").select(F.col("path").alias("cleanHandle"))
+     .write.option("sep", ";").option("header", True).option("escape", '"').csv(path))
+    return path
+
+
+def _product_csv(spark: SparkSession, d: str) -> str:
+    path = _folder(spark, "products")
+    names = [F.col(dst).alias(src) for src, dst in CSV.PRODUCT_COLUMNS]
+    (X.prod(spark, d).select(*names)
+     .write.option("sep", ";").option("header", True).option("escape", '"').csv(path))
+    return path
+
+
+@query
+def category_file(spark: SparkSession, d: str) -> DataFrame:
+    """The category file, written in order and read back with positions."""
+    return CSV.read_categories(spark, _category_csv(spark, d))
+
+
+@query
+def product_file(spark: SparkSession, d: str) -> DataFrame:
+    """The product file, written and read back."""
+    return CSV.read_products(spark, _product_csv(spark, d)).select(
+        "uid", "title", "description", "vendor_category", "vendor")
+
+
+@query
+def product_docs(spark: SparkSession, d: str) -> DataFrame:
+    """Product documents with their positions."""
+    p = X.prod(spark, d).select("uid", TX.product_text("title", "vendor_category").alias("text"))
+    return D.product_documents(p).select("uid", "prod_idx", "source", "text")
+
+
+@query
+def answers_file(spark: SparkSession, d: str) -> DataFrame:
+    """K1/K2: answers written in three slice files and read back."""
+    path = _folder(spark, "answers")
+    A.write_answers(C.classify_direct(X.vec_queries(spark, d), X.vec_items(spark, d)), path, slices=3)
+    return A.read_answers(spark, path)
+
+
+@query
+def word_vectors_file(spark: SparkSession, d: str) -> DataFrame:
+    """Word vectors as a text file, read, stored as a table, read again."""
+    text, saved = _folder(spark, "vectors-text"), _folder(spark, "vectors-table")
+    wv = X.word_vecs(spark, d)
+    wv.select(F.concat_ws(" ", "word", F.array_join(F.col("vec").cast("array<string>"), " "))).write.text(text)
+    WV.save_word_vectors(WV.read_word2vec_text(spark, text, dim=64), saved)
+    return WV.load_word_vectors(spark, saved).select(
+        "word", F.size("vec").cast("long").alias("dim"), F.round(F.element_at("vec", 1), 6).alias("v1"),
+        F.round(F.element_at("vec", -1), 6).alias("vlast"))
+
+
+@query
+def store_drops(spark: SparkSession, d: str) -> DataFrame:
+    """K6/K7: one collection dropped, one side reset; what is left is counted."""
+    store = S.VectorStore(spark, _folder(spark, "store"))
+    docs = X.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), "text")
+    models = {m: _hashing_embedder(4) for m in STORE_MODELS}
+    store.add_missing(docs, S.PRODUCTS, models)
+    store.add_missing(docs.where("length(text) % 2 = 0"), S.CATEGORIES, models)
+    store.drop(S.PRODUCTS, STORE_MODELS[0])
+    store.reset(S.CATEGORIES)
+    store.add_missing(docs.where("length(text) % 3 = 0"), S.CATEGORIES, {STORE_MODELS[1]: _hashing_embedder(4)})
+    return store.counts()
+
+
+# --------------------------------------------------------------------------- texts searched as they come (J2 L4 J3), the whole job
+
+#: A text as counts of some letters: a model that SQL can repeat.
+LETTERS = "aeinorst"
+
+
+def _letters(df: DataFrame) -> DataFrame:
+    count = lambda c: (F.length("text") - F.length(F.replace("text", F.lit(c), F.lit("")))).cast("double")
+    return df.withColumn("vec", F.array(*[count(c) for c in LETTERS]))
+
+
+@query
+def texts_search(spark: SparkSession, d: str) -> DataFrame:
+    """Texts embedded on the fly, against category documents from a store."""
+    store = S.VectorStore(spark, _folder(spark, "store"))
+    store.add_missing(D.category_documents(X.cat(spark, d)), S.CATEGORIES, {"letters": _letters})
+    items = store.vectors(S.CATEGORIES, "letters").drop("model")
+    texts = X.prod(spark, d).select("uid", F.col("title").alias("text"))
+    h = C.search_texts(texts, _letters, items, k=3, methods=("sim",))
+    return _hits_out(h, "cat_type")
+
+
+@query
+def classify_files(spark: SparkSession, d: str) -> DataFrame:
+    """The whole job from two CSV files to the answer folder."""
+    return C.classify_files(spark, _category_csv(spark, d), _product_csv(spark, d), _folder(spark, "store"),
+                            {"letters:v1": _letters}, _folder(spark, "answers"), approach="direct")
+
+
 # --------------------------------------------------------------------------- streaming
 
 
 @query
 def stream_incremental(spark: SparkSession, d: str) -> DataFrame:
-    """Documents arrive in two file drops; each micro-batch embeds (mean
-    word vectors) and classifies only documents not stored yet.  The answer
-    table equals the one-batch ``words_direct``."""
+    """Documents arrive in file drops; each micro-batch embeds (mean word
+    vectors) and classifies only texts not stored yet.  The first drop also
+    holds other texts for some documents of the second (edited later) and each
+    row of some documents twice.  The answer table equals the one-batch
+    ``words_direct``: one answer per document, that of its newest text."""
     base = scratch_path(spark, f"stream-{uuid.uuid4().hex}")
     docs = X.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("uid"), "text",
                                                  "doc_id")
@@ -449,7 +643,12 @@ def stream_incremental(spark: SparkSession, d: str) -> DataFrame:
 
     items = X.vec_items(spark, d)
     for drop in (0, 1):
-        docs.where(F.col("doc_id") % 2 == drop).drop("doc_id").write.mode("append").parquet(f"{base}/src")
+        rows = docs.where(F.col("doc_id") % 2 == drop)
+        rows = rows.unionByName(rows.where("doc_id % 6 < 2"))
+        if drop == 0:
+            old = docs.where("doc_id % 10 = 1").withColumn("text", F.reverse("text"))
+            rows = rows.unionByName(old)
+        rows.drop("doc_id").write.mode("append").parquet(f"{base}/src")
         ST.run_available(spark, f"{base}/src", "uid string, text string", f"{base}/store",
                          f"{base}/ckpt", "principal", embed, items)
     return ST.answers(spark, f"{base}/store", "principal")

@@ -16,8 +16,9 @@ from taxomatch.operators.rows import with_row_index
 # embedding (1-based, inclusive): m1 = 1..32, m2 = 33..64, principal = 1..64.
 MODEL_SLICES = {"m1": (1, 32), "m2": (33, 32), "principal": (1, 64)}
 ENSEMBLE_MODELS = ("m1", "m2", "principal")
-# Embeddings with vec_id below this are category documents, the rest queries.
-ITEM_ID_LIMIT = 100
+# Every fourth embedding is a category document, the rest are queries, so both
+# sides grow with the table.
+ITEM_STEP = 4
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,18 +34,19 @@ def model_vectors(vec: Column, models=ENSEMBLE_MODELS) -> Column:
 
 
 def vec_items(spark: SparkSession, sf_dir: str, models=("principal",)) -> DataFrame:
-    """Category documents: 2 per category (even vec_id = ALL, odd = LAST)."""
-    e = table(spark, sf_dir, "embeddings").where(F.col("vec_id") < ITEM_ID_LIMIT)
+    """Category documents: 2 per category (ALL, LAST by turns)."""
+    e = table(spark, sf_dir, "embeddings").where(F.col("vec_id") % ITEM_STEP == 0)
+    no = F.floor(F.col("vec_id") / ITEM_STEP)
     e = e.select(
         F.col("vec_id").alias("doc_ord"),
-        F.concat(F.lit("cat/"), F.lpad(F.floor(F.col("vec_id") / 2).cast("string"), 3, "0")).alias("path"),
-        F.when(F.col("vec_id") % 2 == 0, F.lit("ALL")).otherwise(F.lit("LAST")).alias("cat_type"),
+        F.concat(F.lit("cat/"), F.lpad(F.floor(no / 2).cast("string"), 3, "0")).alias("path"),
+        F.when(no % 2 == 0, F.lit("ALL")).otherwise(F.lit("LAST")).alias("cat_type"),
         F.explode(model_vectors(F.col("embedding").cast("array<double>"), models)).alias("m"))
     return e.select("m.model", "doc_ord", "path", "cat_type", "m.vec")
 
 
 def vec_queries(spark: SparkSession, sf_dir: str, models=("principal",)) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").where(F.col("vec_id") >= ITEM_ID_LIMIT)
+    e = table(spark, sf_dir, "embeddings").where(F.col("vec_id") % ITEM_STEP != 0)
     e = e.select(F.col("vec_id").cast("string").alias("uid"),
                  F.explode(model_vectors(F.col("embedding").cast("array<double>"), models)).alias("m"))
     return e.select("m.model", "uid", "m.vec")

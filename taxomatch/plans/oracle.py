@@ -22,16 +22,16 @@ def vec_ctes(models=("principal",)) -> str:
     return f"""
 items AS (
   SELECT ms.model, e.vec_id AS doc_ord,
-         'cat/' || lpad(CAST(e.vec_id // 2 AS VARCHAR), 3, '0') AS path,
-         CASE WHEN e.vec_id % 2 = 0 THEN 'ALL' ELSE 'LAST' END AS cat_type,
+         'cat/' || lpad(CAST(e.vec_id // 8 AS VARCHAR), 3, '0') AS path,
+         CASE WHEN e.vec_id // 4 % 2 = 0 THEN 'ALL' ELSE 'LAST' END AS cat_type,
          CAST(list_slice(e.embedding, ms.lo, ms.hi) AS DOUBLE[]) AS vec
   FROM embeddings e, {_MODELS}
-  WHERE e.vec_id < 100 AND ms.model IN {_in(models)}),
+  WHERE e.vec_id % 4 = 0 AND ms.model IN {_in(models)}),
 queries AS (
   SELECT ms.model, CAST(e.vec_id AS VARCHAR) AS uid,
          CAST(list_slice(e.embedding, ms.lo, ms.hi) AS DOUBLE[]) AS vec
   FROM embeddings e, {_MODELS}
-  WHERE e.vec_id >= 100 AND ms.model IN {_in(models)})"""
+  WHERE e.vec_id % 4 <> 0 AND ms.model IN {_in(models)})"""
 
 
 def _dist(metric: str) -> str:
@@ -405,3 +405,99 @@ r AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY distance, doc_ord)
 SELECT uid AS _id, path AS category FROM r WHERE rank = 1""")
 
 ORACLE["stream_incremental"] = ORACLE["words_direct"]
+
+_PRODUCT_MEANS = f"""{_WORD_VECS}, {_CAT}, {_PROD},
+cd AS (SELECT cat_idx, path, {_path_text('path')} AS all_text FROM cat),
+sides AS (
+  SELECT 'c' AS side, CAST(cat_idx * 2 AS VARCHAR) AS id, cat_idx * 2 AS doc_ord, path,
+         {_clean_words('all_text')} AS w FROM cd
+  UNION ALL
+  SELECT 'c', CAST(cat_idx * 2 + 1 AS VARCHAR), cat_idx * 2 + 1, path,
+         {_clean_words("string_split(all_text, ' for ')[-1]")} FROM cd
+  UNION ALL
+  SELECT 'p', uid, NULL, NULL, {_clean_words("coalesce(title, 'nan') || ' ' || replace(replace(lower(coalesce(vendor_category, 'nan')), 'none', ''), 'nan', '')")}
+  FROM prod),
+st AS (SELECT side, id, unnest(w) AS word FROM sides),
+sk AS (SELECT side, id, vec FROM st JOIN word_vecs USING (word)),
+su AS (SELECT side, id, unnest(range(1, len(vec) + 1)) AS i, unnest(vec) AS x FROM sk),
+sm AS (SELECT side, id, i, avg(x) AS m FROM su GROUP BY side, id, i),
+sl AS (SELECT side, id, list(m ORDER BY i) AS vec FROM sm GROUP BY side, id),
+sv AS (SELECT s.side, s.id, s.doc_ord, s.path,
+              coalesce(sl.vec, list_transform(range(64), lambda j: 0.0::DOUBLE)) AS vec
+       FROM sides s LEFT JOIN sl USING (side, id))"""
+
+_q("words_products_direct", f"""WITH {_PRODUCT_MEANS},
+r AS (SELECT p.id AS uid, c.path, row_number() OVER (PARTITION BY p.id ORDER BY
+        round(list_sum(list_transform(range(1, 65), lambda i: (p.vec[i] - c.vec[i]) * (p.vec[i] - c.vec[i]))), 9),
+        c.doc_ord) AS rank
+      FROM sv p JOIN sv c ON p.side = 'p' AND c.side = 'c')
+SELECT uid AS _id, path AS category FROM r WHERE rank = 1""")
+_q("overlay_trained", f"""WITH {_CORPUS}, {_WORD_VECS},
+cv AS (SELECT word, count(*) AS count FROM (SELECT unnest(w) AS word FROM corpus_w) GROUP BY word
+       HAVING count(*) >= 2)
+SELECT word, cv.count, wv.vec IS NOT NULL AS pretrained,
+       CAST(CASE WHEN wv.vec IS NOT NULL THEN len(wv.vec) ELSE 1 END AS BIGINT) AS dim,
+       round(CASE WHEN wv.vec IS NOT NULL THEN wv.vec[1] ELSE length(word) END, 6) AS v1
+FROM cv FULL JOIN word_vecs wv USING (word)""")
+_q("word2vec_train", f"""WITH {_CORPUS}
+SELECT word, CAST(32 AS BIGINT) AS dim FROM (SELECT unnest(w) AS word FROM corpus_w) GROUP BY word
+HAVING count(*) >= 2""")
+
+
+# --------------------------------------------------------------------------- physical forms, column functions, files
+
+ORACLE["knn_blocks"] = ORACLE["knn_waves"] = ORACLE["knn_topk_by_type"]
+ORACLE["mmr_blocks"] = ORACLE["mmr_top3"]
+_q("knn_nulls", f"WITH {vec_ctes()}, {ranked_cte()}, "
+   "nn AS (SELECT *, row_number() OVER (PARTITION BY uid, cat_type ORDER BY distance, doc_ord) AS own FROM ranked "
+   "WHERE CAST(uid AS BIGINT) % 7 <> 0 AND doc_ord % 12 <> 0) "
+   "SELECT uid, cat_type, own AS rank, doc_ord, CASE WHEN doc_ord % 5 <> 0 THEN path END AS path, "
+   "round(distance, 6) AS distance FROM nn WHERE own <= 5")
+_q("vector_distances", """
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+p AS (SELECT a.vec_id, a.v AS a, b.v AS b FROM e a JOIN e b ON b.vec_id = a.vec_id + 1)
+SELECT vec_id, round(list_sum(list_transform(range(1, len(a) + 1), lambda i: (a[i] - b[i]) * (a[i] - b[i]))), 6) AS l2,
+       round(list_dot_product(a, b) / (sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(b, b))), 6) AS cos
+FROM p""")
+_q("vector_shapes", "SELECT count(*) AS n, min(len(embedding)) AS min_dim, max(len(embedding)) AS max_dim FROM embeddings")
+_q("category_file", f"WITH {_CAT} SELECT cat_idx, path FROM cat")
+_q("product_file", f"WITH {_PROD} SELECT uid, title, description, vendor_category, p_brand AS vendor "
+   "FROM prod JOIN part ON uid = CAST(p_partkey AS VARCHAR)")
+_q("product_docs", f"""WITH {_PROD}
+SELECT uid, row_number() OVER (ORDER BY uid) - 1 AS prod_idx, 'products.csv' AS source,
+       {_head('title')} || {_suffix(_labels('vendor_category'), ' categorize as ')} AS text FROM prod""")
+ORACLE["answers_file"] = ORACLE["classify_direct"]
+_q("word_vectors_file", f"""WITH {_WORD_VECS}
+SELECT word, len(vec) AS dim, round(vec[1], 6) AS v1, round(vec[-1], 6) AS vlast FROM word_vecs""")
+_q("store_drops", """
+SELECT 'products' AS side, 'mxbai-embed-large_v1' AS model, count(*) AS n FROM documents
+UNION ALL SELECT 'categories', 'mxbai-embed-large_v1', count(*) FROM documents WHERE length(text) % 3 = 0""")
+
+
+def _letters(col: str) -> str:
+    return "[" + ", ".join(f"CAST(length({col}) - length(replace({col}, '{c}', '')) AS DOUBLE)" for c in "aeinorst") + "]"
+
+
+_LETTER_ITEMS = f"""{_CAT}, {_PROD},
+cd AS (SELECT cat_idx, path, {_path_text('path')} AS all_text FROM cat),
+li AS (SELECT cat_idx * 2 AS doc_ord, path, 'ALL' AS cat_type, {_letters('all_text')} AS vec FROM cd
+       UNION ALL
+       SELECT cat_idx * 2 + 1, path, 'LAST', {_letters("string_split(all_text, ' for ')[-1]")} FROM cd)"""
+
+
+def _letter_hits(text: str, by_type: bool) -> str:
+    part = "p.uid, i.cat_type" if by_type else "p.uid"
+    return f"""WITH {_LETTER_ITEMS},
+lq AS (SELECT uid, {text} AS text FROM prod), lp AS (SELECT uid, {_letters('text')} AS vec FROM lq),
+lh AS (SELECT p.uid, i.cat_type, i.doc_ord, i.path,
+         list_sum(list_transform(range(1, 9), lambda k: (p.vec[k] - i.vec[k]) * (p.vec[k] - i.vec[k]))) AS distance
+       FROM lp p CROSS JOIN li i),
+lr AS (SELECT *, row_number() OVER (PARTITION BY {part.replace('p.', '').replace('i.', '')}
+                                    ORDER BY distance, doc_ord) AS rank FROM lh)"""
+
+
+_q("texts_search", _letter_hits("title", True) + """
+SELECT uid, cat_type, rank, doc_ord, path, round(distance, 6) AS distance FROM lr WHERE rank <= 3""")
+_q("classify_files", _letter_hits(f"{_head('title')} || {_suffix(_labels('vendor_category'), ' categorize as ')}", False)
+   + """
+SELECT uid AS _id, path AS category FROM lr WHERE rank = 1""")

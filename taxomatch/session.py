@@ -33,16 +33,24 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     return spark
 
 
+def is_local(master: str) -> bool:
+    """Do driver and executors share one machine's disk?"""
+    return master == "local" or master.startswith("local[")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster this is a shared folder set by the operator of the cluster and
-    it is only read here.  Only when it is unset (tests, local runs) a fresh
-    scratch folder is taken.
+    it is only read here.  Only when it is unset on a local master (tests, local
+    runs) a fresh scratch folder is taken; on a cluster an unset folder is an
+    error, since executors do not share the driver's own disk.
     """
     conf = spark.sparkContext.getConf()
     path = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not is_local(spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="taxomatch-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 
 def read_word2vec_text(spark: SparkSession, path: str, dim: int | None = None) -> DataFrame:
-    """``word string, vec array<double>``; lines with another width are dropped.
+    """``word string, vec array<double>``; lines with another width are left out
+    (``bad_lines`` lists them).
 
     ``dim=None`` takes the width of the first line of the first file (its
     header ``count dim``, or the first vector line).
@@ -30,8 +31,20 @@ def read_word2vec_text(spark: SparkSession, path: str, dim: int | None = None) -
         p = first[0]["p"]
         dim = int(p[1]) if len(p) == 2 else len(p) - 1
     vecs = parts.where(F.size("p") == dim + 1)
-    return vecs.select(F.element_at("p", 1).alias("word"),
-                       F.slice("p", 2, dim).cast("array<double>").alias("vec"))
+    if dim == 1:  # a header looks like a word with one number there
+        vecs = vecs.where(~((F.element_at("p", 2) == "1") & F.element_at("p", 1).rlike("^[0-9]+$")))
+    vec = F.transform(F.slice("p", 2, dim), lambda x: x.try_cast("double"))
+    return vecs.select(F.element_at("p", 1).alias("word"), vec.alias("vec")).where(
+        F.forall("vec", lambda x: x.isNotNull()))
+
+
+def bad_lines(spark: SparkSession, path: str, dim: int) -> DataFrame:
+    """``value``: the lines of a text file that are neither a word with ``dim``
+    numbers nor a header ``<count> <dim>``."""
+    p = F.split(F.trim("value"), r"\s+")
+    numbers = F.forall(F.slice(p, 2, dim), lambda x: x.try_cast("double").isNotNull())
+    header = F.trim("value").rlike(rf"^[0-9]+\s+{dim}$")
+    return spark.read.text(path).where(~header & ((F.size(p) != dim + 1) | ~numbers))
 
 
 def save_word_vectors(word_vectors: DataFrame, path: str, mode: str = "overwrite") -> None:
