@@ -174,12 +174,15 @@ class Encoder:
         return b"".join(self.reader.values(text))
 
 
+def owner(path: str) -> str:
+    return f"byte-bpe {path}"
+
+
 def encoder(path: str, pattern: str) -> Encoder:
-    store = worker_store()
-    key = f"byte-bpe {path}"
-    if key not in store:
-        store[key] = Encoder(path, pattern)
-    return store[key]
+    store = worker_store(owner(path))
+    if "encoder" not in store:
+        store["encoder"] = Encoder(path, pattern)
+    return store["encoder"]
 
 
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: bool = True) -> DataFrame:
@@ -215,7 +218,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: bool
 
         return of
 
-    return with_text_columns(df, text, new, maker)
+    return with_text_columns(df, text, new, maker, owner(path))
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:

@@ -23,14 +23,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def worker_store() -> dict:
-    """A dict that lives as long as the Python worker process.
+def worker_store(owner: str) -> dict:
+    """A dict that lives as long as the Python worker process, or until the
+    worker is used with another ``owner``: then all it holds is let go.
 
     Functions of this package travel by value, so their module globals are new
-    in every task; tables that are costly to load (vocabularies) are kept here
-    and loaded once per worker."""
+    in every task; tables that are costly to load (vocabularies) and their memos
+    are kept here between the tasks of a stage, and not beside those of others."""
     name = "_taxomatch_worker_store"
-    return sys.modules.setdefault(name, types.ModuleType(name)).__dict__
+    store = sys.modules.setdefault(name, types.ModuleType(name)).__dict__
+    if store.get("owner") != owner:
+        store.clear()
+        store["owner"] = owner
+    return store
 
 
 class Memo(dict):
@@ -68,19 +73,21 @@ class Memo(dict):
         return v
 
 
-def parts(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+def parts(batches: Iterator[pa.RecordBatch], rows: int = 512, owner: str = "") -> Iterator[pa.RecordBatch]:
     """The batches in parts of at most ``rows`` rows, so that the Python objects of
     a whole batch of texts are never held at once."""
+    worker_store(owner)
     for b in batches:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
 
 
-def with_text_columns(df: DataFrame, text: str, new: T.StructType, maker) -> DataFrame:
+def with_text_columns(df: DataFrame, text: str, new: T.StructType, maker, owner: str = "") -> DataFrame:
     """``df`` with the columns ``new`` computed from the text column in Python.
 
     ``maker()`` is called once per task and gives a function from an Arrow array
-    of texts to the list of the new columns.  Existing columns of the new names
+    of texts to the list of the new columns; ``owner`` names what it keeps in the
+    worker's store.  Existing columns of the new names
     (in any case) are replaced; all other columns pass through untouched."""
     names = {f.name.lower() for f in new}
     rest = [c for c in df.columns if c.lower() not in names]
@@ -90,7 +97,7 @@ def with_text_columns(df: DataFrame, text: str, new: T.StructType, maker) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = maker()
-        for b in parts(batches):
+        for b in parts(batches, owner=owner):
             yield pa.RecordBatch.from_arrays([*b.columns[:n], *of(b.column(n))], names=[*rest, *new.names])
 
     return source.mapInArrow(run, T.StructType([*kept.schema.fields, *new.fields]))

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from taxomatch.llm.common import parts, worker_store
+from taxomatch.llm.common import parts
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "url", "account", "secret", "number")
@@ -216,13 +216,6 @@ SPANS = T.ArrayType(T.StructType().add("kind", "string").add("start", "integer")
 _ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
 
-def finder() -> Finder:
-    store = worker_store()
-    if "pii" not in store:
-        store["pii"] = Finder()
-    return store["pii"]
-
-
 def redacted(text: str, spans: list[tuple[str, int, int]]) -> str:
     """Each run of touching spans becomes ``<KIND>`` of its first span."""
     out, at, i = [], 0, 0
@@ -251,7 +244,7 @@ def find_pii(df: DataFrame, text: str = "text", spans: str = "pii", redact: bool
     place = rest.index(text) if text in rest else -1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = finder().spans
+        find = Finder().spans
         for b in parts(batches):
             texts = b.column(len(rest)).to_pylist()
             found = [find(t) if t else [] for t in texts]

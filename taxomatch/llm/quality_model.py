@@ -166,14 +166,14 @@ def fit(rows: DataFrame, shrink_pooled: float = 0.2, shrink_identity: float = 0.
     return Model(shift, scale, means, factors, constants, odds, temperature)
 
 
-def with_score(df: DataFrame, model: Model, out: str = "score", stats: str = "statistics") -> DataFrame:
-    """Add ``out`` from the ``stats`` column."""
+def with_score(df: DataFrame, model: Model, out: str = "score") -> DataFrame:
+    """Add ``out`` from the ``statistics`` column."""
     @F.pandas_udf("double")
     def of(s: pd.Series) -> pd.Series:
         x = np.array(s.tolist(), float).reshape(len(s), len(FEATURES))
         return pd.Series(model.scores(x))
 
-    return df.withColumn(out, of(stats))
+    return df.withColumn(out, of("statistics"))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -202,6 +202,13 @@ def keep_good(df: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataF
     ids = labels.select("doc_id").where("doc_id IS NOT NULL").distinct()
     train = with_statistics(with_ids(df.select("doc_id", "text"), ids)).drop("text")
     model = fit(training_rows(train, labels))
-    stats, score = "_quality_statistics", "_quality_score"
-    scored = with_score(with_statistics(df, out=stats), model, score, stats)
-    return scored.where(F.col(score) >= threshold).drop(stats, score)
+    score, kind = "_quality_score", T.StructType().add("_quality_score", "double")
+
+    def maker():
+        def of(texts: pa.Array) -> list[pa.Array]:
+            x = np.array([statistics(t) for t in texts.to_pylist()], float).reshape(len(texts), len(FEATURES))
+            return [pa.array(model.scores(x))]
+
+        return of
+
+    return with_text_columns(df, "text", kind, maker).where(F.col(score) >= threshold).drop(score)

@@ -97,12 +97,15 @@ class MergeCounter:
         return specials + sum(sum(self.reader.values(p)) for p in parts if p)
 
 
+def owner(path: str) -> str:
+    return f"token-count {path}"
+
+
 def counter(path: str, pattern: str) -> MergeCounter:
-    store = worker_store()
-    key = f"merge-counter {path}"
-    if key not in store:
-        store[key] = MergeCounter(path, pattern)
-    return store[key]
+    store = worker_store(owner(path))
+    if "counter" not in store:
+        store["counter"] = MergeCounter(path, pattern)
+    return store["counter"]
 
 
 def token_counts(df: DataFrame, path: str, pattern: str, text: str = "text", limit: int = 512) -> DataFrame:
@@ -124,4 +127,4 @@ def token_counts(df: DataFrame, path: str, pattern: str, text: str = "text", lim
 
         return of
 
-    return with_text_columns(df, text, new, maker)
+    return with_text_columns(df, text, new, maker, owner(path))
