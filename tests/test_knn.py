@@ -49,7 +49,7 @@ def _got(hits):
     return {key: [o for _, o in sorted(v)] for key, v in out.items()}
 
 
-@pytest.mark.parametrize("block_rows,broadcast_bytes", [(4096, 1 << 30), (7, 1 << 30), (7, 0), (4096, 0)])
+@pytest.mark.parametrize("block_rows,broadcast_bytes", [(4096, 1 << 30), (7, 1 << 30), (7, 0), (7, 900), (4096, 0)])
 @pytest.mark.parametrize("by_type", [True, False])
 def test_knn_matches_brute_force(spark, block_rows, broadcast_bytes, by_type):
     Q, X, qu, it = _frames(spark)
@@ -186,13 +186,13 @@ def test_per_model_broadcast_equals_single_plan(spark):
     qu2 = qu.unionByName(qu.withColumn("model", F.lit("n")))
     it2 = it.unionByName(it.withColumn("model", F.lit("n")).withColumn(
         "vec", F.transform("vec", lambda x: x * 2.0)))
-    plan = K.block_plan(qu2, it2, 4096)
+    plan = K.block_plan(it2, 4096)
     one = max(plan["item_bytes_by_model"].values())
     assert plan["item_bytes"] > one
     key = lambda r: (r.model, r.uid, r.cat_type, r.rank, r.doc_ord)
     a = sorted(map(key, K.knn(qu2, it2, 3, broadcast_bytes=one).collect()))      # per model
     b = sorted(map(key, K.knn(qu2, it2, 3).collect()))                            # one broadcast
-    c = sorted(map(key, K.knn(qu2, it2, 3, broadcast_bytes=0).collect()))         # replicated
+    c = sorted(map(key, K.knn(qu2, it2, 3, block_rows=5, broadcast_bytes=0).collect()))  # waves of a block
     assert a == b == c
 
 
@@ -220,3 +220,27 @@ def test_tiny_chunks_same_result(spark, monkeypatch):
     ref = K.search(qu, it, 4, methods=("mmr",), fetch_k=8).collect()
     key = lambda r: (r.uid, r.cat_type, r.rank, r.doc_ord, r.mmr_step)
     assert sorted(key(r) for r in rows if r.method == "mmr") == sorted(map(key, ref))
+
+
+@pytest.mark.parametrize("form", [dict(), dict(block_rows=4), dict(block_rows=4, broadcast_bytes=0)])
+def test_nulls_are_the_same_in_every_form(spark, form):
+    """No vector: no hit.  A null path or type is an ordinary value.  Null models and keys take no part."""
+    qs = [("m", f"q{i}", None if i == 0 else [float(i), 0.0]) for i in range(6)] + [(None, "x", [1.0, 0.0]), ("m", None, [1.0, 1.0])]
+    its = [("m", i, None if i % 4 == 1 else f"p{i}", None if i % 5 == 2 else "ALL",
+            None if i % 3 == 2 else [float(i), 1.0]) for i in range(20)] + [(None, 50, "p", "ALL", [0.0, 0.0])]
+    q = spark.createDataFrame(qs, "model string, uid string, vec array<double>")
+    it = spark.createDataFrame(its, "model string, doc_ord long, path string, cat_type string, vec array<double>")
+    for by_type in (False, True):
+        rows = K.search(q, it, 3, methods=("sim", "mmr"), fetch_k=4, by_type=by_type, **form).collect()
+        got = {}
+        for r in rows:
+            if r.method == "sim":
+                got.setdefault((r.uid, r.cat_type), []).append((r.rank, r.doc_ord, r.path, r.distance))
+        want = {}
+        for _, uid, v in qs[1:6]:
+            for t in ({x[3] for x in its} if by_type else {"ANY"}):
+                hits = sorted((sum((a - b) ** 2 for a, b in zip(v, x[4])), x[1], x[2]) for x in its
+                              if x[0] and x[4] and (not by_type or x[3] == t))[:3]
+                want[uid, t] = [(i + 1, o, p, d) for i, (d, o, p) in enumerate(hits)]
+        assert {k: sorted(v) for k, v in got.items()} == want
+        assert {r.uid for r in rows if r.method == "mmr"} == {f"q{i}" for i in range(1, 6)}

@@ -46,3 +46,35 @@ def test_spread_only_small_inputs(spark):
     assert R.spread(small, 8).rdd.getNumPartitions() == 8
     assert R.estimated_bytes(small) is not None
     assert R.spread(small, 1).rdd.getNumPartitions() == 1        # enough splits already
+
+
+def test_positions_of_many_rows_with_more_columns(spark, scratch):
+    """Beyond the sample of a range partitioning, with columns besides the order, after a write."""
+    n = 1_000_000
+    df = spark.range(0, n, numPartitions=16).select(
+        (F.col("id") * 7919 % n).alias("k"), F.col("id").alias("payload"), F.sha2(F.col("id").cast("string"), 256).alias("s"))
+    R.with_row_index(df, ["k"], "idx").write.parquet(scratch)
+    got = spark.read.parquet(scratch)
+    r = got.agg(F.count_distinct("idx").alias("d"), F.sum((F.col("k") != F.col("idx")).cast("long")).alias("bad"),
+                F.sum((F.col("payload") * 7919 % n != F.col("k")).cast("long")).alias("torn")).first()
+    assert (r.d, r.bad, r.torn) == (n, 0, 0)
+
+
+def test_run_counter_of_many_rows(spark, scratch):
+    n = 300_000
+    df = spark.range(0, n, numPartitions=9).select(
+        F.col("id").alias("idx"), F.floor(F.col("id") / 5000).cast("string").alias("key"),
+        F.col("id").cast("string").alias("payload"))
+    D.run_counter(df, "key", "idx").write.parquet(scratch)
+    got = spark.read.parquet(scratch)
+    assert got.count() == n
+    assert got.where(F.col("n") != F.col("idx") % 5000).count() == 0
+
+
+def test_product_positions(spark, scratch):
+    df = spark.range(0, 200_000, numPartitions=7).select(
+        F.lpad(F.col("id").cast("string"), 7, "0").alias("uid"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    D.product_documents(df).write.parquet(scratch)
+    got = spark.read.parquet(scratch)
+    assert got.where(F.col("uid").cast("long") != F.col("prod_idx")).count() == 0
+    assert got.select("prod_idx").distinct().count() == 200_000
