@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from taxomatch.functions import text as TX
 from taxomatch.operators.rows import spread, with_row_index
 from taxomatch.operators.words import mean_vectors
+from taxomatch.session import materialize
 
 
 def precomputed(docs: DataFrame, vectors: DataFrame, on: str = "id") -> DataFrame:
@@ -30,6 +31,27 @@ def precomputed(docs: DataFrame, vectors: DataFrame, on: str = "id") -> DataFram
     return docs.join(vectors.select(on, "vec"), on)
 
 
+# Tables of terms up to this many rows are broadcast (~100 B a row).
+BROADCAST_TERMS = 2_000_000
+# A larger table is joined by shuffle, but for the terms with this share of all rows.
+HOT_SHARE = 100_000
+
+
+def join_terms(rows: DataFrame, terms: DataFrame, limit: int | None = None) -> DataFrame:
+    """``rows`` with the columns of ``terms`` (``term``, ``df``, ...) joined on ``term``.
+
+    A frequent term is a hot key: beyond ``limit`` terms, those with at least
+    1 / ``HOT_SHARE`` of all occurrences (so at most ``HOT_SHARE`` of them) are
+    broadcast and only the rows of the others are shuffled."""
+    size = terms.agg(F.count(F.lit(1)).alias("n"), F.sum("df").alias("total")).first()
+    if size.n <= (BROADCAST_TERMS if limit is None else limit):
+        return rows.join(F.broadcast(terms), "term").drop("df")
+    hot = F.col("df") * HOT_SHARE >= F.lit(size.total)
+    frequent = F.broadcast(terms.where(hot))
+    rare = rows.join(frequent.select("term"), "term", "left_anti").join(terms.where(~hot), "term")
+    return rows.join(frequent, "term").unionByName(rare).drop("df")
+
+
 def term_weights(docs: DataFrame, key: str = "id", text: Column | str = "text",
                  cat: bool = False) -> DataFrame:
     """Normalised TF-IDF weights ``key, term, w`` over the documents given.
@@ -43,8 +65,8 @@ def term_weights(docs: DataFrame, key: str = "id", text: Column | str = "text",
     tf = toks.groupBy("key", "term").agg(F.count(F.lit(1)).alias("tf"))
     n_docs = docs.select(key).count()
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = df.select("term", F.log((F.lit(n_docs) + 1.0) / (F.col("df") + 1.0)).alias("idf"))
-    w = tf.join(idf, "term").select("key", "term", (F.col("tf") * F.col("idf")).alias("w"))
+    idf = df.select("term", "df", F.log((F.lit(n_docs) + 1.0) / (F.col("df") + 1.0)).alias("idf"))
+    w = join_terms(tf, materialize(idf, "term-counts")).select("key", "term", (F.col("tf") * F.col("idf")).alias("w"))
     norm = w.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return (w.join(norm, "key").where(F.col("norm") > 0)
             .select(F.col("key").alias(key), "term", (F.col("w") / F.col("norm")).alias("w")))
@@ -63,17 +85,15 @@ def tfidf(docs: DataFrame, vocab_from: Column, key: str = "id", text: Column | s
     the search itself, so the sparse result is written once to the session's
     checkpoint folder instead of being recomputed by each.
     """
-    from taxomatch.session import materialize
-
     weights = term_weights(docs, key, text).persist()
     vocab_keys = docs.where(vocab_from).select(F.col(key))
-    terms = (weights.join(vocab_keys, key, "left_semi").where(F.col("w") > 0)
-             .select("term").distinct())
-    terms = materialize(with_row_index(terms, ["term"], "t_idx"), "tfidf-terms")
+    used = (weights.join(vocab_keys, key, "left_semi").where(F.col("w") > 0)
+            .select("term").distinct())
+    terms = with_row_index(used, ["term"], "t_idx")
+    counts = weights.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    terms = materialize(terms.join(counts, "term"), "tfidf-terms")
     dim = terms.count()
-    # one row per term: broadcast below a proven size, else a shuffle join
-    terms_side = F.broadcast(terms) if dim <= 2_000_000 else terms
-    packed = (weights.join(terms_side, "term")
+    packed = (join_terms(weights, terms)
               .groupBy(key)
               .agg(F.collect_list(F.col("t_idx").cast("int")).alias("i"), F.collect_list("w").alias("v")))
     sparse = (docs.select(key).join(packed, key, "left")

@@ -227,9 +227,68 @@ def _matrices(row, sparse_dim):
     return _dense(row.q_vec), _dense(row.i_vec)
 
 
+def _sparse_block(row):
+    """(product matrix, squared norms of both sides) of sparse rows, from their
+    non-zero terms only: every query term meets its postings in the item block."""
+    def flat(idx_list, val_list):
+        lens = np.fromiter((len(i) for i in idx_list), dtype=np.int64, count=len(idx_list))
+        owner = np.repeat(np.arange(len(lens)), lens)
+        if not len(owner):
+            return owner, np.zeros(0, np.int64), np.zeros(0)
+        return (owner, np.concatenate([np.asarray(i, dtype=np.int64) for i in idx_list]),
+                np.concatenate([np.asarray(v, dtype=np.float64) for v in val_list]))
+
+    nq, n = len(row.q_idx), len(row.i_idx)
+    qo, qt, qv = flat(row.q_idx, row.q_val)
+    xo, xt, xv = flat(row.i_idx, row.i_val)
+    qn2, xn2 = np.bincount(qo, qv * qv, nq), np.bincount(xo, xv * xv, n)
+    by_term = np.argsort(xt, kind="stable")
+    xo, xt, xv = xo[by_term], xt[by_term], xv[by_term]
+    lo, hi = np.searchsorted(xt, qt, "left"), np.searchsorted(xt, qt, "right")
+    out = np.zeros(nq * n)
+    done = 0
+    ends = np.cumsum(hi - lo)
+    while done < len(qt):  # ~16 MB of pairs at a time
+        stop = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + (_CHUNK_BYTES >> 4))))
+        count = (hi - lo)[done:stop]
+        which = np.repeat(np.arange(done, min(stop, len(qt))), count)
+        at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + lo[which]
+        out += np.bincount(qo[which] * n + xo[at], qv[which] * xv[at], nq * n)
+        done = stop
+    return out.reshape(nq, n), qn2, xn2
+
+
+def _top_of_product(dots, qn2, xn2, og, kcand, metric, round_digits=None):
+    """Like ``_top_candidates``, from the products of all pairs of a block."""
+    if metric == "l2":
+        d = qn2[:, None] + xn2[None, :] - 2.0 * dots
+    elif metric == "dot":
+        d = 1.0 - dots
+    else:
+        with np.errstate(divide="ignore", invalid="ignore"):
+            d = 1.0 - dots / np.sqrt(np.outer(qn2, xn2))
+        d[~np.isfinite(d)] = np.nan
+    if round_digits is not None:
+        d = np.round(d, round_digits)
+    rank_by = np.where(np.isnan(d), np.inf, d)
+    kk = min(kcand, d.shape[1])
+    kth = np.partition(rank_by, kk - 1, axis=1)[:, kk - 1:kk]
+    r, c = np.nonzero(rank_by <= kth)
+    order = np.lexsort((og[c], rank_by[r, c], r))
+    r, c = r[order], c[order]
+    starts = np.searchsorted(r, np.arange(d.shape[0]))
+    rank = np.arange(len(r)) - starts[r] + 1
+    keep = rank <= kk
+    return r[keep], c[keep], d[r, c][keep], rank[keep]
+
+
 def _score_block(row, k, methods, fetch_k, lam, metric, by_type, mmr_order, round_digits,
                  sparse_dim=None):
-    Q, X = _matrices(row, sparse_dim)
+    terms_only = bool(sparse_dim) and "mmr" not in methods
+    if terms_only:
+        dots, qn2, xn2 = _sparse_block(row)
+    else:
+        Q, X = _matrices(row, sparse_dim)
     uids = np.asarray(row.q_uid, dtype=object)
     ords = np.asarray(row.i_ord, dtype=np.int64)
     paths = np.asarray(row.i_path, dtype=object)
@@ -243,8 +302,12 @@ def _score_block(row, k, methods, fetch_k, lam, metric, by_type, mmr_order, roun
     kcand = max(k, fetch_k) if want_mmr else k
     out = []
     for ctype, idx in groups:
-        Xg, og, pg = X[idx], ords[idx], paths[idx]
-        r, c, d, rank = _top_candidates(Q, Xg, og, kcand, metric, round_digits)
+        og, pg = ords[idx], paths[idx]
+        if terms_only:
+            r, c, d, rank = _top_of_product(dots[:, idx], qn2, xn2[idx], og, kcand, metric, round_digits)
+        else:
+            Xg = X[idx]
+            r, c, d, rank = _top_candidates(Q, Xg, og, kcand, metric, round_digits)
         if "sim" in methods:
             m = rank <= k
             out.append(_frame(uids[r[m]], row.model, "sim", ctype, rank[m], og[c[m]], pg[c[m]],
@@ -383,8 +446,8 @@ def search(queries: DataFrame, items: DataFrame, k: int, *, methods=("sim",),
     ``round_digits`` rounds distances before ranking so that sums taken in
     another order tie the same way.
     ``sparse_dim``: vectors come as ``idx array<int>`` / ``val array<double>``
-    columns of that dimension (e.g. TF-IDF); they stay sparse until a block
-    is scored, and blocks are sized to at most 64 MB dense.
+    columns of that dimension (e.g. TF-IDF); similarity lists are scored on the
+    non-zero terms, MMR on blocks of at most 64 MB dense.
 
     Join form: all item blocks broadcast when their packed size is at most
     ``broadcast_bytes``; else, when every model alone fits, one broadcast
@@ -392,8 +455,8 @@ def search(queries: DataFrame, items: DataFrame, k: int, *, methods=("sim",),
     """
     if metric not in ("l2", "cosine", "dot"):
         raise ValueError(metric)
-    if sparse_dim:
-        block_rows = min(block_rows, max(16, (64 << 20) // (8 * sparse_dim)))
+    if sparse_dim and "mmr" in methods:  # dense blocks; else the non-zero terms are scored
+        block_rows = min(block_rows, max(1, (64 << 20) // (8 * sparse_dim)))
     queries = _with_model(queries).select("model", F.col("uid").cast("string").alias("uid"),
                                           *_vec_cols(sparse_dim))
     items = _with_model(items).select("model", F.col("doc_ord").cast("long").alias("doc_ord"),

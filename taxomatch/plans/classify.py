@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from taxomatch.operators import knn as K
 from taxomatch.operators import vote as V
+from taxomatch.operators.rows import range_slices
 
 
 def classify_direct(product_vecs: DataFrame, category_docs: DataFrame, **kw) -> DataFrame:
@@ -52,13 +53,13 @@ def classify_ensemble(product_vecs: DataFrame, category_docs: DataFrame, k: int
 
 def classify_in_slices(product_vecs: DataFrame, category_docs: DataFrame, n_slices: int,
                        k: int = 5, **kw) -> DataFrame:
-    """The ensemble over ``n_slices`` key ranges of the products.
+    """The ensemble, its answers in ``n_slices`` key ranges.
 
-    Slices are Spark partitions: no product is dropped and every slice uses
-    the vector of its own product (joined by key, never by position).
+    The search runs over all products with Spark's own partitions; only the
+    answers are dealt into ranges, so a writer gives one file per slice.  No
+    product is dropped and every answer uses the vector of its own product.
     """
-    sliced = product_vecs.repartitionByRange(n_slices, "uid")
-    return classify_ensemble(sliced, category_docs, k=k, **kw)
+    return range_slices(classify_ensemble(product_vecs, category_docs, k=k, **kw), n_slices, "_id")
 
 
 def search_report(product_vecs: DataFrame, category_docs: DataFrame, k: int = 10,

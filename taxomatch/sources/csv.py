@@ -33,10 +33,13 @@ def _trim_line_ends(c):
     return F.regexp_replace(c, _LINE_ENDS, "")
 
 
-def read_categories(spark: SparkSession, path: str, sep: str = SEP) -> DataFrame:
+def read_categories(spark: SparkSession, path: str, sep: str = SEP, multi_line: bool = True) -> DataFrame:
     """The first column, whatever its name, as ``path``; ``cat_idx`` is
-    the row position in the file (files in name order)."""
-    raw = (spark.read.option("sep", sep).option("header", True).option("multiLine", True)
+    the row position in the file (files in name order).
+
+    With ``multi_line`` a file is one task; files without quoted line breaks
+    are split like any text with ``multi_line=False``."""
+    raw = (spark.read.option("sep", sep).option("header", True).option("multiLine", multi_line)
            .option("escape", '"').csv(path))
     first = raw.columns[0]
     df = raw.select(_trim_line_ends(F.col(f"`{first}`")).alias("path"),
@@ -45,21 +48,24 @@ def read_categories(spark: SparkSession, path: str, sep: str = SEP) -> DataFrame
     return with_row_index(df, ["_file", "_mid"], "cat_idx").select("cat_idx", "path")
 
 
-def read_products(spark: SparkSession, path: str, sep: str = SEP, line_sep: str | None = None) -> DataFrame:
+def read_products(spark: SparkSession, path: str, sep: str = SEP, line_sep: str | None = None,
+                  multi_line: bool = True) -> DataFrame:
     """The six product columns as strings, renamed (see ``PRODUCT_COLUMNS``).
 
     ``line_sep=None`` lets the parser detect the record end; pass ``'\\r'`` to
-    force the reference's terminator.
+    force the reference's terminator.  With ``multi_line`` a file is one task, so
+    its rows are dealt over the cluster at once; files without quoted line breaks
+    are split like any text with ``multi_line=False``.
     """
     r = (spark.read.schema(PRODUCT_SCHEMA).option("sep", sep).option("header", True)
-         .option("multiLine", True).option("escape", '"').option("quote", '"'))
+         .option("multiLine", multi_line).option("escape", '"').option("quote", '"'))
     if line_sep:
         r = r.option("lineSep", line_sep)
     raw = r.csv(path)
     cols = [_trim_line_ends(F.col(src)).alias(dst) if dst == "uid" else F.col(src).alias(dst)
             for src, dst in PRODUCT_COLUMNS]
-    df = raw.select(*cols)
-    return df.where(F.col("uid").isNotNull() & (F.length("uid") > 0))
+    df = raw.select(*cols).where(F.col("uid").isNotNull() & (F.length("uid") > 0))
+    return df.repartition(spark.sparkContext.defaultParallelism) if multi_line else df
 
 
 def text_as_products(spark: SparkSession, text: str, uid: str = "text-0") -> DataFrame:
