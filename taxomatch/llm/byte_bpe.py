@@ -27,7 +27,8 @@ from taxomatch.llm.common import Memo, with_text_columns, worker_store
 from taxomatch.llm.pieces import PieceReader
 
 PAIRS = 150_000
-#: Pieces up to this many bytes fill their table on demand (by recursion).
+PREFIXES = 60_000
+#: Pieces up to this many bytes look their prefixes up in the shared table (by recursion).
 SHORT = 64
 
 
@@ -132,6 +133,8 @@ class Encoder:
 
     def __init__(self, path: str, pattern: str):
         self.vocabulary = Vocabulary(path)
+        #: prefix of a piece -> the last token of its encoding
+        self.last = Memo(self._last, PREFIXES)
         self.reader = PieceReader(pattern, self._piece, b"".join)
 
     def _piece(self, piece: str) -> bytes:
@@ -142,30 +145,24 @@ class Encoder:
         ids = self.short(data) if len(data) <= SHORT else Prefixes(self.vocabulary, data).ids()
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def short(self, data: bytes) -> list[int]:
-        """The same table for a short piece, filled on demand: only the prefixes
-        that the last token leads back to are worked out."""
+    def _last(self, prefix: bytes) -> int:
+        """The token that ends the encoding of a prefix: the longest one that
+        follows the last token of what stands before it."""
         v = self.vocabulary
-        get, pair, token, longest = v.rank.get, v.pair, v.token, v.longest
-        last: list = [-1] + [None] * len(data)
-
-        def entry(end: int) -> int:
-            for start in range(max(0, end - longest), end):
-                t = get(data[start:end])
-                if t is None:
-                    continue
-                before = last[start]
-                if before is None:
-                    before = last[start] = entry(start)
-                if (v.alone[t] if before < 0 else pair[before << 32 | t]):
-                    return t
-            raise ValueError(f"byte {data[end - 1]} is not in the vocabulary")
-
-        out, at = [], len(data)
+        get, pair = v.rank.get, v.pair
+        for start in range(max(0, len(prefix) - v.longest), len(prefix)):
+            t = get(prefix[start:])
+            if t is not None and (pair[self.last[prefix[:start]] << 32 | t] if start else v.alone[t]):
+                return t
+        raise ValueError(f"byte {prefix[-1]} is not in the vocabulary")
+
+    def short(self, data: bytes) -> list[int]:
+        """The ids of a short piece.  The table of last tokens is shared by all
+        pieces (many begin alike) and filled on demand: only the prefixes that the
+        last token leads back to are worked out."""
+        token, last, out, at = self.vocabulary.token, self.last, [], len(data)
         while at:
-            t = last[at]
-            if t is None:
-                t = last[at] = entry(at)
+            t = last[data[:at]]
             out.append(t)
             at -= len(token[t])
         return out[::-1]

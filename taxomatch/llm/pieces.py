@@ -14,8 +14,8 @@ import regex
 from taxomatch.llm.common import Memo
 
 #: Memo entries of one generation (two are held, some 150 bytes an entry).
-CHUNKS = 150_000
-PIECES = 250_000
+CHUNKS = 120_000
+PIECES = 20_000
 
 
 class _Unclean(Exception):
@@ -28,20 +28,27 @@ class PieceReader:
 
     def __init__(self, pattern: str, of_piece: Callable[[str], object], join: Callable[[list], object]):
         self.findall = regex.compile(pattern).findall
-        self.join = join
-        self.piece = Memo(of_piece, PIECES)
+        self.of_piece, self.join = of_piece, join
+        #: By chunk, without the space before it; a word of letters is one piece.
         self.chunk = Memo(self._chunk, CHUNKS, twice=True)
+        #: Pieces that are not a space and letters.
+        self.other = Memo(of_piece, PIECES)
+
+    def _piece(self, piece: str):
+        word = piece[1:]
+        return self.chunk[word] if piece[0] == " " and word.isalpha() else self.other[piece]
 
     def _chunk(self, chunk: str):
+        if chunk.isalpha():
+            return self.of_piece(" " + chunk)
         # str.isspace is wider than the pattern's white space, which is safe here
         if not chunk or chunk[0].isspace() or chunk[-1].isspace():
             raise _Unclean
-        get = self.piece.__getitem__
-        return self.join([get(p) for p in self.findall(" " + chunk)])
+        return self.join([self._piece(p) for p in self.findall(" " + chunk)])
 
     def whole(self, text: str) -> list:
         """The values of a text, by the pattern alone."""
-        return [self.join(list(map(self.piece.__getitem__, self.findall(text))))]
+        return [self.join([self._piece(p) for p in self.findall(text)])]
 
     def values(self, text: str) -> list:
         if len(text) < 2:

@@ -56,6 +56,7 @@ def test_small_memos_change_nothing(monkeypatch, library):
     monkeypatch.setattr(pieces, "CHUNKS", 5)
     monkeypatch.setattr(pieces, "PIECES", 3)
     monkeypatch.setattr(B, "PAIRS", 4)
+    monkeypatch.setattr(B, "PREFIXES", 3)
     monkeypatch.setattr(B, "SHORT", 2)
     enc, tok, counter = B.Encoder(RANKS, P.PATTERN), Tokenizer.from_file(JSON), C.MergeCounter(JSON, P.PATTERN)
     for t in (LONG[:3000], "the thing of things in thing"):
