@@ -78,6 +78,7 @@ class Model:
     constants: list
     log_odds: float
     temperature: float
+    few_words: float
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         if not self.means:  # one class only: the share of label 1
@@ -85,7 +86,9 @@ class Model:
         z = (x - self.shift) / self.scale
         density = [c - 0.5 * np.square((z - m) @ f.T).sum(axis=1)
                    for m, f, c in zip(self.means, self.factors, self.constants)]
-        logit = (density[1] - density[0]) / self.temperature + self.log_odds
+        n = np.maximum(np.expm1(x[:, 0]), 0)
+        weight = np.where(n > 0, n / np.maximum(n + self.few_words, 1e-9), 1.0)
+        logit = weight * (density[1] - density[0]) / self.temperature + self.log_odds
         return 1 / (1 + np.exp(-np.clip(logit, -700, 700)))
 
 
@@ -98,7 +101,7 @@ def with_statistics(df: DataFrame, text: str = "text", out: str = "statistics")
 
 
 def fit(rows: DataFrame, shrink_pooled: float = 0.2, shrink_identity: float = 0.02,
-        temperature: float = 8.0) -> Model:
+        temperature: float = 8.0, few_words: float = 10.0) -> Model:
     """Fit on all ``rows`` (``statistics``, ``label`` 0 or 1; others are left out).
 
     Sums of each class are made per partition and added up by Spark; only the
@@ -107,7 +110,9 @@ def fit(rows: DataFrame, shrink_pooled: float = 0.2, shrink_identity: float = 0.
     (0.5 without rows).  ``shrink_pooled`` and ``shrink_identity`` are the weights
     of the pooled covariance and of the identity in scaled units;
     ``temperature`` softens the log-density difference, which takes the words of
-    a text as independent.
+    a text as independent; a text of n words counts with n / (n + ``few_words``) of
+    it, since rates over a handful of words say little (a text without words
+    is judged in full).
     """
     d = len(FEATURES)
     upper = np.triu_indices(d)
@@ -139,7 +144,7 @@ def fit(rows: DataFrame, shrink_pooled: float = 0.2, shrink_identity: float = 0.
     n = got[:, 0]
     odds = math.log((n[1] + 0.5) / (n[0] + 0.5))
     if n.min() < 2:
-        return Model(np.zeros(d), np.ones(d), [], [], [], odds, temperature)
+        return Model(np.zeros(d), np.ones(d), [], [], [], odds, temperature, few_words)
 
     def covariance(counts: float, s: np.ndarray, products: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         square = np.zeros((d, d))
@@ -163,7 +168,7 @@ def fit(rows: DataFrame, shrink_pooled: float = 0.2, shrink_identity: float = 0.
         low = np.linalg.cholesky(shrunk)
         factors.append(np.linalg.inv(low))
         constants.append(-float(np.log(np.diag(low)).sum()))
-    return Model(shift, scale, means, factors, constants, odds, temperature)
+    return Model(shift, scale, means, factors, constants, odds, temperature, few_words)
 
 
 def with_score(df: DataFrame, model: Model, out: str = "score") -> DataFrame:

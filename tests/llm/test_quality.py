@@ -39,7 +39,7 @@ def test_sums_give_the_class_densities(spark):
     y = np.arange(400) % 2
     x[y == 1] += 2
     rows = spark.createDataFrame([(v.tolist(), int(c)) for v, c in zip(x, y)], "statistics array<double>, label int")
-    m = M.fit(rows.repartition(5), 0.0, 1e-9, 1.0)
+    m = M.fit(rows.repartition(5), 0.0, 1e-9, 1.0, 0.0)
     own = []
     for c in (0, 1):
         part = x[y == c]
@@ -49,6 +49,13 @@ def test_sums_give_the_class_densities(spark):
     assert np.allclose(m.scores(x), want, atol=1e-4)
 
 
+def test_short_texts_are_not_condemned(spark):
+    rows = queries.op1_quality_model(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet"), "doc_id").join(
+        spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").collect()
+    short = [r for r in rows if 0 < len(r.text.split()) < 10 and r.quality == 1]
+    assert all(r.predicted == 1 for r in short)
+
+
 def test_model_without_two_classes(spark):
     none = M.fit(M.with_statistics(empty(spark)).select("statistics", F.lit(1).alias("label")))
     assert none.scores(np.zeros((2, len(M.FEATURES)))).tolist() == [0.5, 0.5]
