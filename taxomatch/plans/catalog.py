@@ -566,6 +566,13 @@ def answers_file(spark: SparkSession, d: str) -> DataFrame:
     return A.read_answers(spark, path)
 
 
+@query
+def answers_array(spark: SparkSession, d: str) -> DataFrame:
+    """K1: the one-array form, for a result of known size (one answer per embedding at most)."""
+    n = X.table(spark, d, "embeddings").count()
+    return A.answers_as_array(C.classify_direct(X.vec_queries(spark, d), X.vec_items(spark, d)), n)
+
+
 @query
 def word_vectors_file(spark: SparkSession, d: str) -> DataFrame:
     """Word vectors as a text file, read, stored as a table, read again."""

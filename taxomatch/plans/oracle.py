@@ -467,6 +467,9 @@ _q("product_docs", f"""WITH {_PROD}
 SELECT uid, row_number() OVER (ORDER BY uid) - 1 AS prod_idx, 'products.csv' AS source,
        {_head('title')} || {_suffix(_labels('vendor_category'), ' categorize as ')} AS text FROM prod""")
 ORACLE["answers_file"] = ORACLE["classify_direct"]
+_q("answers_array", f"WITH a AS ({ORACLE['classify_direct']}) "
+   "SELECT '[' || string_agg('{\"_id\":\"' || _id || '\",\"category\":\"' || category || '\"}', ',' ORDER BY _id) || ']' AS json "
+   "FROM a")
 _q("word_vectors_file", f"""WITH {_WORD_VECS}
 SELECT word, len(vec) AS dim, round(vec[1], 6) AS v1, round(vec[-1], 6) AS vlast FROM word_vecs""")
 _q("store_drops", """

@@ -3,8 +3,8 @@
 The answer of a run is one row per product, ``_id`` and ``category``.  It is
 written as JSON lines in parallel (one part file per partition - the per-slice
 answer files of a sliced run are these part files).  The one-array form
-``[{"_id": .., "category": ..}, ...]`` is only built for small results and
-refuses more than ``max_rows`` rows.
+``[{"_id": .., "category": ..}, ...]`` is only built for small results: the
+caller states the number of rows that it may have.
 """
 
 from __future__ import annotations
@@ -25,8 +25,9 @@ def write_answers(answers: DataFrame, path: str, mode: str = "overwrite", slices
     out.write.mode(mode).json(path)
 
 
-def answers_as_array(answers: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """One row, one column ``json``: the whole answer as one JSON array.
+def answers_as_array(answers: DataFrame, max_rows: int) -> DataFrame:
+    """One row, one column ``json``: the whole answer as one JSON array of at most
+    ``max_rows`` answers (the caller states what one task may hold).
 
     A single string of every answer is by definition one task's worth of
     data, so the size is checked first.
