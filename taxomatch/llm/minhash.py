@@ -13,7 +13,10 @@
 * Links count only if the full sets reach the similarity.
 
 No step gathers more than about ``REGION`` members: a crowded region is
-deepened, and dealt by hash into parts in which its members meet as well.
+deepened, and dealt by hash into parts in which its members meet as well.  This
+only joins most of a crowd early; the members of different components of a
+crowded region are then compared block against block, so that the texts that
+meet are the same at every size: those with a common region of ``FIRST`` minima.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +42,8 @@ FIRST = 3
 REGION = 1500
 #: Depths tried one after the other in crowded regions; the last is the whole signature.
 DEPTHS = (4, 5, 6, 8, 11, 16, 24, 48, SIZE)
+#: Members of a crowded region that all its parts hold.
+HUBS = 8
 _CHUNK = 512
 
 
@@ -165,31 +171,72 @@ def _keyed(df: DataFrame, depth: int | None) -> DataFrame:
     return df.select(*cols).mapInArrow(run, "key long, node binary, tree int")
 
 
-def regions(classes: DataFrame) -> DataFrame:
-    """(key, node) of all regions with at least two members.
+def _hubs(crowds: DataFrame) -> DataFrame:
+    """(key, node) of up to ``HUBS`` members of each crowded region that are in the
+    most crowded regions: the template of a crowd of copies is in nearly all of them."""
+    score = written(crowds.groupBy("node").agg(F.count(F.lit(1)).alias("score")), "scores")
+    slot = F.pmod(F.xxhash64("node"), F.lit(HUBS)).alias("slot")
+    best = crowds.join(score, "node").groupBy("key", slot).agg(F.max(F.struct("score", "node")).alias("best"))
+    return best.select("key", F.col("best.node").alias("node"))
+
+
+def regions(classes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(key, node) of regions with at least two members that one task compares, and
+    (key, node) of the regions of ``FIRST`` minima that are too large for one.
 
     A region over ``REGION`` members is deepened, and is also dealt by a hash of
-    its members into parts of about half that size, each with the region's first
-    member: a text that a deeper prefix parts from a crowd of near copies still
-    meets many of them."""
+    its members into parts of about half that size, each with the region's hubs.
+    This finds most links of a crowd; ``_blocks`` compares what it leaves."""
     def counted(rows: DataFrame) -> DataFrame:
-        own = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first")).where("n > 1")
+        own = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         return written(rows.join(own, "key"), "regions")
 
-    out, crowded = None, None
+    out, crowds = None, []
     for depth in (FIRST, *DEPTHS):
-        rows = classes if crowded is None else crowded.select("node", "tree").join(classes, "node")
-        found = counted(_keyed(rows, None if crowded is None else depth))
+        rows = crowds[-1].select("node", "tree").join(classes, "node") if crowds else classes
+        found = counted(_keyed(rows, depth if crowds else None))
         crowded = found.where(F.col("n") > REGION)
         small = found.where(F.col("n") <= REGION).select("key", "node")
         out = small if out is None else out.unionByName(small)
         if crowded.isEmpty():
             break
-        part = F.pmod(F.xxhash64("key", "node"), F.ceil(F.col("n") / (REGION // 2)))
-        cut = crowded.select(F.xxhash64("key", part).alias("key"), "node", "first")
-        out = out.unionByName(cut.select("key", "node")).unionByName(
-            cut.select("key", F.col("first").alias("node")).distinct())
-    return out.distinct()
+        crowds.append(crowded)
+    if not crowds:
+        return out.distinct(), None
+    every = reduce(DataFrame.unionByName, crowds)
+    part = F.pmod(F.xxhash64("key", "node"), F.ceil(F.col("n") / (REGION // 2)))
+    cut = every.select("key", F.xxhash64("key", part).alias("part"), "node")
+    hubs = cut.select("key", "part").distinct().join(_hubs(every), "key")
+    for rows in (cut, hubs):
+        out = out.unionByName(rows.select(F.col("part").alias("key"), "node"))
+    return out.distinct(), crowds[0].select("key", "node")
+
+
+def _blocks(members: DataFrame) -> DataFrame:
+    """(key, node, label, ..) of crowded regions -> the same columns, a key for each
+    two blocks of about ``REGION / 2`` members of a region, so that any two members
+    of different labels meet under a key.  Labels that fill blocks of their own are
+    not compared with themselves."""
+    half = REGION // 2
+    sizes = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("of_label"))
+    large = sizes.where(F.col("of_label") >= half)
+    rest = sizes.where(F.col("of_label") < half).groupBy("key").agg(F.sum("of_label").alias("others"))
+    own = F.col("of_label").isNotNull()
+    block = F.struct(
+        F.when(own, F.col("label")).alias("label"),
+        F.pmod(F.xxhash64("node"), F.ceil(F.coalesce("of_label", "others") / half)).alias("part"))
+    dealt = written(members.join(large, ["key", "label"], "left").join(rest, "key", "left")
+                    .select(*members.columns, block.alias("block")), "blocks")
+    one = dealt.groupBy("key", "block").agg(F.count(F.lit(1)).alias("n")).drop("n")
+    two = one.select("key", F.col("block").alias("other"))
+    same = F.col("block.label").isNotNull() & F.col("other.label").eqNullSafe(F.col("block.label"))
+    pairs = written(one.join(two, "key").where((F.col("block") <= F.col("other")) & ~same).withColumn(
+        "task", F.xxhash64("key", "block", "other")), "block-pairs")
+    sides = pairs.select("key", "block", "task").unionByName(
+        pairs.where("block != other").select("key", F.col("other").alias("block"), "task"))
+    met = dealt.alias("d").join(sides.alias("s"), (F.col("d.key") == F.col("s.key")) & F.col("d.block").eqNullSafe(
+        F.col("s.block")))
+    return met.select(F.col("s.task").alias("key"), *[F.col(f"d.{c}") for c in members.columns if c != "key"])
 
 
 def _by_region(df: DataFrame, columns: list[str], of, schema: str) -> DataFrame:
@@ -368,28 +415,45 @@ def _placed(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
             F.first("signature").alias("signature")),
         "classes")
     small = classes.select("node", "n_shingles", _low_bytes("signature").alias("bytes"))
-    members = written(regions(classes).join(small, "node"), "members")
+    compared, crowds = regions(classes)
+    members = written(compared.join(small, "node"), "members")
+
+    def fetched(nodes: DataFrame) -> DataFrame:
+        wanted = classes.join(nodes, "node").where("doc_id IS NOT NULL").select("doc_id", F.col("node").alias("wanted"))
+        wanted = written(wanted, "wanted")
+        near = with_ids(docs, wanted.select("doc_id").distinct()).join(wanted, "doc_id")
+        return written(_sets(near, rule.words).dropDuplicates(["node"]), "sets")
 
     first = written(_candidates(members, rule), "pairs")
-    nodes = first.select(F.col("a").alias("node")).unionByName(first.select(F.col("b").alias("node"))).distinct()
-    wanted = classes.join(nodes, "node").where("doc_id IS NOT NULL").select("doc_id", F.col("node").alias("wanted"))
-    wanted = written(wanted, "wanted")
-    near = with_ids(docs, wanted.select("doc_id").distinct()).join(wanted, "doc_id")
-    sets = written(_sets(near, rule.words).dropDuplicates(["node"]), "sets")
+    sets = fetched(first.select(F.col("a").alias("node")).unionByName(first.select(F.col("b").alias("node"))).distinct())
     links = written(_confirmed(first, sets, rule), "links")
     joined = components(links)
 
-    # What is left: candidates between different components of one region.
-    label = members.join(joined, "node", "left").withColumn("label", F.coalesce("root", "node"))
-    mixed = label.groupBy("key").agg(
-        F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n"),
-        F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("content")).where("lo != hi")
-    mixed = mixed.groupBy("n", "content").agg(F.min("key").alias("key")).select("key")  # equal regions once
-    crossing = written(_crossing(label.join(mixed, "key", "left_semi"), rule), "crossing")
-    more = written(_linked_across(crossing, sets, rule), "more-links")
-    if not more.isEmpty():
+    def mixed(rows: DataFrame) -> DataFrame:
+        """The rows, with labels, of the regions that hold several components."""
+        label = rows.join(joined, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+        keys = label.groupBy("key").agg(
+            F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n"),
+            F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("content")).where("lo != hi")
+        keys = keys.groupBy("n", "content").agg(F.min("key").alias("key")).select("key")  # equal regions once
+        return label.join(keys, "key", "left_semi")
+
+    def with_more(more: DataFrame) -> DataFrame:
+        if more.isEmpty():
+            return joined
         stars = joined.select(F.col("node").alias("a"), F.col("root").alias("b"))
-        joined = components(stars.unionByName(more))
+        return components(stars.unionByName(more))
+
+    # What is left: candidates between different components of one region.
+    crossing = written(_crossing(mixed(members), rule), "crossing")
+    joined = with_more(written(_linked_across(crossing, sets, rule), "more-links"))
+    if crowds is not None:
+        apart = written(mixed(crowds), "crowds")
+        if not apart.isEmpty():
+            crossing = written(_crossing(_blocks(apart.join(small, "node")), rule), "crowd-crossing")
+            new = crossing.select("node").distinct().join(sets, "node", "left_anti")
+            sets = sets.unionByName(fetched(new))
+            joined = with_more(written(_linked_across(crossing, sets, rule), "crowd-links"))
     roots = classes.select("node").join(joined, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
     return signed.drop("signature"), roots
 

@@ -79,6 +79,34 @@ def test_crowded_regions_are_deepened_and_cut(spark, monkeypatch):
     assert result(odd(spark, rows), RULES[0]) == brute(rows, RULES[0])
 
 
+def star(seed, copies, words=200):
+    """A template and copies, each linked to it but not to each other."""
+    r = random.Random(seed)
+    base = [f"t{i}" for i in range(words)]
+    rows = [(copies // 2, " ".join(base))]
+    for c in range(copies + 1):
+        if c != copies // 2:
+            t = list(base)
+            for at in r.sample(range(words // 4), 5):
+                t[4 * at + 1] = f"c{c}-{at}"
+            rows.append((c, " ".join(t)))
+    return rows
+
+
+@pytest.mark.parametrize("hubs", (True, False))
+def test_copies_of_a_template_that_are_not_near_each_other(spark, monkeypatch, hubs):
+    """Every copy meets its template in a crowd, by the hubs and by the blocks alone."""
+    monkeypatch.setattr(M, "REGION", 24)
+    if not hubs:
+        monkeypatch.setattr(M, "_hubs", lambda crowds: crowds.select("key", "node").limit(0))
+    rows = star(4, 700)
+    sets = sets_of(rows, 3)
+    linked = lambda a, b: RULES[0].linked(len(sets[a] & sets[b]), len(sets[a] | sets[b]))
+    assert all(linked(350, i) for i in sets) and sum(linked(9, i) for i in sets) < 9
+    got = M.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), RULES[0]).collect()
+    assert [r.doc_id for r in got if r.component_id != 0] == []
+
+
 def test_odd_rows(spark):
     got = M.near_duplicates(odd(spark), RULES[0]).collect()
     assert len(got) == len(ROWS)
