@@ -568,9 +568,14 @@ def answers_file(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def answers_array(spark: SparkSession, d: str) -> DataFrame:
-    """K1: the one-array form, for a result of known size (one answer per embedding at most)."""
-    n = X.table(spark, d, "embeddings").count()
-    return A.answers_as_array(C.classify_direct(X.vec_queries(spark, d), X.vec_items(spark, d)), n)
+    """K1: the one-array form as one string, refused over 100,000 answers (``answers_parts`` has no bound)."""
+    return A.answers_as_array(C.classify_direct(X.vec_queries(spark, d), X.vec_items(spark, d)))
+
+
+@query
+def answers_parts(spark: SparkSession, d: str) -> DataFrame:
+    """K1: the one-array form of any size, as ordered parts of 100 answers."""
+    return A.answers_as_parts(C.classify_direct(X.vec_queries(spark, d), X.vec_items(spark, d)), 100)
 
 
 @query

@@ -470,6 +470,12 @@ ORACLE["answers_file"] = ORACLE["classify_direct"]
 _q("answers_array", f"WITH a AS ({ORACLE['classify_direct']}) "
    "SELECT '[' || string_agg('{\"_id\":\"' || _id || '\",\"category\":\"' || category || '\"}', ',' ORDER BY _id) || ']' AS json "
    "FROM a")
+_q("answers_parts", f"""WITH a AS ({ORACLE['classify_direct']}),
+n AS (SELECT *, row_number() OVER (ORDER BY _id) - 1 AS idx, count(*) OVER () AS total FROM a)
+SELECT idx // 100 AS part, CASE WHEN idx // 100 = 0 THEN '[' ELSE ',' END
+       || string_agg('{{"_id":"' || _id || '","category":"' || category || '"}}', ',' ORDER BY idx)
+       || CASE WHEN max(idx) = max(total) - 1 THEN ']' ELSE '' END AS json
+FROM n GROUP BY idx // 100""")
 _q("word_vectors_file", f"""WITH {_WORD_VECS}
 SELECT word, len(vec) AS dim, round(vec[1], 6) AS v1, round(vec[-1], 6) AS vlast FROM word_vecs""")
 _q("store_drops", """

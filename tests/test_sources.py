@@ -3,6 +3,8 @@
 import json
 import os
 
+import pytest
+
 from taxomatch.sources import answers as A
 from taxomatch.sources import csv as CSV
 from taxomatch.sources import wordvec as WV
@@ -58,6 +60,19 @@ def test_answers_roundtrip(spark, scratch):
     assert arr == [{"_id": "1", "category": "a/b"}, {"_id": "2", "category": "c"}]
 
 
+def test_answers_as_parts(spark, monkeypatch):
+    rows = [(f"{i:02d}", f"a/{i}\"") for i in range(25)]
+    ans = spark.createDataFrame(rows, "_id string, category string").repartition(3)
+    for n in (1, 10, 25, 100):
+        parts = sorted(A.answers_as_parts(ans, n).collect())
+        assert [p.part for p in parts] == list(range(-(-25 // n)))
+        assert [(x["_id"], x["category"]) for x in json.loads("".join(p.json for p in parts))] == rows
+    assert [tuple(p) for p in A.answers_as_parts(ans.limit(0)).collect()] == [(0, "[]")]
+    monkeypatch.setattr(A, "MAX_ARRAY_ROWS", 20)
+    with pytest.raises(ValueError):  # whatever the caller states
+        A.answers_as_array(ans, 1000)
+
+
 def test_word2vec_text_format(spark, scratch):
     path = f"{scratch}/wv/vectors.txt"
     _write(path, "2 3\nfoo 1 2 3\nbar 0.5 0 -1\n")
