@@ -43,6 +43,8 @@ DIGIT_GROUPS = re.compile(r"[0-9]+(?:[ -]?[0-9]+)*")
 DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 CALL = re.compile(r"[0-9][ ().0-9-]+")
 GROUP = re.compile(r"[0-9]+")
+#: Sizes of the groups in which card numbers are printed.
+PRINTED = ((4, 4, 4, 4), (4, 6, 5), (4, 4, 4, 4, 3), (4, 6, 4))
 USER_INFO = re.compile(r"[^\s/?#@\"'<>]+@[^\s/?#@\"'<>]+[^\s\"'<>]*")
 ASSIGNED = re.compile(r"[ \t]{0,3}[=:][ \t]{0,3}[\"']?")
 SECRET = re.compile(r"[A-Za-z0-9_/+.=-]{8,}")
@@ -138,10 +140,30 @@ class Finder:
         digits = m[0].replace(" ", "").replace("-", "")
         if 12 <= len(digits) <= 19 and luhn(digits):
             out.append(("card", m.start(), m.end()))
-        elif len(digits) > 19:
-            for g in GROUP.finditer(m[0]):
-                if 12 <= len(g[0]) <= 19 and luhn(g[0]):
-                    more.append(("number", m.start() + g.start(), m.start() + g.end()))
+        else:
+            more += [("number", m.start() + i, m.start() + j) for i, j in Finder._cards(m[0])]
+
+    @staticmethod
+    def _cards(run: str) -> list[tuple[int, int]]:
+        """Card numbers that run into other digits: from the left, an unbroken group
+        or groups as they are printed on cards; no group is used twice."""
+        groups = [(g.start(), g.end()) for g in GROUP.finditer(run)]
+        sizes = [j - i for i, j in groups]
+        out, k = [], 0
+        while k < len(groups):
+            n = 0
+            if len(groups) > 1 or sizes[0] > 19:
+                n = int(12 <= sizes[k] <= 19 and luhn(run[groups[k][0] : groups[k][1]]))
+            for form in () if n else PRINTED:
+                if tuple(sizes[k : k + len(form)]) == form:
+                    i, j = groups[k][0], groups[k + len(form) - 1][1]
+                    if luhn(run[i:j].replace(" ", "").replace("-", "")):
+                        n = len(form)
+                        break
+            if n:
+                out.append((groups[k][0], groups[k + n - 1][1]))
+            k += n or 1
+        return out
 
     @staticmethod
     def _ips(m: re.Match, out: list) -> None:

@@ -74,3 +74,14 @@ def test_query(spark):
         assert set(text.split(",")) - {""} <= set(r.spans.split(","))
         seen += len(base)
     assert seen > 10
+
+
+def test_grouped_cards_that_run_into_other_digits():
+    card, amex = "4111 1111 1111 1111", "3782-822463-10005"
+    find = D.Finder().spans
+    numbers = lambda t: [t[i:j] for k, i, j in find(t) if k == "number"]
+    assert numbers(f"{card} {card}") == [card, card]
+    assert numbers(f"pay 12 {card} now") == [card]
+    assert numbers(f"{amex} 99") == [amex]
+    assert numbers("4111 1111 1111 1112 77") == []
+    assert numbers("12 4111111111111111") == ["4111111111111111"]
