@@ -411,7 +411,7 @@ def _placed(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     signed = written(_signed(docs, rule.words), "signatures")
     classes = written(
         signed.where("node IS NOT NULL").groupBy("node").agg(
-            F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"),
+            F.min("text_key").alias("text_key"), F.first("n_shingles").alias("n_shingles"),
             F.first("signature").alias("signature")),
         "classes")
     small = classes.select("node", "n_shingles", _low_bytes("signature").alias("bytes"))
@@ -419,9 +419,10 @@ def _placed(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     members = written(compared.join(small, "node"), "members")
 
     def fetched(nodes: DataFrame) -> DataFrame:
-        wanted = classes.join(nodes, "node").where("doc_id IS NOT NULL").select("doc_id", F.col("node").alias("wanted"))
+        wanted = classes.join(nodes, "node").select(F.col("text_key").alias("doc_id"), F.col("node").alias("wanted"))
         wanted = written(wanted, "wanted")
-        near = with_ids(docs, wanted.select("doc_id").distinct()).join(wanted, "doc_id")
+        texts = docs.select(F.col("text_key").alias("doc_id"), "text")  # a key that is never null
+        near = with_ids(texts, wanted.select("doc_id").distinct()).join(wanted, "doc_id")
         return written(_sets(near, rule.words).dropDuplicates(["node"]), "sets")
 
     first = written(_candidates(members, rule), "pairs")
@@ -467,16 +468,15 @@ def near_duplicates(df: DataFrame, rule: Rule, doc_id: str = "doc_id", text: str
     equal sets (copies, repeated rows) always share a component.  Rows of one
     doc_id with different texts are separate texts; a null doc_id joins its
     text's component, is never a component_id and never kept where the
-    component has an id (a text that only rows without id have is linked to
-    equal sets only).  Other columns are not looked at.
+    component has an id.  Other columns are not looked at.
     """
     docs = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"),
-                     F.lit(0).cast("long").alias("text_key"))
+                     F.xxhash64(f"`{doc_id}`", f"`{text}`").alias("text_key"))
     rows, roots = _placed(docs, rule)
     own = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(roots, "node")
     low = own.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     labels = own.join(low, "root").select("node", "component_id")
-    out = rows.join(labels, "node", "left")
+    out = rows.drop("text_key").join(labels, "node", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"),
                       F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))

@@ -133,6 +133,15 @@ def test_one_of_each(spark):
     assert set(CLASHES) <= set(kept.columns)
 
 
+def test_near_texts_without_ids(spark):
+    words = [f"n{i}" for i in range(60)]
+    texts = [" ".join(words), " ".join([*words, "more"]), " ".join([*words, "other"])]
+    df = spark.createDataFrame([(None, texts[0]), (None, texts[1]), (7, texts[2])], "doc_id long, text string")
+    got = M.near_duplicates(df, RULES[0]).collect()
+    assert sorted((r.component_id, r.kept) for r in got) == [(7, False), (7, False), (7, True)]
+    assert [r.doc_id for r in M.one_of_each(df, RULES[1]).collect()] == [7]
+
+
 def test_components(spark):
     r = random.Random(5)
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, 100 + i) for i in range(1, 50)]
