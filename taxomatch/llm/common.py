@@ -140,3 +140,20 @@ def member(a: np.ndarray, of: np.ndarray) -> np.ndarray:
     at = np.searchsorted(of, a)
     at[at == len(of)] = 0
     return of[at] == a
+
+
+#: A key with a larger share of the rows than one in so many is hot; there are fewer hot keys than this.
+HOT_SHARE = 1000
+
+
+def hot_join(rows: DataFrame, keyed: DataFrame, on: str, n_rows: Column) -> DataFrame:
+    """Inner equi-join of ``rows`` with ``keyed``, a written table of one row per key.
+
+    ``n_rows``: how many of ``rows`` have the key, an expression over ``keyed``.  The
+    hot keys, under ``HOT_SHARE`` of them by construction, are broadcast; the rows of
+    the other keys are joined by shuffle, so no task gets one key's large share."""
+    total = keyed.agg(F.sum(n_rows).alias("n")).first().n or 0
+    is_hot = n_rows * HOT_SHARE > F.lit(total)
+    hot = keyed.where(is_hot)
+    rest = rows.join(F.broadcast(hot.select(on)), on, "left_anti")
+    return rows.join(F.broadcast(hot), on).unionByName(rest.join(keyed.where(~is_hot), on))

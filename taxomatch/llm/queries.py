@@ -7,7 +7,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taxomatch.llm import byte_bpe, minhash, pii, quality_model, quality_rules, substring_dedup, suffix_dedup, tiling, token_count, url_rules
+from taxomatch.llm import (byte_bpe, collocations, minhash, pii, prefix_trie, quality_model, quality_rules, sharding,
+                           substring_dedup, suffix_dedup, tiling, token_count, url_rules)
 from taxomatch.llm.common import table, written
 
 
@@ -68,6 +69,21 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_windows(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.turn_digests(table(spark, sf_dir, "conversations"))
+    return prefix_trie.prefix_trie(prefix_trie.chained(turns, heads=True))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dealt = sharding.shard_documents(table(spark, sf_dir, "documents"), 16)
+    return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                        F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES = {
     "op1_quality_model": op1_quality_model,
     "op2_quality_rules": op2_quality_rules,
@@ -79,9 +95,15 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_url_rules": op9_url_rules,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_collocations": op11_collocations,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_sharding": op13_sharding,
 }
 
 ORACLE = {
     "op2_quality_rules": quality_rules.oracle(),
     "op9_url_rules": url_rules.oracle(),
+    "op11_collocations": collocations.oracle(),
+    "op12_prefix_trie": prefix_trie.oracle(),
+    "op13_sharding": sharding.oracle(),
 }
