@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taxomatch.llm.common import hot_join, written
-from taxomatch.operators.rows import with_row_index
+from taxomatch.operators.rows import range_partitions, with_row_index
 
 #: Up to this many size classes (some 100 MB) are broadcast to the groups; more are joined by shuffle.
 BROADCAST_CLASSES = 500_000
@@ -109,7 +109,7 @@ def shard_documents(df: DataFrame, shards: int = 16, doc_id: str = "doc_id", tex
                              F.crc32(t).alias("text_crc32"), F.unhex(F.sha2(t, 256)).alias("text_key")), "shard-rows")
     dealt = sharded(rows, "text_key", "size", shards).drop("text_key")
     order: list[str | Column] = ["shard", "place", F.asc_nulls_first("doc_id")]
-    numbered = with_row_index(dealt, order, "position")
+    numbered = with_row_index(dealt, order, "position", num_partitions=range_partitions(rows))
     first = numbered.groupBy("shard").agg(F.min("position").alias("first"))  # one row per shard
     return numbered.join(F.broadcast(first), "shard").select(
         "doc_id", "size", "text_crc32", F.col("shard").cast("int").alias("shard"),
