@@ -31,7 +31,7 @@ def estimated_bytes(df: DataFrame) -> int | None:
         return None
 
 
-def _range_partitions(df: DataFrame) -> int:
+def range_partitions(df: DataFrame) -> int:
     """Range partitions for a re-numbering: one per ~128 MB of estimated input,
     at least min(cores, ``spark.sql.shuffle.partitions``).  Sized up front from
     the plan estimate (asking the RDD would run the upstream shuffles)."""
@@ -48,7 +48,7 @@ def placed(df: DataFrame, cols: list, num_partitions: int | None = None) -> Data
     """``df`` range-partitioned and sorted on ``cols``, with ``_pid`` (the range)
     and ``_local`` (0-based place in it), written once under the checkpoint
     folder: whatever reads it sees the same ranges."""
-    ranged = df.repartitionByRange(num_partitions or _range_partitions(df), *cols)
+    ranged = df.repartitionByRange(num_partitions or range_partitions(df), *cols)
     s = ranged.sortWithinPartitions(*cols).withColumn("_mid", F.monotonically_increasing_id())
     return materialize(s.withColumns({
         "_pid": F.shiftright(F.col("_mid"), 33), "_local": F.col("_mid").bitwiseAND(F.lit(_LOW_BITS)),
