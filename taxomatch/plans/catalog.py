@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from taxomatch.functions import text as TX
@@ -19,6 +19,7 @@ from taxomatch.operators import docs as D
 from taxomatch.operators import embed as EM
 from taxomatch.operators import knn as K
 from taxomatch.operators import rows as R
+from taxomatch.operators import skipgram as SG
 from taxomatch.operators import vote as V
 from taxomatch.operators import words as W
 from taxomatch.plans import classify as C
@@ -407,6 +408,45 @@ def word2vec_train(spark: SparkSession, d: str) -> DataFrame:
     return wv.select("word", F.size("vec").cast("long").alias("dim"))
 
 
+def _start_vectors(spark, d) -> DataFrame:
+    """Vectors to start from for the words of the corpus that have one."""
+    return X.word_vecs(spark, d)
+
+
+@query
+def word2vec_start(spark: SparkSession, d: str) -> DataFrame:
+    """Training from given vectors, no epoch: the start vectors; words without one get others."""
+    vectors, _ = SG.train(_doc_corpus(spark, d), _start_vectors(spark, d), 64, epochs=0)
+    return vectors.select("word", "count", "started", F.size("vec").cast("long").alias("dim"),
+                          F.when(F.col("started"), F.round(F.element_at("vec", 1), 5)).alias("v1"),
+                          F.when(F.col("started"), F.round(F.element_at("vec", -1), 5)).alias("vlast"))
+
+
+@query
+def word2vec_continue(spark: SparkSession, d: str) -> DataFrame:
+    """Two epochs from given vectors on the product corpus: words, widths, and that
+    every start vector has moved (the vectors themselves depend on drawn noise words)."""
+    start = _start_vectors(spark, d)
+    corpus = W.build_corpus(X.cat(spark, d), X.prod(spark, d))
+    # Product words take the start vectors of the document vocabulary in order of their rank.
+    ranked = R.with_row_index(W.vocabulary(corpus), ["word"], "rank").select("rank", F.col("word").alias("own"))
+    given = R.with_row_index(start, ["word"], "rank").join(ranked, "rank").select(F.col("own").alias("word"), "vec")
+    vectors, _ = SG.train(corpus, given, 64, epochs=2)
+    moved = vectors.join(given.select("word", F.col("vec").alias("first")), "word", "left")
+    return moved.select("word", "count", "started", F.size("vec").cast("long").alias("dim"),
+                        F.when(F.col("started"), F.col("vec") != F.col("first")).alias("moved"))
+
+
+@query
+def word2vec_losses(spark: SparkSession, d: str) -> DataFrame:
+    """The losses of three epochs: every pair of the corpus once in each, each loss under that before."""
+    corpus = W.build_corpus(X.cat(spark, d), X.prod(spark, d))
+    _, report = SG.train(corpus, None, 32, epochs=3)
+    before = F.lag("loss").over(Window.orderBy("epoch"))  # one row per epoch
+    return report.select(F.col("epoch").cast("long").alias("epoch"), "n_pairs",
+                         F.coalesce(F.col("loss") < before, F.lit(True)).alias("lower"))
+
+
 def _doc_vectors(spark, d):
     """Document vectors, written once (a stored collection): the search sizes
     its blocks from them and then reads them, without recomputing."""
@@ -566,12 +606,6 @@ def answers_file(spark: SparkSession, d: str) -> DataFrame:
     return A.read_answers(spark, path)
 
 
-@query
-def answers_array(spark: SparkSession, d: str) -> DataFrame:
-    """K1: the one-array form as one string, refused over 100,000 answers (``answers_parts`` has no bound)."""
-    return A.answers_as_array(C.classify_direct(X.vec_queries(spark, d), X.vec_items(spark, d)))
-
-
 @query
 def answers_parts(spark: SparkSession, d: str) -> DataFrame:
     """K1: the one-array form of any size, as ordered parts of 100 answers."""

@@ -39,7 +39,7 @@ def vec_items(spark: SparkSession, sf_dir: str, models=("principal",)) -> DataFr
     no = F.floor(F.col("vec_id") / ITEM_STEP)
     e = e.select(
         F.col("vec_id").alias("doc_ord"),
-        F.concat(F.lit("cat/"), F.lpad(F.floor(no / 2).cast("string"), 3, "0")).alias("path"),
+        F.concat(F.lit("cat/"), F.lpad(F.floor(no / 2).cast("string"), 19, "0")).alias("path"),
         F.when(no % 2 == 0, F.lit("ALL")).otherwise(F.lit("LAST")).alias("cat_type"),
         F.explode(model_vectors(F.col("embedding").cast("array<double>"), models)).alias("m"))
     return e.select("m.model", "doc_ord", "path", "cat_type", "m.vec")

@@ -22,7 +22,7 @@ def vec_ctes(models=("principal",)) -> str:
     return f"""
 items AS (
   SELECT ms.model, e.vec_id AS doc_ord,
-         'cat/' || lpad(CAST(e.vec_id // 8 AS VARCHAR), 3, '0') AS path,
+         'cat/' || lpad(CAST(e.vec_id // 8 AS VARCHAR), 19, '0') AS path,
          CASE WHEN e.vec_id // 4 % 2 = 0 THEN 'ALL' ELSE 'LAST' END AS cat_type,
          CAST(list_slice(e.embedding, ms.lo, ms.hi) AS DOUBLE[]) AS vec
   FROM embeddings e, {_MODELS}
@@ -444,6 +444,31 @@ SELECT word, CAST(32 AS BIGINT) AS dim FROM (SELECT unnest(w) AS word FROM corpu
 HAVING count(*) >= 2""")
 
 
+def _pairs(w: int) -> str:
+    """(center, context) of the corpus at most ``w`` tokens apart, both frequent."""
+    return f"""{_CORPUS},
+tk AS (SELECT row_number() OVER () AS s, w FROM corpus_w WHERE len(w) > 0),
+tp AS (SELECT s, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM tk),
+cv AS (SELECT word, count(*) AS count FROM tp GROUP BY word HAVING count(*) >= 2),
+tf AS (SELECT tp.* FROM tp JOIN cv USING (word)),
+pairs AS (SELECT a.word AS center, b.word AS context FROM tf a JOIN tf b
+          ON a.s = b.s AND b.i BETWEEN a.i - {w} AND a.i + {w} AND a.i <> b.i)"""
+
+
+_q("word2vec_start", f"""WITH {_WORD_VECS}, dwords AS (SELECT word, count(*) AS count FROM (SELECT unnest(w) AS word FROM
+    (SELECT {_clean_words('text')} AS w FROM documents)) GROUP BY word HAVING count(*) >= 2)
+SELECT word, count, wv.vec IS NOT NULL AS started, CAST(64 AS BIGINT) AS dim, round(CAST(wv.vec[1] AS FLOAT)::DOUBLE, 5) AS v1,
+       round(CAST(wv.vec[-1] AS FLOAT)::DOUBLE, 5) AS vlast
+FROM dwords LEFT JOIN word_vecs wv USING (word)""")
+_q("word2vec_continue", f"""WITH {_CORPUS}, {_WORD_VECS},
+cv AS (SELECT word, count(*) AS count FROM (SELECT unnest(w) AS word FROM corpus_w) GROUP BY word HAVING count(*) >= 2),
+n AS (SELECT count(*) AS n FROM word_vecs)
+SELECT word, count, row_number() OVER (ORDER BY word) <= n AS started, CAST(64 AS BIGINT) AS dim,
+       CASE WHEN row_number() OVER (ORDER BY word) <= n THEN true END AS moved FROM cv, n""")
+_q("word2vec_losses", f"""WITH {_pairs(5)}, n AS (SELECT count(*) AS n_pairs FROM pairs)
+SELECT unnest([1, 2, 3])::BIGINT AS epoch, n_pairs, true AS lower FROM n""")
+
+
 # --------------------------------------------------------------------------- physical forms, column functions, files
 
 ORACLE["knn_blocks"] = ORACLE["knn_waves"] = ORACLE["knn_topk_by_type"]
@@ -467,9 +492,6 @@ _q("product_docs", f"""WITH {_PROD}
 SELECT uid, row_number() OVER (ORDER BY uid) - 1 AS prod_idx, 'products.csv' AS source,
        {_head('title')} || {_suffix(_labels('vendor_category'), ' categorize as ')} AS text FROM prod""")
 ORACLE["answers_file"] = ORACLE["classify_direct"]
-_q("answers_array", f"WITH a AS ({ORACLE['classify_direct']}) "
-   "SELECT '[' || string_agg('{\"_id\":\"' || _id || '\",\"category\":\"' || category || '\"}', ',' ORDER BY _id) || ']' AS json "
-   "FROM a")
 _q("answers_parts", f"""WITH a AS ({ORACLE['classify_direct']}),
 n AS (SELECT *, row_number() OVER (ORDER BY _id) - 1 AS idx, count(*) OVER () AS total FROM a)
 SELECT idx // 100 AS part, CASE WHEN idx // 100 = 0 THEN '[' ELSE ',' END

@@ -55,14 +55,14 @@ def answers_as_parts(answers: DataFrame, part_rows: int = PART_ROWS) -> DataFram
         F.floor(idx / part_rows).alias("part"), "idx", "_id", "category")
     rows = F.array_sort(F.collect_list(F.struct("idx", "_id", "category")))
     pairs = F.transform(rows, lambda x: F.struct(x["_id"].alias("_id"), x["category"].alias("category")))
+    n = own.count()  # of the written positions
+    if not n:
+        return answers.sparkSession.createDataFrame([(0, "[]")], "part long, json string")
     parts = own.groupBy("part").agg(F.to_json(pairs).alias("json"), F.max("idx").alias("last"))
-    ends = own.agg((F.max("idx")).alias("end"), F.count(F.lit(1)).alias("n"))
     inner = F.expr("substring(json, 2, length(json) - 2)")
-    out = parts.join(F.broadcast(ends)).select("part", F.concat(
+    return parts.select("part", F.concat(
         F.when(F.col("part") == 0, "[").otherwise(","), inner,
-        F.when(F.col("last") == F.col("end"), "]").otherwise("")).alias("json"))
-    none = ends.where("n = 0").select(F.lit(0).cast("long").alias("part"), F.lit("[]").alias("json"))
-    return out.unionByName(none)
+        F.when(F.col("last") == n - 1, "]").otherwise("")).alias("json"))
 
 
 def read_answers(spark, path: str) -> DataFrame:
