@@ -88,3 +88,44 @@ def test_answers_per_slice_files(spark, scratch):
     parts = [f for f in os.listdir(f"{scratch}/sliced") if f.startswith("part-")]
     assert len(parts) == 4
     assert A.read_answers(spark, f"{scratch}/sliced").count() == 40
+
+
+def _quoted_rows(n):
+    text = ['plain', 'a;b', 'line\none', '"said"', 'x\n\n"y;\nz"\n', '', 'é\r\nö']
+    quote = lambda v: '"' + v.replace('"', '""') + '"' if set(v) & set(';"\n\r') else v
+    rows = [(f"p{i}", text[i % 7] * (1 + i % 3), "w " * (i % 50) + text[i % 5]) for i in range(n)]
+    rows[n // 2] = ("big", "long\nvalue " * 3000, "x")  # over many ranges
+    return [";".join([u, quote(t), quote(x), "", "", "v"]) for u, t, x in rows]
+
+
+@pytest.mark.parametrize("line_sep,end", [("\n", "\n"), ("\r", "")], ids=["lf", "cr"])
+def test_split_reader_equals_multi_line(spark, scratch, line_sep, end):
+    scratch = scratch.replace("[", "-").replace("]", "-")  # no glob
+    rows = _quoted_rows(2000)
+    if line_sep == "\r":
+        rows = [r.replace("\r", "").replace("\n", "\r") if i % 3 else r.replace("\r", "") for i, r in enumerate(rows)]
+    for i in range(2):
+        _write(f"{scratch}/split/{i}.csv", line_sep.join([HEADER, *rows[i * 1000:(i + 1) * 1000]]) + end)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    cost = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        pieces = CSV.records(spark, f"{scratch}/split", line_sep)
+        assert pieces.select("file", "block").distinct().count() > 20  # many ranges, some without a start
+        got = sorted(map(tuple, CSV.read_products(spark, f"{scratch}/split", line_sep=line_sep, split=True).collect()), key=str)
+        paths = [(r.cat_idx, r.path) for r in CSV.read_categories(spark, f"{scratch}/split", split=True, line_sep=line_sep).orderBy("cat_idx").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        spark.conf.set("spark.sql.files.openCostInBytes", cost)
+    want = sorted(map(tuple, CSV.read_products(spark, f"{scratch}/split", line_sep=line_sep).collect()), key=str)
+    assert len(want) == 2000 and got == want
+    assert paths == [(i, r.split(";")[0]) for i, r in enumerate(rows)]
+    assert CSV.records(spark, f"{scratch}/split", line_sep).count() == 2000
+
+
+def test_split_reader_of_empty_and_open_files(spark, scratch):
+    _write(f"{scratch}/odd/a.csv", "")
+    _write(f"{scratch}/odd/b.csv", HEADER + "\n")
+    _write(f"{scratch}/odd/c.csv", HEADER + '\n\np1;"never closed;;;;\nx')
+    assert [r.record for r in CSV.records(spark, f"{scratch}/odd").collect()] == ['p1;"never closed;;;;\nx']
