@@ -296,14 +296,32 @@ def slice_rows(spark: SparkSession, d: str) -> DataFrame:
     return R.position_slice(_doc_positions(spark, d), 3, 11).select("idx", "doc_id")
 
 
+def _store_docs(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with a store id that is a key of their text: rows of one doc_id (or none)
+    with other texts are documents of their own, only true repeats are stored once."""
+    docs = X.table(spark, d, "documents")
+    return docs.withColumn("id", S.text_id("doc_id", "text"))
+
+
 @query
 def contains_docs(spark: SparkSession, d: str) -> DataFrame:
     """A text search in a stored collection."""
     store = S.VectorStore(spark, scratch_path(spark, f"store-{uuid.uuid4().hex}"))
-    docs = X.table(spark, d, "documents").select(
-        F.col("doc_id").cast("string").alias("id"), "text", "doc_id", "n_chars")
-    store.add_missing(docs, S.PRODUCTS, {STORE_MODELS[0]: _hashing_embedder(4)})
-    return store.find_text(S.PRODUCTS, STORE_MODELS[0], "tion ").select("doc_id", "n_chars")
+    docs = _store_docs(spark, d)
+    store.add_missing(docs.select("id", "text"), S.PRODUCTS, {STORE_MODELS[0]: _hashing_embedder(4)})
+    found = store.find_text(S.PRODUCTS, STORE_MODELS[0], "tion ").select("id")
+    return docs.join(found, "id", "left_semi").select("doc_id", "n_chars")
+
+
+@query
+def contains_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """The same search with the stored vectors."""
+    store = S.VectorStore(spark, scratch_path(spark, f"store-{uuid.uuid4().hex}"))
+    docs = _store_docs(spark, d)
+    store.add_missing(docs.select("id", "text"), S.PRODUCTS, {"letters": _letters})
+    found = store.find_text(S.PRODUCTS, "letters", "tion ", with_vectors=True).select("id", "vec")
+    vec = F.transform("vec", lambda x: x.cast("long"))
+    return docs.join(found, "id").select("doc_id", *[vec[i].alias(f"n_{c}") for i, c in enumerate(LETTERS)])
 
 
 # --------------------------------------------------------------------------- collections
@@ -327,10 +345,11 @@ def _hashing_embedder(dim: int):
 @query
 def missing_docs(spark: SparkSession, d: str) -> DataFrame:
     store = S.VectorStore(spark, scratch_path(spark, f"store-{uuid.uuid4().hex}"))
-    docs = X.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), "doc_id", "lang", "text")
+    docs = _store_docs(spark, d).select("id", "doc_id", "lang", "text")
     labelled = docs.join(X.table(spark, d, "labels").select("doc_id").distinct(), "doc_id", "left_semi")
     store.add_missing(labelled.select("id", "text"), S.PRODUCTS, {STORE_MODELS[0]: _hashing_embedder(4)})
-    return store.missing(docs, S.PRODUCTS, STORE_MODELS[0]).select("doc_id", "lang")
+    new = store.missing(docs.select("id"), S.PRODUCTS, STORE_MODELS[0])
+    return docs.join(new, "id", "left_semi").select("doc_id", "lang")
 
 
 @query
@@ -339,15 +358,28 @@ def collection_counts(spark: SparkSession, d: str) -> DataFrame:
     run only adds the missing documents, so every collection ends with each
     document exactly once."""
     store = S.VectorStore(spark, scratch_path(spark, f"store-{uuid.uuid4().hex}"))
-    docs = X.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), "text")
-    labelled = docs.join(X.table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("id")),
-                         "id", "left_semi")
+    docs = _store_docs(spark, d).select("id", "doc_id", "text")
+    labelled = docs.join(X.table(spark, d, "labels"), "doc_id", "left_semi").drop("doc_id")
+    docs = docs.drop("doc_id")
     models = {m: _hashing_embedder(16) for m in STORE_MODELS}
     store.add_missing(labelled, S.PRODUCTS, models)
     store.add_missing(docs, S.PRODUCTS, models)
     return store.counts()
 
 
+@query
+def store_batch(spark: SparkSession, d: str) -> DataFrame:
+    """A small batch against a large store: which of its rows are new.  Every tenth document
+    is changed in the batch, and the batch reads only the buckets of its own ids."""
+    store = S.VectorStore(spark, scratch_path(spark, f"store-{uuid.uuid4().hex}"))
+    docs = _store_docs(spark, d).select("id", "doc_id", "text")
+    store.add_missing(docs.select("id", "text"), S.PRODUCTS, {STORE_MODELS[0]: _hashing_embedder(4)})
+    batch = docs.where("doc_id % 50 = 0").withColumn(
+        "text", F.when(F.col("doc_id") % 100 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    batch = batch.withColumn("id", S.text_id("doc_id", "text"))
+    return store.missing(batch, S.PRODUCTS, STORE_MODELS[0]).select("doc_id")
+
+
 @query
 def collection_names(spark: SparkSession, d: str) -> DataFrame:
     return X.table(spark, d, "pages").select("page_id", S.collection_name("url").alias("name"))
@@ -591,6 +623,20 @@ def product_file(spark: SparkSession, d: str) -> DataFrame:
         "uid", "title", "description", "vendor_category", "vendor")
 
 
+@query
+def product_file_split(spark: SparkSession, d: str) -> DataFrame:
+    """A product file whose descriptions are whole texts with line breaks, read in byte ranges."""
+    path = _folder(spark, "products-quoted")
+    docs = X.table(spark, d, "documents")
+    null = F.lit(None).cast("string")
+    values = {"uniqueIdentifier": F.col("doc_id").cast("string"), "metaTitle": F.col("source"), "metaDescription": F.col("text")}
+    (docs.select(*[values.get(src, null).alias(src) for src, _ in CSV.PRODUCT_COLUMNS])
+     .write.option("sep", ";").option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False)
+     .option("ignoreTrailingWhiteSpace", False).csv(path))
+    return CSV.read_products(spark, path, split=True).select(
+        "uid", "title", F.length("description").cast("long").alias("n_chars"), F.md5("description").alias("digest"))
+
+
 @query
 def product_docs(spark: SparkSession, d: str) -> DataFrame:
     """Product documents with their positions."""
@@ -628,7 +674,7 @@ def word_vectors_file(spark: SparkSession, d: str) -> DataFrame:
 def store_drops(spark: SparkSession, d: str) -> DataFrame:
     """K6/K7: one collection dropped, one side reset; what is left is counted."""
     store = S.VectorStore(spark, _folder(spark, "store"))
-    docs = X.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), "text")
+    docs = _store_docs(spark, d).select("id", "text")
     models = {m: _hashing_embedder(4) for m in STORE_MODELS}
     store.add_missing(docs, S.PRODUCTS, models)
     store.add_missing(docs.where("length(text) % 2 = 0"), S.CATEGORIES, models)

@@ -314,10 +314,13 @@ _q("contains_docs", "SELECT doc_id, n_chars FROM documents WHERE contains(text,
 
 # --------------------------------------------------------------------------- collections
 
+_q("contains_vectors", "SELECT doc_id, " + ", ".join(
+    f"length(text) - length(replace(text, '{c}', '')) AS n_{c}" for c in "aeinorst") + " FROM documents WHERE contains(text, 'tion ')")
+_q("store_batch", "SELECT DISTINCT doc_id FROM documents WHERE doc_id % 100 = 0")
 _q("missing_docs", "SELECT d.doc_id, d.lang FROM documents d ANTI JOIN labels l USING (doc_id)")
 _q("collection_counts", """
 SELECT 'products' AS side, m.model, count(*) AS n
-FROM documents, (VALUES ('nomic-embed-text_latest'), ('mxbai-embed-large_v1')) AS m(model)
+FROM (SELECT DISTINCT doc_id, text FROM documents), (VALUES ('nomic-embed-text_latest'), ('mxbai-embed-large_v1')) AS m(model)
 GROUP BY 1, 2""")
 _q("collection_names", "SELECT page_id, translate(url, ':/', '_-') AS name FROM pages")
 
@@ -488,6 +491,8 @@ _q("vector_shapes", "SELECT count(*) AS n, min(len(embedding)) AS min_dim, max(l
 _q("category_file", f"WITH {_CAT} SELECT cat_idx, path FROM cat")
 _q("product_file", f"WITH {_PROD} SELECT uid, title, description, vendor_category, p_brand AS vendor "
    "FROM prod JOIN part ON uid = CAST(p_partkey AS VARCHAR)")
+_q("product_file_split", "SELECT CAST(doc_id AS VARCHAR) AS uid, source AS title, length(nullif(text, '')) AS n_chars, "
+   "md5(nullif(text, '')) AS digest FROM documents")
 _q("product_docs", f"""WITH {_PROD}
 SELECT uid, row_number() OVER (ORDER BY uid) - 1 AS prod_idx, 'products.csv' AS source,
        {_head('title')} || {_suffix(_labels('vendor_category'), ' categorize as ')} AS text FROM prod""")
@@ -501,8 +506,9 @@ FROM n GROUP BY idx // 100""")
 _q("word_vectors_file", f"""WITH {_WORD_VECS}
 SELECT word, len(vec) AS dim, round(vec[1], 6) AS v1, round(vec[-1], 6) AS vlast FROM word_vecs""")
 _q("store_drops", """
-SELECT 'products' AS side, 'mxbai-embed-large_v1' AS model, count(*) AS n FROM documents
-UNION ALL SELECT 'categories', 'mxbai-embed-large_v1', count(*) FROM documents WHERE length(text) % 3 = 0""")
+WITH kept AS (SELECT DISTINCT doc_id, text FROM documents)
+SELECT 'products' AS side, 'mxbai-embed-large_v1' AS model, count(*) AS n FROM kept
+UNION ALL SELECT 'categories', 'mxbai-embed-large_v1', count(*) FROM kept WHERE length(text) % 3 = 0""")
 
 
 def _letters(col: str) -> str:
