@@ -8,13 +8,18 @@
 * ``mean_words``   - mean word vectors (``operators.words.mean_vectors``).
 * ``pandas_model`` - any model as a pandas UDF ``Series[str] -> Series[array]``,
                      run on Arrow batches.
+* ``loaded_model`` - a model that is costly to load: loaded once per Python worker,
+                     equal texts embedded once.
 
 The reference calls model servers over HTTP; no client for them is built.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import sys
+import types
+import uuid
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -37,16 +42,18 @@ BROADCAST_TERMS = 2_000_000
 HOT_SHARE = 100_000
 
 
-def join_terms(rows: DataFrame, terms: DataFrame, limit: int | None = None) -> DataFrame:
+def join_terms(rows: DataFrame, terms: DataFrame, limit: int | None = None,
+               share: int | None = None) -> DataFrame:
     """``rows`` with the columns of ``terms`` (``term``, ``df``, ...) joined on ``term``.
 
     A frequent term is a hot key: beyond ``limit`` terms, those with at least
-    1 / ``HOT_SHARE`` of all occurrences (so at most ``HOT_SHARE`` of them) are
+    1 / ``share`` of all occurrences (so at most ``share`` of them) are
     broadcast and only the rows of the others are shuffled."""
+    share = share or HOT_SHARE
     size = terms.agg(F.count(F.lit(1)).alias("n"), F.sum("df").alias("total")).first()
     if size.n <= (BROADCAST_TERMS if limit is None else limit):
         return rows.join(F.broadcast(terms), "term").drop("df")
-    hot = F.col("df") * HOT_SHARE >= F.lit(size.total)
+    hot = F.col("df") * share >= F.lit(size.total)
     frequent = F.broadcast(terms.where(hot))
     rare = rows.join(frequent.select("term"), "term", "left_anti").join(terms.where(~hot), "term")
     return rows.join(frequent, "term").unionByName(rare).drop("df")
@@ -116,3 +123,54 @@ def pandas_model(fn: Callable[[pd.Series], pd.Series]) -> Callable[[DataFrame],
     def embed(df: DataFrame) -> DataFrame:
         return df.withColumn("vec", udf(F.col("text")))
     return embed
+
+
+#: Vectors of up to so many texts (some 100 MB at 768 numbers) are broadcast back to the rows.
+BROADCAST_VECTORS = 20_000
+#: Models a worker keeps; the one loaded first goes.
+KEPT_MODELS = 2
+
+
+def worker_model(name: str, load: Callable):
+    """The model ``name`` of this Python worker, loaded on its first use.
+
+    Functions of this package travel by value, so a module global would be new in
+    every task; the models hang on the interpreter, which Spark reuses between tasks."""
+    kept = sys.modules.setdefault("_taxomatch_models", types.ModuleType("_taxomatch_models")).__dict__.setdefault(
+        "kept", {})
+    if name not in kept:
+        while len(kept) >= KEPT_MODELS:
+            kept.pop(next(iter(kept)))
+        kept[name] = load()
+    return kept[name]
+
+
+def loaded_model(load: Callable[[], Callable[[list[str]], list]], name: str | None = None
+                 ) -> Callable[[DataFrame], DataFrame]:
+    """An embedder for a model that is costly to load.
+
+    ``load()`` gives a function from a list of texts to their vectors; it runs once per
+    Python worker and ``name`` (default: one name per embedder), not once per batch or
+    task.  Equal texts are embedded once: texts are made distinct (a partial aggregate, so
+    a hot text is one row per task), their vectors written once and joined back by
+    SHA-256 of the text, the few texts that make up a large share of the rows by broadcast.
+    A null text is embedded as the empty one.  All columns of the rows are kept; a column
+    ``vec`` is replaced.
+    """
+    name = name or uuid.uuid4().hex
+
+    def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = worker_model(name, load)
+        for texts in batches:
+            yield pd.Series([[float(x) for x in v] for v in model(texts.tolist())], dtype=object)
+
+    udf = F.pandas_udf(vectors, "array<double>")
+
+    def embed(df: DataFrame) -> DataFrame:
+        text = F.coalesce("text", F.lit(""))
+        texts = df.groupBy(text.alias("text")).agg(F.count(F.lit(1)).alias("df"))
+        terms = materialize(texts.select(F.sha2("text", 256).alias("term"), "df", udf("text").alias("vec")),
+                            "model-vectors")
+        rows = df.drop("vec").select(F.struct("*").alias("row"), F.sha2(text, 256).alias("term"))
+        return join_terms(rows, terms, BROADCAST_VECTORS, BROADCAST_VECTORS).select("row.*", "vec")
+    return embed

@@ -24,17 +24,45 @@ EPOCHS = 10
 BROADCAST_BYTES = 256 << 20
 
 
-def _vectors_side(word_vectors: DataFrame, dim: int | None, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """The word-vector table for a join with tokens.
-
-    Tokens are skewed (a frequent word is a hot key), so the table is
-    broadcast when its size - counted, rows x dim x 8 bytes - is under
-    ``limit``; beyond that the join is a shuffle join that AQE splits on hot
-    words.
+#: A word with a larger share of all tokens than one in so many is hot.
+HOT_SHARE = 1000
+#: Words a summary tracks.  Its counts are off by at most 3.5 / HOT_TRACKED of all tokens
+#: (0.0002, a fifth of the hot share), so no word above 1.3 times that share is missed.
+HOT_TRACKED = 1 << 14
+#: A hot word's tokens are dealt to so many join keys.
+HOT_PARTS = 64
+
+
+def hot_words(tokens: DataFrame, word: str = "word") -> list[str]:
+    """The words that may have more than 1 / ``HOT_SHARE`` of the tokens, at most
+    2 x ``HOT_SHARE``: one pass with a mergeable frequent-items summary (a partial
+    aggregate of bounded size per task; no shuffle of the tokens)."""
+    row = tokens.agg(F.count(word).alias("n"),
+                     F.expr(f"approx_top_k({word}, {2 * HOT_SHARE}, {HOT_TRACKED})").alias("top")).first()
+    least = row.n / HOT_SHARE - row.n * 3.5 / HOT_TRACKED
+    return [r["item"] for r in row.top or [] if r["item"] is not None and r["count"] >= max(least, 1)]
+
+
+def join_words(tokens: DataFrame, words: DataFrame, how: str = "inner", width: int = 64,
+               limit: int | None = None) -> DataFrame:
+    """Tokens (``key, pos, word``) joined with a table of one row per ``word``.
+
+    Tokens are skewed (a frequent word is a hot key), so the table is broadcast when its
+    size - counted, rows x ``width`` bytes - is at most ``limit``.  Beyond that the join
+    shuffles on ``(word, part)``: tokens of a hot word are dealt to ``HOT_PARTS`` parts,
+    its row of ``words`` is repeated for each (at most 2 x ``HOT_SHARE`` x ``HOT_PARTS``
+    rows more).
     """
-    n = word_vectors.count()
-    width = 8 * (dim or 0) + 64
-    return F.broadcast(word_vectors) if n * width <= limit else word_vectors
+    if words.count() * width <= (BROADCAST_BYTES if limit is None else limit):
+        return tokens.join(F.broadcast(words), "word", how)
+    hot = hot_words(tokens)
+    if not hot:
+        return tokens.join(words, "word", how)
+    is_hot = F.col("word").isin(hot)
+    part = F.when(is_hot, F.pmod(F.xxhash64("key", "pos"), F.lit(HOT_PARTS)).cast("int")).otherwise(F.lit(0))
+    parts = F.when(is_hot, F.sequence(F.lit(0), F.lit(HOT_PARTS - 1))).otherwise(F.array(F.lit(0)))
+    return (tokens.withColumn("_part", part)
+            .join(words.withColumn("_part", F.explode(parts)), ["word", "_part"], how).drop("_part"))
 
 
 def sentences(df: DataFrame, key: str, text: Column | str, cat: bool = False,
@@ -99,20 +127,20 @@ def _positions(docs: DataFrame, key: str, text: Column | str, cat: bool) -> Data
 
 
 def mean_vectors(docs: DataFrame, key: str, text: Column | str, word_vectors: DataFrame, dim: int,
-                 cat: bool = False) -> DataFrame:
+                 cat: bool = False, broadcast_bytes: int | None = None) -> DataFrame:
     """Mean of the vectors of the known words of each text.
 
     ``key, vec array<double>, known_words long``; a text without a known word
     gets the zero vector of size ``dim`` and ``known_words = 0`` (Q13).
 
-    Words are joined to their vectors (broadcast when the table is under a
-    counted size bound) and averaged with MLlib's ``Summarizer``, a typed aggregate
+    Words are joined to their vectors (``join_words``: broadcast when the table is
+    at most ``broadcast_bytes``, else by shuffle with hot words dealt out) and averaged with MLlib's ``Summarizer``, a typed aggregate
     with a partial step - a long text is summed in every map task before the
     shuffle, never collected in one place.
     """
     toks = _positions(docs, key, text, cat)
     wv = word_vectors.select("word", array_to_vector(F.col("vec").cast("array<double>")).alias("v"))
-    known = toks.join(_vectors_side(wv, dim), "word")
+    known = join_words(toks, wv, width=8 * (dim or 0) + 64, limit=broadcast_bytes)
     means = known.groupBy("key").agg(Summarizer.mean(F.col("v")).alias("m"),
                                      F.count(F.lit(1)).alias("known_words"))
     means = means.select("key", vector_to_array("m").alias("vec"), "known_words")
@@ -124,7 +152,7 @@ def mean_vectors(docs: DataFrame, key: str, text: Column | str, word_vectors: Da
 
 
 def known_words(docs: DataFrame, key: str, text: Column | str, word_vectors: DataFrame,
-                cat: bool = False, as_list: bool = False) -> DataFrame:
+                cat: bool = False, as_list: bool = False, broadcast_bytes: int | None = None) -> DataFrame:
     """V4: the words of each text that have a vector, in text order.
 
     One row per known word: ``key, pos, word`` (``pos`` = position among the
@@ -133,7 +161,7 @@ def known_words(docs: DataFrame, key: str, text: Column | str, word_vectors: Dat
     texts of bounded length.
     """
     toks = _positions(docs, key, text, cat)
-    known = toks.join(_vectors_side(word_vectors.select("word"), 0), "word", "left_semi")
+    known = join_words(toks, word_vectors.select("word"), "left_semi", limit=broadcast_bytes)
     known = known.select(F.col("key").alias(key), "pos", "word")
     if not as_list:
         return known

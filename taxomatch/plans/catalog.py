@@ -29,7 +29,9 @@ from taxomatch.sources import answers as A
 from taxomatch.sources import collections as S
 from taxomatch.sources import csv as CSV
 from taxomatch.sources import wordvec as WV
+from taxomatch.sources.textindex import TextIndex
 from taxomatch.streaming import incremental as ST
+from taxomatch.streaming import newest as SN
 
 QUERIES: dict = {}
 
@@ -324,6 +326,21 @@ def contains_vectors(spark: SparkSession, d: str) -> DataFrame:
     return docs.join(found, "id").select("doc_id", *[vec[i].alias(f"n_{c}") for i, c in enumerate(LETTERS)])
 
 
+@query
+def contains_indexed(spark: SparkSession, d: str) -> DataFrame:
+    """The search through the index of character runs: one part of the documents is
+    indexed, the other is stored later and read without an index."""
+    store = S.VectorStore(spark, scratch_path(spark, f"store-{uuid.uuid4().hex}"))
+    docs = _store_docs(spark, d)
+    index = TextIndex(store, S.PRODUCTS, "letters")
+    store.add_missing(docs.where("n_chars % 3 > 0").select("id", "text"), S.PRODUCTS, {"letters": _letters})
+    index.update()
+    store.add_missing(docs.select("id", "text"), S.PRODUCTS, {"letters": _letters})
+    found = index.find("tion ", with_vectors=True).select("id", "vec")
+    vec = F.transform("vec", lambda x: x.cast("long"))
+    return docs.join(found, "id").select("doc_id", *[vec[i].alias(f"n_{c}") for i, c in enumerate(LETTERS)])
+
+
 # --------------------------------------------------------------------------- collections
 
 
@@ -423,6 +440,15 @@ def mean_word_vectors(spark: SparkSession, d: str) -> DataFrame:
     return _vec_summary(mv, "doc_id")
 
 
+@query
+def mean_word_vectors_dealt(spark: SparkSession, d: str) -> DataFrame:
+    """The form for a table too large to broadcast: a shuffle join, hot words found by
+    a frequent-items summary and dealt out."""
+    docs = X.table(spark, d, "documents")
+    mv = W.mean_vectors(docs, "doc_id", F.col("text"), X.word_vecs(spark, d), 64, broadcast_bytes=0)
+    return _vec_summary(mv, "doc_id")
+
+
 @query
 def known_words(spark: SparkSession, d: str) -> DataFrame:
     docs = X.table(spark, d, "documents")
@@ -670,6 +696,32 @@ def word_vectors_file(spark: SparkSession, d: str) -> DataFrame:
         F.round(F.element_at("vec", -1), 6).alias("vlast"))
 
 
+@query
+def word_vectors_counts(spark: SparkSession, d: str) -> DataFrame:
+    """A file with lines of another width is read and stored; its counts are those
+    of the scan that stored it."""
+    text = _folder(spark, "vectors-text")
+    wv = X.word_vecs(spark, d).withColumn("vec", F.when(F.length("word") % 5 == 0, F.slice("vec", 1, 63)).otherwise(
+        F.col("vec")))
+    wv.select(F.concat_ws(" ", "word", F.array_join(F.col("vec").cast("array<string>"), " "))).write.text(text)
+    vecs, seen = WV.read_word2vec_counted(spark, text, 64)
+    WV.save_word_vectors(vecs, _folder(spark, "vectors-table"))
+    return spark.createDataFrame([tuple(seen.get[c] for c in ("lines", "words", "headers", "bad"))],
+                                 "n_lines long, n_words long, n_headers long, n_bad long")
+
+
+@query
+def store_new_counts(spark: SparkSession, d: str) -> DataFrame:
+    """New documents per collection and run, counted by the writes."""
+    store = S.VectorStore(spark, _folder(spark, "store"))
+    docs = _store_docs(spark, d).select("id", "text")
+    models = {m: _hashing_embedder(4) for m in STORE_MODELS}
+    runs = [store.add_missing(docs.where("length(text) % 2 = 0"), S.PRODUCTS, {STORE_MODELS[0]: models[STORE_MODELS[0]]}),
+            store.add_missing(docs, S.PRODUCTS, models)]
+    return spark.createDataFrame([(i, m, n) for i, run in enumerate(runs) for m, n in run.items()],
+                                 "run long, model string, n_new long")
+
+
 @query
 def store_drops(spark: SparkSession, d: str) -> DataFrame:
     """K6/K7: one collection dropped, one side reset; what is left is counted."""
@@ -706,6 +758,20 @@ def texts_search(spark: SparkSession, d: str) -> DataFrame:
     return _hits_out(h, "cat_type")
 
 
+def _load_letters():
+    """The letter counts as a model in Python."""
+    return lambda texts: [[t.count(c) for c in LETTERS] for t in texts]
+
+
+@query
+def model_search(spark: SparkSession, d: str) -> DataFrame:
+    """Both sides embedded by a model that is loaded once per worker; equal texts once."""
+    embed = EM.loaded_model(_load_letters)
+    items = embed(D.category_documents(X.cat(spark, d)))
+    texts = X.prod(spark, d).select("uid", F.col("vendor_category").alias("text"))
+    return _hits_out(C.search_texts(texts, embed, items, k=3, methods=("sim",)), "cat_type")
+
+
 @query
 def classify_files(spark: SparkSession, d: str) -> DataFrame:
     """The whole job from two CSV files to the answer folder."""
@@ -716,14 +782,9 @@ def classify_files(spark: SparkSession, d: str) -> DataFrame:
 # --------------------------------------------------------------------------- streaming
 
 
-@query
-def stream_incremental(spark: SparkSession, d: str) -> DataFrame:
-    """Documents arrive in file drops; each micro-batch embeds (mean word
-    vectors) and classifies only texts not stored yet.  The first drop also
-    holds other texts for some documents of the second (edited later) and each
-    row of some documents twice.  The answer table equals the one-batch
-    ``words_direct``: one answer per document, that of its newest text."""
-    base = scratch_path(spark, f"stream-{uuid.uuid4().hex}")
+def _drops(spark: SparkSession, d: str, base: str):
+    """The embedder and two file drops: the first also holds other texts for some
+    documents of the second (edited later) and each row of some documents twice."""
     docs = X.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("uid"), "text",
                                                  "doc_id")
     X.word_vecs(spark, d).write.parquet(f"{base}/word_vecs")
@@ -733,14 +794,41 @@ def stream_incremental(spark: SparkSession, d: str) -> DataFrame:
         mv = W.mean_vectors(df, "id", F.col("text"), wv, 64)
         return df.select("id", "uid").join(mv.select("id", "vec"), "id")
 
-    items = X.vec_items(spark, d)
+    drops = []
     for drop in (0, 1):
         rows = docs.where(F.col("doc_id") % 2 == drop)
         rows = rows.unionByName(rows.where("doc_id % 6 < 2"))
         if drop == 0:
             old = docs.where("doc_id % 10 = 1").withColumn("text", F.reverse("text"))
             rows = rows.unionByName(old)
-        rows.drop("doc_id").write.mode("append").parquet(f"{base}/src")
+        drops.append(rows.drop("doc_id"))
+    return embed, drops
+
+
+@query
+def stream_incremental(spark: SparkSession, d: str) -> DataFrame:
+    """Documents arrive in file drops; each micro-batch embeds (mean word
+    vectors) and classifies only texts not stored yet.  The answer table equals the
+    one-batch ``words_direct``: one answer per document, that of its newest text."""
+    base = scratch_path(spark, f"stream-{uuid.uuid4().hex}")
+    embed, drops = _drops(spark, d, base)
+    items = X.vec_items(spark, d)
+    for rows in drops:
+        rows.write.mode("append").parquet(f"{base}/src")
         ST.run_available(spark, f"{base}/src", "uid string, text string", f"{base}/store",
                          f"{base}/ckpt", "principal", embed, items)
     return ST.answers(spark, f"{base}/store", "principal")
+
+
+@query
+def stream_newest(spark: SparkSession, d: str) -> DataFrame:
+    """The same drops, the newest text of each document held as streaming state; the
+    answers are read from the state and the store."""
+    base = scratch_path(spark, f"stream-{uuid.uuid4().hex}")
+    embed, drops = _drops(spark, d, base)
+    items = X.vec_items(spark, d)
+    for rows in drops:
+        rows.write.mode("append").parquet(f"{base}/src")
+        SN.run_available(spark, f"{base}/src", "uid string, text string", f"{base}/store",
+                         f"{base}/ckpt", "principal", embed, items)
+    return SN.answers(spark, f"{base}/store", "principal", f"{base}/ckpt")

@@ -316,6 +316,12 @@ _q("contains_docs", "SELECT doc_id, n_chars FROM documents WHERE contains(text,
 
 _q("contains_vectors", "SELECT doc_id, " + ", ".join(
     f"length(text) - length(replace(text, '{c}', '')) AS n_{c}" for c in "aeinorst") + " FROM documents WHERE contains(text, 'tion ')")
+ORACLE["contains_indexed"] = ORACLE["contains_vectors"]
+_q("store_new_counts", """
+WITH kept AS (SELECT DISTINCT doc_id, text, length(text) % 2 = 0 AS even FROM documents)
+SELECT CAST(0 AS BIGINT) AS run, 'nomic-embed-text_latest' AS model, count(*) FILTER (even) AS n_new FROM kept
+UNION ALL SELECT 1, 'nomic-embed-text_latest', count(*) FILTER (even IS NOT TRUE) FROM kept
+UNION ALL SELECT 1, 'mxbai-embed-large_v1', count(*) FROM kept""")
 _q("store_batch", "SELECT DISTINCT doc_id FROM documents WHERE doc_id % 100 = 0")
 _q("missing_docs", "SELECT d.doc_id, d.lang FROM documents d ANTI JOIN labels l USING (doc_id)")
 _q("collection_counts", """
@@ -369,6 +375,7 @@ means AS (SELECT d.doc_id, CAST(coalesce(k.known_words, 0) AS BIGINT) AS known_w
 _q("mean_word_vectors", f"""WITH {_MEANS}
 SELECT doc_id, known_words, round(vec[1], 6) AS v1, round(vec[-1], 6) AS vlast,
        round(list_sum(vec), 6) AS vsum FROM means""")
+ORACLE["mean_word_vectors_dealt"] = ORACLE["mean_word_vectors"]
 _q("known_words", f"""WITH {_WORD_VECS},
 dp AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM dw)
 SELECT doc_id, count(*) AS n_known, arg_min(word, pos) AS first_known, arg_max(word, pos) AS last_known
@@ -408,6 +415,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY distance, doc_ord)
 SELECT uid AS _id, path AS category FROM r WHERE rank = 1""")
 
 ORACLE["stream_incremental"] = ORACLE["words_direct"]
+ORACLE["stream_newest"] = ORACLE["words_direct"]
 
 _PRODUCT_MEANS = f"""{_WORD_VECS}, {_CAT}, {_PROD},
 cd AS (SELECT cat_idx, path, {_path_text('path')} AS all_text FROM cat),
@@ -505,6 +513,9 @@ SELECT idx // 100 AS part, CASE WHEN idx // 100 = 0 THEN '[' ELSE ',' END
 FROM n GROUP BY idx // 100""")
 _q("word_vectors_file", f"""WITH {_WORD_VECS}
 SELECT word, len(vec) AS dim, round(vec[1], 6) AS v1, round(vec[-1], 6) AS vlast FROM word_vecs""")
+_q("word_vectors_counts", f"""WITH {_WORD_VECS}
+SELECT count(*) AS n_lines, count(*) FILTER (length(word) % 5 <> 0) AS n_words, CAST(0 AS BIGINT) AS n_headers,
+       count(*) FILTER (length(word) % 5 = 0) AS n_bad FROM word_vecs""")
 _q("store_drops", """
 WITH kept AS (SELECT DISTINCT doc_id, text FROM documents)
 SELECT 'products' AS side, 'mxbai-embed-large_v1' AS model, count(*) AS n FROM kept
@@ -535,6 +546,8 @@ lr AS (SELECT *, row_number() OVER (PARTITION BY {part.replace('p.', '').replace
 
 _q("texts_search", _letter_hits("title", True) + """
 SELECT uid, cat_type, rank, doc_ord, path, round(distance, 6) AS distance FROM lr WHERE rank <= 3""")
+_q("model_search", _letter_hits("coalesce(vendor_category, '')", True) + """
+SELECT uid, cat_type, rank, doc_ord, path, round(distance, 6) AS distance FROM lr WHERE rank <= 3""")
 _q("classify_files", _letter_hits(f"{_head('title')} || {_suffix(_labels('vendor_category'), ' categorize as ')}", False)
    + """
 SELECT uid AS _id, path AS category FROM lr WHERE rank = 1""")

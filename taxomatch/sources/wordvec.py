@@ -11,7 +11,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -38,6 +38,28 @@ def read_word2vec_text(spark: SparkSession, path: str, dim: int | None = None) -
         F.forall("vec", lambda x: x.isNotNull()))
 
 
+def read_word2vec_counted(spark: SparkSession, path: str, dim: int) -> tuple[DataFrame, Observation]:
+    """The rows of ``read_word2vec_text`` and an ``Observation`` of the same scan.
+
+    After the first action that reads the whole frame (e.g. ``save_word_vectors``),
+    ``observation.get`` has ``lines``, ``words``, ``headers`` and ``bad`` (lines that are
+    neither; an empty line is one).  There is no second pass.  A scan whose tasks feed a
+    shuffle may count a task twice if an executor is lost; one that feeds a write does not.
+    """
+    p = F.split(F.trim("value"), r"\s+")
+    vec = F.transform(F.slice("p", 2, dim), lambda x: x.try_cast("double"))
+    header = F.trim("value").rlike(rf"^[0-9]+\s+{dim}$") & (F.lit(True) if dim != 1 else F.element_at("p", 2) == "1")
+    word = ~header & (F.size("p") == dim + 1) & F.forall("vec", lambda x: x.isNotNull())
+    lines = (spark.read.text(path).withColumn("p", p).withColumn("vec", vec)
+             .select(F.element_at("p", 1).alias("word"), "vec",
+                     F.when(header, "header").when(word, "word").otherwise("bad").alias("kind")))
+    seen = Observation()
+    counted = lines.observe(seen, F.count(F.lit(1)).alias("lines"), *[
+        F.count_if(F.col("kind") == kind).alias(name)
+        for kind, name in (("word", "words"), ("header", "headers"), ("bad", "bad"))])
+    return counted.where("kind = 'word'").select("word", "vec"), seen
+
+
 def bad_lines(spark: SparkSession, path: str, dim: int) -> DataFrame:
     """``value``: the lines of a text file that are neither a word with ``dim``
     numbers nor a header ``<count> <dim>``."""

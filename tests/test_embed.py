@@ -38,3 +38,32 @@ def test_sparse_scores_equal_dense(spark, metric):
         got = key(K.knn(q.select("uid", "idx", "val"), it.select("doc_ord", "path", "cat_type", "idx", "val"), 4,
                         metric=metric, round_digits=9, sparse_dim=12, block_rows=rows_))
         assert str(got) == str(want)
+
+
+def test_a_model_is_loaded_once_per_worker_and_equal_texts_embedded_once(spark, tmp_path, monkeypatch):
+    log = str(tmp_path)
+
+    def load():
+        import os
+        import uuid
+        open(f"{log}/load-{os.getpid()}-{uuid.uuid4().hex}", "w").close()
+
+        def model(texts):
+            with open(f"{log}/texts-{uuid.uuid4().hex}", "w") as f:
+                f.write("".join(t + "\n" for t in texts))
+            return [[len(t), 1] for t in texts]
+        return model
+
+    rows = [(i, "hot" if i % 3 else f"text {i % 40}", i) for i in range(600)] + [(600, None, 0), (601, "", 1)]
+    docs = spark.createDataFrame(rows, "id long, text string, df long").repartition(16)
+    monkeypatch.setattr(EM, "BROADCAST_VECTORS", 5)         # the join by shuffle, hot texts by broadcast
+    embed = EM.loaded_model(load)
+    for _ in range(2):
+        out = embed(docs)
+        assert out.columns == ["id", "text", "df", "vec"]
+        assert sorted(tuple(r) for r in out.select("id", "df", "vec").collect()) == \
+            [(i, n, [float(len(t or "")), 1.0]) for i, t, n in rows]
+    loads = [f.name.split("-")[1] for f in tmp_path.iterdir() if f.name.startswith("load-")]
+    assert loads and len(loads) == len(set(loads))          # no worker loaded twice
+    seen = [t for f in tmp_path.iterdir() if f.name.startswith("texts-") for t in f.read_text().split("\n")[:-1]]
+    assert len(seen) == 2 * len({t or "" for _, t, _ in rows})

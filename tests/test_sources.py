@@ -129,3 +129,14 @@ def test_split_reader_of_empty_and_open_files(spark, scratch):
     _write(f"{scratch}/odd/b.csv", HEADER + "\n")
     _write(f"{scratch}/odd/c.csv", HEADER + '\n\np1;"never closed;;;;\nx')
     assert [r.record for r in CSV.records(spark, f"{scratch}/odd").collect()] == ['p1;"never closed;;;;\nx']
+
+
+def test_word_vector_lines_are_counted_by_their_scan(spark, scratch):
+    from taxomatch.sources import wordvec as WV
+    lines = ["4 2", "red 1 2", "pan 1 x", "lid 3 4", "", "pot 1", "cup 1 2 3"]
+    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(f"{scratch}/v")
+    df, seen = WV.read_word2vec_counted(spark, f"{scratch}/v", 2)
+    WV.save_word_vectors(df, f"{scratch}/t")
+    assert seen.get == {"lines": 7, "words": 2, "headers": 1, "bad": 4}
+    read = lambda t: sorted((r.word, r.vec) for r in t.collect())
+    assert read(WV.load_word_vectors(spark, f"{scratch}/t")) == read(WV.read_word2vec_text(spark, f"{scratch}/v", 2))

@@ -50,3 +50,22 @@ def test_corpus_and_word2vec(spark):
     wv = W.train_word2vec(corpus, vector_size=4, epochs=1, min_count=1)
     assert wv.count() == len({w for t in toks.values() for w in t})
     assert all(len(r.vec) == 4 for r in wv.collect())
+
+
+def test_hot_words_are_dealt_out(spark):
+    rare = [(f"k{i}", f"word{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}") for i in range(4000)]
+    rows = rare + [(f"k{i}", " ".join(["steel"] * 3 + ["pan"])) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "k string, t string")
+    words = sorted({w for _, t in rows for w in t.split()})
+    wv = spark.createDataFrame([(w, [float(i), 1.0]) for i, w in enumerate(words) if i % 7], "word string, vec array<double>")
+    toks = W._positions(docs, "k", F.col("t"), False)
+    assert sorted(W.hot_words(toks)) == ["pan", "steel"]
+    assert W.hot_words(toks.limit(0)) == []
+    for limit in (0, None):
+        assert ("_part" in W.join_words(toks, wv, limit=limit)._jdf.queryExecution().toString()) == (limit == 0)
+    read = lambda df: sorted(map(tuple, df.collect()), key=str)
+    same = lambda f: read(f(0)) == read(f(None))
+    mean = lambda n: W.mean_vectors(docs, "k", F.col("t"), wv, 2, broadcast_bytes=n).withColumn(
+        "vec", F.transform("vec", lambda x: F.round(x, 6)))
+    assert same(mean)
+    assert same(lambda n: W.known_words(docs, "k", F.col("t"), wv, broadcast_bytes=n))
