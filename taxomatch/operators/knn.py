@@ -25,6 +25,8 @@ query block meets every item block of its model in exactly one row; one numpy
 matrix product per row scores the pair and only the local top candidates leave
 the Python worker, never all pairs.
 
+* dense item side below ``RESIDENT_BYTES``: kept by the Python workers, see
+  ``resident``; no join;
 * item side below ``broadcast_bytes`` (the usual taxonomy): the packed item
   table (models x blocks rows) is broadcast and the query blocks stream through
   a broadcast hash join (network ~ executors x item bytes);
@@ -71,6 +73,11 @@ ANY_TYPE = "ANY"
 DEFAULT_FETCH_K = 20
 DEFAULT_LAMBDA = 0.5
 
+#: Dense items of at most this many packed bytes are kept by the Python workers.
+RESIDENT_BYTES = 64 << 20
+#: Items of a model from which on they lie in blocks around pivots.
+PIVOT_ROWS = 4096
+
 
 # --------------------------------------------------------------------------- numpy kernels
 
@@ -138,7 +145,7 @@ def _top_candidates(Q, Xg, og, kcand, metric, round_digits=None):
         scale = np.full((nq, 1), 2.0)
     if kk < n:
         kth = np.partition(approx, kk - 1, axis=1)[:, kk - 1:kk]
-        tol = 1e-9 * scale
+        tol = 1e-9 * scale + (0.0 if round_digits is None else 10.0 ** -round_digits)  # equal once rounded
         r, c = np.nonzero(approx <= kth + tol)
     else:
         r, c = np.nonzero(np.ones_like(approx, dtype=bool))
@@ -426,15 +433,27 @@ def block_plan(items: DataFrame, block_rows: int, sparse_dim: int | None = None,
                                   for r in rows]),
         "item_bytes": sum(by_model.values()),
         "item_bytes_by_model": by_model,
+        "item_rows_by_model": {r["model"]: r["n"] for r in rows},
     }
 
 
+def prepared(queries: DataFrame, items: DataFrame, sparse_dim: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Both sides with the columns and types of a search; rows that take no part are left out."""
+    queries = _with_model(queries).select("model", F.col("uid").cast("string").alias("uid"),
+                                          *_vec_cols(sparse_dim))
+    items = _with_model(items).select("model", F.col("doc_ord").cast("long").alias("doc_ord"),
+                                      "path", "cat_type", *_vec_cols(sparse_dim))
+    present = [F.col(c).isNotNull() for c in (["model", "idx", "val"] if sparse_dim else ["model", "vec"])]
+    return (queries.where(reduce(lambda a, b: a & b, present) & F.col("uid").isNotNull()),
+            items.where(reduce(lambda a, b: a & b, present) & F.col("doc_ord").isNotNull()))
+
+
 def search(queries: DataFrame, items: DataFrame, k: int, *, methods=("sim",),
            fetch_k: int = DEFAULT_FETCH_K, lambda_mult: float = DEFAULT_LAMBDA,
            by_type: bool = True, metric: str = "l2", mmr_order: str = "distance",
-           block_rows: int = 2048, broadcast_bytes: int = 1 << 30,
+           block_rows: int | None = None, broadcast_bytes: int | None = None,
            round_digits: int | None = None, sparse_dim: int | None = None,
-           plan: dict | None = None) -> DataFrame:
+           plan: dict | None = None, pivot_rows: int = PIVOT_ROWS) -> DataFrame:
     """Hit lists for every (query, model, list) - one row per hit (``HIT_SCHEMA``).
 
     ``methods``: ``sim`` = k nearest (J1/L2), ``mmr`` = diversified top k (L3).
@@ -449,25 +468,31 @@ def search(queries: DataFrame, items: DataFrame, k: int, *, methods=("sim",),
     columns of that dimension (e.g. TF-IDF); similarity lists are scored on the
     non-zero terms, MMR on blocks of at most 64 MB dense.
 
+    Dense items of at most ``RESIDENT_BYTES`` (counted) stay in the Python workers
+    (``resident``; ``pivot_rows``: items of a model from which on blocks are skipped
+    by pivots), unless the caller sizes a join with ``block_rows`` (2048),
+    ``broadcast_bytes`` (1 GB) or ``plan``.
+
     Join form: all item blocks broadcast when their packed size is at most
     ``broadcast_bytes``; else, when every model alone fits, one broadcast
     search per model (a union); else the items in waves under the bound.
     """
     if metric not in ("l2", "cosine", "dot"):
         raise ValueError(metric)
+    join_sized = (block_rows, broadcast_bytes, plan) != (None, None, None)
+    block_rows = 2048 if block_rows is None else block_rows
+    broadcast_bytes = 1 << 30 if broadcast_bytes is None else broadcast_bytes
     if sparse_dim and "mmr" in methods:  # dense blocks; else the non-zero terms are scored
         block_rows = min(block_rows, max(1, (64 << 20) // (8 * sparse_dim)))
-    queries = _with_model(queries).select("model", F.col("uid").cast("string").alias("uid"),
-                                          *_vec_cols(sparse_dim))
-    items = _with_model(items).select("model", F.col("doc_ord").cast("long").alias("doc_ord"),
-                                      "path", "cat_type", *_vec_cols(sparse_dim))
-    present = [F.col(c).isNotNull() for c in (["model", "idx", "val"] if sparse_dim else ["model", "vec"])]
-    queries = queries.where(reduce(lambda a, b: a & b, present) & F.col("uid").isNotNull())
-    items = items.where(reduce(lambda a, b: a & b, present) & F.col("doc_ord").isNotNull())
+    queries, items = prepared(queries, items, sparse_dim)
     plan = plan or block_plan(items, block_rows, sparse_dim)
     opts = dict(k=k, methods=methods, fetch_k=fetch_k, lambda_mult=lambda_mult, by_type=by_type,
-                metric=metric, mmr_order=mmr_order, round_digits=round_digits, sparse_dim=sparse_dim,
-                block_rows=block_rows)
+                metric=metric, mmr_order=mmr_order, round_digits=round_digits)
+    if not (join_sized or sparse_dim) and plan["item_bytes"] <= RESIDENT_BYTES:
+        from taxomatch.operators import resident  # it builds on this module
+
+        return resident.search(queries, items, plan, pivot_rows=pivot_rows, **opts)
+    opts.update(sparse_dim=sparse_dim, block_rows=block_rows)
     by_model = plan.get("item_bytes_by_model") or {}
     if plan["item_bytes"] > broadcast_bytes and len(by_model) > 1 and \
             max(by_model.values()) <= broadcast_bytes:

@@ -586,6 +586,32 @@ def mmr_blocks(spark: SparkSession, d: str) -> DataFrame:
                     F.round("distance", 6).alias("distance"))
 
 
+@query
+def knn_pruned(spark: SparkSession, d: str) -> DataFrame:
+    """Items in the workers, in blocks around pivots that bounds can skip."""
+    h = K.knn(X.vec_queries(spark, d), X.vec_items(spark, d), 10, by_type=True, pivot_rows=1)
+    return _hits_out(h, "cat_type")
+
+
+@query
+def knn_pruned_cosine(spark: SparkSession, d: str) -> DataFrame:
+    """The same on the unit vectors of a cosine search."""
+    m = ("m1",)
+    h = K.knn(X.vec_queries(spark, d, m), X.vec_items(spark, d, m), 5, by_type=True, metric="cosine", pivot_rows=1)
+    return _hits_out(h, "cat_type")
+
+
+@query
+def mmr_pruned(spark: SparkSession, d: str) -> DataFrame:
+    """MMR on the candidates that a pruned search finds."""
+    m = ("m1",)
+    h = K.search(X.vec_queries(spark, d, m), X.vec_items(spark, d, m), 3, methods=("mmr",), by_type=True,
+                 pivot_rows=1)
+    return h.select("uid", "model", "cat_type", F.col("rank").cast("long").alias("rank"),
+                    F.col("mmr_step").cast("long").alias("mmr_step"), "doc_ord", "path",
+                    F.round("distance", 6).alias("distance"))
+
+
 @query
 def knn_nulls(spark: SparkSession, d: str) -> DataFrame:
     """Rows without a vector take no part; a null path is an ordinary value."""

@@ -482,8 +482,9 @@ SELECT unnest([1, 2, 3])::BIGINT AS epoch, n_pairs, true AS lower FROM n""")
 
 # --------------------------------------------------------------------------- physical forms, column functions, files
 
-ORACLE["knn_blocks"] = ORACLE["knn_waves"] = ORACLE["knn_topk_by_type"]
-ORACLE["mmr_blocks"] = ORACLE["mmr_top3"]
+ORACLE["knn_blocks"] = ORACLE["knn_waves"] = ORACLE["knn_pruned"] = ORACLE["knn_topk_by_type"]
+ORACLE["knn_pruned_cosine"] = ORACLE["knn_cosine"]
+ORACLE["mmr_blocks"] = ORACLE["mmr_pruned"] = ORACLE["mmr_top3"]
 _q("knn_nulls", f"WITH {vec_ctes()}, {ranked_cte()}, "
    "nn AS (SELECT *, row_number() OVER (PARTITION BY uid, cat_type ORDER BY distance, doc_ord) AS own FROM ranked "
    "WHERE CAST(uid AS BIGINT) % 7 <> 0 AND doc_ord % 12 <> 0) "

@@ -22,8 +22,7 @@ def test_no_cross_products(spark, name):
 
 def test_search_plan_shape(spark):
     plan = _plan(E.queries()["classify_ensemble"](spark, SF0001))
-    assert "MapInPandas" in plan
-    assert "BroadcastHashJoin" in plan                  # packed item blocks, size-checked
+    assert "MapInArrow" in plan                         # items resident in the workers, size-checked
     assert "PushedFilters: [IsNotNull(vec_id)" in plan
     assert "ReadSchema: struct<vec_id:bigint,embedding:array<float>>" in plan   # label pruned
 
@@ -52,10 +51,15 @@ def test_multi_block_merge_uses_group_limit(spark):
 
 
 def test_query_side_not_shuffled(spark):
-    """Broadcast form: the one exchange of classify_direct is the item side's
-    packing; the product vectors go scan -> pack -> broadcast join -> kernel."""
-    df = E.queries()["classify_direct"](spark, SF0001)
+    """Broadcast form: the one exchange is the item side's packing; the product
+    vectors go scan -> pack -> broadcast join -> kernel.  Resident form: none."""
+    from taxomatch.operators import knn as K
+    from taxomatch.plans import fixtures as X
+    plan = E.queries()["classify_direct"](spark, SF0001)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("MapInArrow") == 1
+    df = K.nearest(X.vec_queries(spark, SF0001), X.vec_items(spark, SF0001), block_rows=2048)
     plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan                   # packed item blocks, size-checked
     assert plan.count("Exchange hashpartitioning") == 1
     assert plan.count("MapInPandas") == 2                # pack in place, score
 
