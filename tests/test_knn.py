@@ -1,6 +1,7 @@
 """k-NN and MMR against numpy brute force, on every physical form."""
 
 import math
+import re
 
 import numpy as np
 import pytest
@@ -244,3 +245,17 @@ def test_nulls_are_the_same_in_every_form(spark, form):
                 want[uid, t] = [(i + 1, o, p, d) for i, (d, o, p) in enumerate(hits)]
         assert {k: sorted(v) for k, v in got.items()} == want
         assert {r.uid for r in rows if r.method == "mmr"} == {f"q{i}" for i in range(1, 6)}
+
+
+def test_small_bounds_do_not_grow_the_plan(spark):
+    """Blocks of an item and a bound of a byte: some waves, and one pack of items in each."""
+    Q, X, qu, it = _frames(spark)
+    hits = K.knn(qu, it, 5, block_rows=1, broadcast_bytes=1)
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert 1 < plan.count("BroadcastHashJoin") <= K.MAX_WAVES
+    assert _got(hits) == _brute(Q, X, 5, True)
+    packs = K.knn(qu, it, 5, block_rows=1)
+    number = re.findall(r"pmod\(xxhash64\(doc_ord#\w+, 42\), cast\((\d+) as bigint\)\)",
+                        packs._jdf.queryExecution().analyzed().toString())
+    assert set(number) == {"1"}
+    assert _got(packs) == _brute(Q, X, 5, True)

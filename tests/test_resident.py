@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from conftest import SF0001
@@ -113,3 +114,30 @@ def test_items_over_the_bound_are_joined(spark, monkeypatch):
     assert _got(hits) == _brute(Q, X, 5, True)
     with pytest.raises(ValueError):
         R.block_counts(qu, it, 5)
+
+
+def test_few_items_are_scored_exactly(monkeypatch):
+    """Without clusters no block is skipped; only what can still be a hit is scored exactly."""
+    rng = np.random.default_rng(5)
+    X, Q = rng.normal(size=(4000, 16)), rng.normal(size=(200, 16))
+    own = R.ItemList(X, np.arange(len(X)), np.array(["p"] * len(X), object), np.arange(len(X)) % 80, "l2")
+    pairs, exact = [], K._exact
+    monkeypatch.setattr(K, "_exact", lambda Q, X, r, *a: pairs.append(len(r)) or exact(Q, X, r, *a))
+    r, c, d, rank, scored = own.nearest(Q, 10, None)
+    assert scored == 200 * 80 and sum(pairs) < 200 * 10 * 12
+    want = np.argsort(np.square(Q[:, None] - X[None]).sum(axis=2), axis=1, kind="stable")[:, :10]
+    assert np.array_equal(own.ords[c].reshape(200, 10), want)
+
+
+def test_queries_against_many_items_are_dealt(spark, monkeypatch):
+    Q, X, qu, it = _frames(spark)
+    both = [d.unionByName(d.withColumn("model", F.lit("n"))) for d in (qu, it)]
+    want = _rows(K.knn(*both, 5))
+    size = K.block_plan(it, 2048)["item_bytes"]
+    monkeypatch.setattr(K, "RESIDENT_BYTES", size)                # each model fits, both do not
+    monkeypatch.setattr(K, "PIVOT_ROWS", 40)
+    hits = K.knn(*both, 5)
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("MapInArrow") == 2
+    assert plan.count("RoundRobinPartitioning") == 2
+    assert _rows(hits) == want
