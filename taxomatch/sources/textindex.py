@@ -14,31 +14,59 @@ collection are no longer listed and are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from taxomatch.sources.collections import VectorStore, collection_name_py
 
 GRAM = 4
-#: Bits of one file.  Spark's bitmap functions cut them into pieces of 32,768.
+#: Bits of one file, kept in pieces of ``PIECE``.
 BITS = 1 << 20
+PIECE = 1 << 15
 #: Runs of a needle that are looked up.
 PROBES = 256
 
-
-def grams(text: Column) -> Column:
-    """Distinct bit numbers (from 1) of the ``GRAM``-character runs of a text."""
-    def bits(chars: Column) -> Column:
-        n = F.size(chars) - GRAM + 1
-        runs = F.transform(F.sequence(F.lit(0), n - 1),
-                           lambda i: F.concat(*[F.get(chars, i + k) for k in range(GRAM)]))
-        numbers = F.transform(runs, lambda r: F.pmod(F.xxhash64(r), F.lit(BITS)) + 1)
-        return F.when(n > 0, F.array_distinct(numbers)).otherwise(F.array().cast("array<long>"))
-
-    # a lambda's argument is computed once per row, however often its body uses it
-    return F.get(F.transform(F.array(F.split(text, "")), bits), F.lit(0))
+_FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
+
+
+def gram_bits(text: str) -> np.ndarray:
+    """The bit numbers (from 0) of the ``GRAM``-character runs of a text, in text order."""
+    chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    n = max(0, len(chars) - GRAM + 1)
+    h = np.zeros(n, np.uint64)
+    for i, factor in enumerate(_FACTORS):
+        h += chars[i:i + n] * np.uint64(factor)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(_FACTORS[0])
+    return (h >> np.uint64(64 - 20)).astype(np.int64)
+
+
+def _file_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ``file, text`` of a task, file after file -> the bitmap of each file in pieces;
+    piece -1 (empty) says that the file is known."""
+    def rows(file, seen):
+        bits = np.packbits(seen, bitorder="little").reshape(-1, PIECE // 8)
+        used = np.nonzero(bits.any(axis=1))[0]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([file] * (len(used) + 1), pa.string()), pa.array([-1, *used.tolist()], pa.int64()),
+             pa.array([bytes(PIECE // 8), *(bits[i].tobytes() for i in used)], pa.binary())], names=["file", "piece", "bits"])
+
+    file, seen = None, np.zeros(BITS, bool)
+    for b in batches:
+        for name, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            if name != file:
+                if file is not None:
+                    yield rows(file, seen)
+                file, seen = name, np.zeros(BITS, bool)
+            if text:
+                seen[gram_bits(text)] = True
+    if file is not None:
+        yield rows(file, seen)
 
 
 def place(file: str) -> str:
@@ -52,7 +80,7 @@ class TextIndex:
     def __init__(self, store: VectorStore, side: str, model: str):
         self.store, self.side, self.model = store, side, model
         self.spark = store.spark
-        self.path = f"{store.root}-grams/side={side}/model={collection_name_py(model)}"
+        self.path = f"{store.root}-runs/side={side}/model={collection_name_py(model)}"
 
     def files(self) -> list[str]:
         """The files of the collection (paths only, as the driver lists them for any scan)."""
@@ -72,16 +100,15 @@ class TextIndex:
     def update(self) -> int:
         """Index the files that have no bitmap yet; returns how many.
 
-        Bits are combined per file in every task before the shuffle; a file without a run
-        gets an empty piece, so it is known."""
+        A task sets the bits of a file's texts in one bitmap (``BITS`` / 8 bytes) and sends
+        its used pieces; those of a file read by several tasks are combined."""
         known = self._known()
         new = [f for f in self.files() if place(f) not in known]
         if not new:
             return 0
         texts = self._read(new).select(F.col("_metadata.file_path").alias("file"), "text")
-        bits = texts.select("file", F.explode_outer(grams(F.col("text"))).alias("bit"))
-        pieces = (bits.groupBy("file", F.coalesce(F.bitmap_bucket_number("bit"), F.lit(0)).alias("piece"))
-                  .agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")))
+        pieces = (texts.mapInArrow(_file_pieces, "file string, piece long, bits binary")
+                  .groupBy("file", "piece").agg(F.bitmap_or_agg("bits").alias("bits")))
         pieces.write.mode("append").parquet(self.path)
         return len(new)
 
@@ -92,10 +119,10 @@ class TextIndex:
         if table is None or len(needle) < GRAM:
             return files
         # some runs are enough to skip a file; the text itself is looked at in the rest
-        one = self.spark.range(1).select(F.explode(F.slice(grams(F.lit(needle)), 1, PROBES)).alias("bit"))
         want: dict[int, list[tuple[int, int]]] = {}
-        for r in one.select(F.bitmap_bucket_number("bit").alias("piece"), F.bitmap_bit_position("bit").alias("at")).collect():
-            want.setdefault(r.piece, []).append((r.at // 8 + 1, 1 << r.at % 8))
+        for bit in list(dict.fromkeys(gram_bits(needle).tolist()))[:PROBES]:
+            at = bit % PIECE
+            want.setdefault(bit // PIECE, []).append((at // 8 + 1, 1 << at % 8))
         byte = lambda at: F.conv(F.hex(F.substring("bits", at, 1)), 16, 10).cast("int")
         has = F.lit(False)
         for piece, places in want.items():

@@ -46,3 +46,22 @@ def test_later_files_are_read_until_indexed(spark, scratch):
     store.drop(S.PRODUCTS, "m")
     store.add_missing(docs.limit(3), S.PRODUCTS, {"m": _embed})
     assert index.find("zyzzyva").count() == 0 and index.find("number").count() == 3
+
+
+def test_a_file_is_one_bitmap_of_a_task(spark, scratch):
+    """The texts become bits where they are read; what is shuffled are pieces of bitmaps."""
+    import numpy as np
+    import pyarrow as pa
+
+    from taxomatch.sources import textindex as TI
+
+    text = "a zyzzyva \U0001f600\u00e9 here"
+    bits = TI.gram_bits(text)
+    assert len(bits) == len(text) - 3 and 0 <= bits.min() <= bits.max() < TI.BITS
+    assert set(TI.gram_bits(text[3:12]).tolist()) <= set(bits.tolist()) and len(TI.gram_bits("abc")) == 0
+    batch = lambda *rows: pa.RecordBatch.from_pylist([{"file": f, "text": t} for f, t in rows])
+    out = list(TI._file_pieces(iter([batch(("f", "x"), ("f", text)), batch(("f", text), ("g", None))])))
+    assert [set(o["file"].to_pylist()) for o in out] == [{"f"}, {"g"}]
+    found = {p * TI.PIECE + i for p, b in zip(out[0]["piece"].to_pylist(), out[0]["bits"].to_pylist()) if p >= 0
+             for i in np.nonzero(np.unpackbits(np.frombuffer(b, np.uint8), bitorder="little"))[0].tolist()}
+    assert found == set(bits.tolist()) and out[1]["piece"].to_pylist() == [-1]
