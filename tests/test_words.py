@@ -74,9 +74,10 @@ def test_hot_words_are_dealt_out(spark):
 def test_vectors_do_not_travel_per_token(spark):
     """Sums of flat rows when the table is broadcast; else word numbers are joined, and the vectors
     go to slices of the texts.  Null and repeated keys and words without a text included."""
-    docs = spark.createDataFrame([("a", "red pan red"), ("a", "lid"), (None, "red"), ("b", "none here"), ("c", None)],
+    docs = spark.createDataFrame([("a", "red pan red"), ("a", "lid"), (None, "red"), ("b", "none here"), ("c", None),
+                                  ("d", "void"), ("e", "void pan")],
                                  "k string, t string")
-    wv = spark.createDataFrame([("red", [1.0, 0.0]), ("pan", [0.0, 4.0]), ("lid", [3.0, 0.0]), ("x", [9.0, 9.0])],
+    wv = spark.createDataFrame([("red", [1.0, 0.0]), ("pan", [0.0, 4.0]), ("lid", [3.0, 0.0]), ("x", [9.0, 9.0]), ("void", None)],
                                "word string, vec array<double>")
     for limit in (None, 0):
         mv = W.mean_vectors(docs, "k", F.col("t"), wv, 2, broadcast_bytes=limit)
@@ -85,4 +86,4 @@ def test_vectors_do_not_travel_per_token(spark):
         assert ("FlatMapCoGroupsInArrow" in plan) == (limit == 0)
         got = sorted(((r.k, r.vec, r.known_words) for r in mv.collect()), key=str)
         assert got == [("a", [1.25, 1.0], 4), ("a", [1.25, 1.0], 4), ("b", [0.0, 0.0], 0), ("c", [0.0, 0.0], 0),
-                       (None, [0.0, 0.0], 0)]
+                       ("d", [0.0, 0.0], 1), ("e", [0.0, 4.0], 2), (None, [0.0, 0.0], 0)]
