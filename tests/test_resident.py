@@ -141,3 +141,62 @@ def test_queries_against_many_items_are_dealt(spark, monkeypatch):
     assert "Join" not in plan and plan.count("MapInArrow") == 2
     assert plan.count("RoundRobinPartitioning") == 2
     assert _rows(hits) == want
+
+
+def _list(X, block, metric="l2"):
+    return R.ItemList(X, np.arange(len(X)), np.array(["p"] * len(X), object), block, metric)
+
+
+def _ranked(own, Q, k):
+    r, c, _, rank, scored = own.nearest(Q, k, None)
+    assert np.array_equal(rank, np.tile(np.arange(1, k + 1), len(Q)))
+    return own.ords[c].reshape(len(Q), k), scored
+
+
+def _sorted(Q, X, k):
+    d = np.stack([np.square(X - q).sum(axis=1) for q in Q])
+    return np.argsort(np.where(np.isnan(d), np.inf, d), axis=1, kind="stable")[:, :k]
+
+
+def test_needed_blocks_share_products(monkeypatch):
+    """400 blocks that all queries need: a merge per doubling of the items, not one per block."""
+    rng = np.random.default_rng(8)
+    X, Q = rng.normal(size=(20000, 32)), rng.normal(size=(300, 32))
+    own = _list(X, np.arange(len(X)) % 400)
+    calls, exact = [], K._exact
+    monkeypatch.setattr(K, "_exact", lambda Q, X, r, *a: calls.append(len(r)) or exact(Q, X, r, *a))
+    got, scored = _ranked(own, Q, 10)
+    assert np.array_equal(got, _sorted(Q, X, 10)) and scored == 300 * 400
+    assert len(calls) <= 5 and sum(calls) < 300 * 10 * 6
+
+
+@pytest.mark.parametrize("offset,width", [(0.0, 1.0), (1e6, 1e-2), (0.0, 1e-12), (1e25, 1e20), (3.0, 0.0)])
+def test_single_precision_cuts_no_hit(offset, width):
+    """Vectors far from zero, tiny, huge or equal, ties across chunks, an outlier."""
+    rng = np.random.default_rng(2)
+    X = offset + width * rng.normal(size=(9000, 8))
+    X[5000:5030] = X[:30]
+    X[7777] = offset * 50 + 1.0
+    Q = np.concatenate([offset + width * rng.normal(size=(40, 8)), X[:20]])
+    got, _ = _ranked(_list(X, np.arange(len(X)) % 90), Q, 12)
+    assert np.array_equal(got, _sorted(Q, X, 12))
+
+
+def test_vectors_without_a_distance_hide_no_hit():
+    rng = np.random.default_rng(4)
+    X, Q = rng.normal(size=(9000, 8)), rng.normal(size=(30, 8))
+    X[np.arange(0, 9000, 700)] = np.nan
+    got, _ = _ranked(_list(X, np.arange(len(X)) // 100), Q, 10)
+    assert np.array_equal(got, _sorted(Q, X, 10))
+
+
+def test_copies_beyond_the_list_are_not_scored(monkeypatch):
+    rng = np.random.default_rng(6)
+    X, Q = rng.normal(size=(9000, 8)), rng.normal(size=(30, 8))
+    X[rng.permutation(9000)[:6000]] = X[17]
+    Q[:10] = X[17]
+    own = _list(X, np.arange(len(X)) % 90)
+    pairs, exact = [], K._exact
+    monkeypatch.setattr(K, "_exact", lambda Q, X, r, *a: pairs.append(len(r)) or exact(Q, X, r, *a))
+    got, _ = _ranked(own, Q, 12)
+    assert np.array_equal(got, _sorted(Q, X, 12)) and sum(pairs) < 30 * 12 * 8
