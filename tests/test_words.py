@@ -87,3 +87,48 @@ def test_vectors_do_not_travel_per_token(spark):
         got = sorted(((r.k, r.vec, r.known_words) for r in mv.collect()), key=str)
         assert got == [("a", [1.25, 1.0], 4), ("a", [1.25, 1.0], 4), ("b", [0.0, 0.0], 0), ("c", [0.0, 0.0], 0),
                        ("d", [0.0, 0.0], 1), ("e", [0.0, 4.0], 2), (None, [0.0, 0.0], 0)]
+
+
+def test_packed_words_of_slices_and_steps(spark, monkeypatch):
+    """The dealt form with many slices, steps that cut a text, long and repeated texts and vectors
+    that single precision does or does not hold: numpy's means."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    letters = list("abcdefghij")
+    words = ["z" + "".join(rng.choice(letters, 5)) for _ in range(300)]
+    words = sorted(set(words))
+    texts = [(f"k{i % 40}", " ".join(rng.choice(words, int(rng.integers(0, 60))))) for i in range(60)]
+    texts.append(("long", " ".join(rng.choice(words, 25_000))))
+    docs = spark.createDataFrame(texts, "k string, t string").repartition(3)
+    monkeypatch.setattr(W, "SLICE_WORDS", 500)
+    monkeypatch.setattr(W, "STEP_BYTES", 7 * 76)
+    for single in (True, False):
+        table = {w: np.float32(rng.normal(size=3)).astype(float) if single else rng.normal(size=3)
+                 for i, w in enumerate(words) if i % 5}
+        wv = spark.createDataFrame([(w, v.tolist()) for w, v in table.items()], "word string, vec array<double>")
+        want = {}
+        for k, t in texts:
+            want.setdefault(k, []).extend(table[w] for w in t.split() if w in table)
+        known = W._positions(docs, "k", F.col("t"), False)
+        for limit in (0, 64 * len(table)):                    # numbers by shuffle, and broadcast
+            mv = W.mean_vectors(docs, "k", F.col("t"), wv, 3, broadcast_bytes=limit)
+            assert "FlatMapCoGroupsInArrow" in mv._jdf.queryExecution().executedPlan().toString()
+            got = {r.k: (r.vec, r.known_words) for r in mv.collect()}
+            assert got.keys() == want.keys()
+            for k, vs in want.items():
+                assert got[k][1] == len(vs)
+                assert np.allclose(got[k][0], np.mean(vs, axis=0) if vs else np.zeros(3))
+        assert known.count() > 25_000
+
+
+def test_numbers_of_words_are_broadcast(spark, monkeypatch):
+    """A table of vectors over the limit whose words are under it: tokens are not shuffled by word."""
+    docs = spark.createDataFrame([("a", "red pan red")], "k string, t string")
+    wv = spark.createDataFrame([(w, [1.0] * 64) for w in ("red", "pan", "lid")], "word string, vec array<double>")
+    seen = []
+    join = W.join_words
+    monkeypatch.setattr(W, "join_words", lambda *a, **b: seen.append(join(*a, **b)) or seen[-1])
+    mv = W.mean_vectors(docs, "k", F.col("t"), wv, 64, broadcast_bytes=400)
+    assert [(r.vec[0], r.known_words) for r in mv.collect()] == [(1.0, 3)]
+    assert "BroadcastHashJoin" in seen[0]._jdf.queryExecution().executedPlan().toString()
